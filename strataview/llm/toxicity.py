@@ -1,7 +1,7 @@
 """Toxicity: boosted trees over dense features of whole texts, calibrated.
 
 Features: densities and counts of a lexicon (a short stated list, and words
-learned from training rows), hits near a second-person word, capitals,
+and word beginnings learned from training rows), hits near a second-person word, capitals,
 punctuation, and obfuscated spellings. The sample of labelled rows is bounded
 and split three ways: lexicon, trees, calibration.
 """
@@ -30,25 +30,47 @@ MIXED = re.compile(r"(?=\S*[^\W\d_])[^\W_][^\s.,;:?\"]*[0-9@$!|+(*_\-€][^\s,;:
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 RUN = re.compile(r"(.)\1{2,}")
 NEAR = 5
-N_FEATURES = 19
+PREFIXES = (4, 5, 6, 7)
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def terms_of(words: list[str]) -> set[str]:
+    """Words of a text, and their beginnings marked with ``^`` (insults inflect)."""
+    distinct = {w for w in words if len(w) > 1}
+    return distinct | {f"^{w[:k]}" for w in distinct for k in PREFIXES if len(w) > k}
+
+
+class Lexicon(dict):
+    """Term weights; :meth:`weight` finds a word or its longest known beginning."""
+
+    def __init__(self, terms: dict[str, float]):
+        super().__init__(terms)
+        self.starts = frozenset(t[1 : 1 + PREFIXES[0]] for t in terms if t[0] == "^")
+
+    def weight(self, w: str) -> float:
+        got = self.get(w, 0.0)
+        if w[: PREFIXES[0]] in self.starts:
+            got = max([got, *(self.get(f"^{w[:k]}", 0.0) for k in PREFIXES if len(w) > k)])
+        return got
+
+
 def plain(word: str) -> str:
     """A disguised spelling undone: look-alikes, inner marks and stretched letters."""
     return RUN.sub(r"\1", re.sub(r"[^\w]|[\d_]", "", word.lower().translate(LEET)))
 
 
-def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
+def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Dense features of one whole text; null is the empty text."""
     text = text or ""
     words = words_of(text)
     n = len(words)
-    hits = [i for i, w in enumerate(words) if w in lexicon]
-    weights = [lexicon[words[i]] for i in hits]
+    starts, size4 = lexicon.starts, PREFIXES[0]
+    maybe = [i for i, w in enumerate(words) if w in lexicon or w[:size4] in starts]
+    scored = [(i, x) for i in maybe if (x := lexicon.weight(words[i]))]
+    hits, weights = [i for i, _ in scored], [x for _, x in scored]
     listed = sum(words[i] in INSULTS for i in hits)
     near = 0
     for i in hits:
@@ -98,7 +120,7 @@ def learn_lexicon(sample: DataFrame, most: int, least_docs: int) -> dict[str, fl
         bad: Counter = Counter()
         for b in batches:
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = {w for w in words_of(text or "") if len(w) > 1}
+                got = terms_of(words_of(text or ""))
                 seen.update(got)
                 if label:
                     bad.update(got)
@@ -120,8 +142,8 @@ def learn_lexicon(sample: DataFrame, most: int, least_docs: int) -> dict[str, fl
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", parts: int = 3, held_out: int = 1, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text"):
     """Lexicon, trees and calibration from at most ``sample_rows`` labelled rows; None without any of both labels."""
     sample, path = written(training_sample(docs, labels, label, parts, held_out, sample_rows, id_col, text_col), "toxicity-sample")
-    learned = learn_lexicon(sample.filter("spot < 450"), 400, 4)
-    lexicon = {w: 1.0 for w in INSULTS} | learned
+    learned = learn_lexicon(sample.filter("spot < 450"), 400, 5)
+    lexicon = Lexicon({w: 1.0 for w in INSULTS} | learned)
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
