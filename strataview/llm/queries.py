@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from . import byte_cnn, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.filter_quality(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), k=4, pct=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op4_quality_rules": op4_quality_rules,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_quality_classifier": op8_quality_classifier,
