@@ -28,24 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import drop, small_enough, written
 from .components import connected
+from .shingles import shingle_hashes, word_hashes
 
-ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 BLOCK = 256
 
 
-class _Hashes(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[w] = h = xxhash.xxh64_intdigest(w)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``k``-word shingles of a whole
     text (A-Z lower-cased, words between ASCII white space); of all words if
@@ -53,13 +40,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    k, short = min(k, len(w)), len(w) < k
-    h = np.full(len(w) - k + 1, k if short else 0, np.uint64)
-    for j in range(k):
-        h = (h ^ (h >> np.uint64(32))) * ODD[7 - j % 7] + w[j : len(w) - k + 1 + j] * ODD[j % 7]
-    h = (h ^ (h >> np.uint64(29))) * ODD[0]
-    return np.unique(h ^ (h >> np.uint64(32)))
+    return np.unique(shingle_hashes(word_hashes(words), k))
 
 
 def _at_least(n, pct: int):
