@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from . import byte_cnn, class_model, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model.score_texts(table(spark, sf_dir, "documents"), parts=10, held_out=0)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,6 +52,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_class_ngrams": op2_class_ngrams,
     "op3_decontamination": op3_decontamination,
     "op4_quality_rules": op4_quality_rules,
     "op5_jaccard_join": op5_jaccard_join,
