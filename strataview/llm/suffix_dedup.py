@@ -259,14 +259,22 @@ def _kept(text: str | None, spans) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc`` (unique, in the order of ids) and ``text``, with the id. Where
-    ids repeat or are null, rows are numbered in a written copy."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    seen = d.groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
+KEY = "__sv_doc"
+
+
+def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a unique long KEY in the order of ids: the id itself where
+    ids are unique; else rows are numbered, in a written copy."""
+    seen = docs.groupBy(id_col).count().agg(F.max("count").alias("most"), F.count(F.when(F.col(id_col).isNull(), 1)).alias("nulls")).first()
     if (seen["most"] or 0) <= 1 and not seen["nulls"]:
-        return d.withColumn("doc", F.col("doc_id").cast("long"))
-    return written(d.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("doc", F.monotonically_increasing_id()), "keyed")[0]
+        return docs.withColumn(KEY, F.col(id_col).cast("long"))
+    return written(docs.orderBy(F.col(id_col).asc_nulls_last(), F.xxhash64(text_col)).withColumn(KEY, F.monotonically_increasing_id()), "keyed")[0]
+
+
+def _with_spans(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str, more: dict) -> DataFrame:
+    d = with_key(docs, id_col, text_col)
+    spans = repeated_spans(d.select(F.col(KEY).alias("doc"), F.col(text_col).alias("text")), length, keep_first, **more)
+    return d.join(spans.select(F.col("doc").alias(KEY), F.col("spans").alias("__sv_spans")), KEY, "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -278,14 +286,40 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     judged on the input. Null or empty text: nothing is removed and ``kept``
     is empty. Repeated rows count as documents of their own.
     """
-    d = keyed(docs, id_col, text_col)
-    spans = repeated_spans(d, length, keep_first, **more)
-    joined = d.join(spans, "doc", "left")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    joined = _with_spans(d, length, keep_first, "doc_id", "text", more).withColumnRenamed("__sv_spans", "spans")
     left = F.pandas_udf(lambda t, s: pd.Series([_kept(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "binary")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return joined.select("doc_id", "text", "spans", F.when(F.col("spans").isNull(), text).otherwise(left(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))).alias("kept"))
 
 
+def cut_documents(docs: DataFrame, length: int, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """``docs`` with all its columns, repeats cut from the text. Cuts shrink to
+    whole characters; ``n_chars``, if there, follows the new text."""
+    joined = _with_spans(docs, length, keep_first, id_col, text_col, more)
+    cut = F.pandas_udf(lambda t, s: pd.Series([_kept_text(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "string")
+    new = F.when(F.col("__sv_spans").isNull(), F.col(text_col)).otherwise(cut(F.when(F.col("__sv_spans").isNotNull(), F.col(text_col)), F.col("__sv_spans")))
+    out = joined.withColumn(text_col, new)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__sv_spans").isNull(), F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def _kept_text(text: str | None, spans) -> str | None:
+    if text is None or spans is None:
+        return text
+    raw = text.encode("utf-8", "surrogatepass")
+    whole = []
+    for x in spans:
+        s, e = x["s"], x["e"]
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        whole.append({"s": s, "e": e})
+    return _kept(text, whole).decode("utf-8", "surrogatepass")
+
+
 def digest(result: DataFrame) -> DataFrame:
     """Sizes, number of removed runs, and the SHA-256 of the bytes kept."""
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
