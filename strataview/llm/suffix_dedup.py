@@ -88,17 +88,16 @@ def smaller_neighbours(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return p, np.where(q >= 0, len(a) - 1 - q, -1)
 
 
-def previous_factors(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For strings in text order (rows of bytes): how long a prefix each shares
+def previous_factors(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For strings of equal length in text order: how long a prefix each shares
     with an earlier one, and with any other one."""
-    n, length = strings.shape
-    packed = np.ascontiguousarray(strings)
-    flat = packed.tobytes()
-    order = np.array(sorted(range(n), key=[flat[i : i + length] for i in range(0, n * length, length)].__getitem__), dtype=np.int64)
-    ranked = packed[order]
-    differs = ranked[1:] != ranked[:-1]
-    lcp = np.where(differs.any(axis=1), differs.argmax(axis=1), length) if n > 1 else np.zeros(0, np.int64)
-    lcp = np.concatenate([[0], lcp, [0]]).astype(np.int64)
+    n, length = len(strings), len(strings[0])
+    order = np.array(sorted(range(n), key=strings.__getitem__), dtype=np.int64)
+    lcp = np.zeros(n + 1, np.int64)  # lcp[r]: of ranks r - 1 and r
+    for lo in range(0, n - 1, 8192):
+        some = np.frombuffer(b"".join(strings[i] for i in order[lo : lo + 8193]), np.uint8).reshape(-1, length)
+        differs = some[1:] != some[:-1]
+        lcp[lo + 1 : lo + len(some)] = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
     prev, nxt = smaller_neighbours(order)
 
     # the common prefix of two ranks is the least lcp between them: sparse table of minima
@@ -164,30 +163,34 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, CANDIDATE)
 
 
-def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | None = None, chunk_rows: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | None = None, chunk_rows: int = 2500, bucket_rows: int = 800, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Spans of bytes to remove: ``doc, spans array<struct<s,e>>`` (disjoint,
     sorted) from rows ``doc`` (unique long), ``text``. Text order is ``doc``,
-    then place."""
+    then place. ``chunk_rows`` bounds the candidates of one anchor in a chunk;
+    ``broadcast_rows`` bounds what may be broadcast, beyond it texts are shuffled."""
     spark = docs.sparkSession
     gram = gram or length // 2
     found, p_found = written(candidates(docs, length, gram), "anchors")
+    often, p_often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "often")
+    again, p_again = written(found.join(often, "gram"), "again")
+    drop(spark, p_found, p_often)
     order = F.struct("doc", "at", "first", "last")
-    merged, p_merged = written(found.groupBy("gram", "same").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("rep")), "merged")
-    often, p_often = written(merged.groupBy("gram").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).filter("n > 1"), "often")
+    merged, p_merged = written(again.groupBy("gram", "same").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("rep")), "merged")
 
     # 1. candidates with identical bytes: every string in them repeats
     twice, p_twice = written(merged.filter("n > 1").select("same", "gram", F.col("rep.doc").alias("r_doc"), F.col("rep.at").alias("r_at")), "twice")
-    copies = found.join(twice, ["gram", "same"])
+    copies = again.join(twice, ["gram", "same"])
     if keep_first:
         copies = copies.filter("doc <> r_doc or at <> r_at")
     whole = copies.select("doc", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
 
     # 2. one representative of each, where the anchor has several: suffix arrays over their bytes
-    several, p_several = written(often.filter("kinds > 1").select("gram", "kinds"), "several")
-    reps = merged.join(several, "gram").select("gram", "kinds", "n", "rep.doc", "rep.at", "rep.first", "rep.last")
+    several, p_several = written(merged.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
+    reps = merged.join(several, "gram").select("gram", "kinds", "rep.doc", "rep.at", "rep.first", "rep.last")
     wanted, p_wanted = written(reps, "wanted")
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "n", "at", "first", "last")).alias("w"))
-    pieces = docs.select(F.col("doc"), "text").join(per_doc, "doc")
+    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "at", "first", "last")).alias("w"))
+    n_wanted = wanted.count()
+    pieces = docs.select(F.col("doc"), "text").join(F.broadcast(per_doc) if n_wanted <= broadcast_rows else per_doc, "doc")
 
     def cut(text: pd.Series, w: pd.Series) -> pd.Series:
         out = []
@@ -198,16 +201,16 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
 
     withbytes = pieces.select("doc", F.arrays_zip(F.col("w"), F.pandas_udf(cut, "array<binary>")("text", "w").alias("bytes")).alias("z")).select("doc", F.inline("z"))
     # anchors with few candidates share a bucket; those with many are dealt out in chunks
-    buckets = max(1, wanted.count() // chunk_rows)
+    buckets = max(1, n_wanted // bucket_rows)
     chunks = F.ceil(F.col("w.kinds") / chunk_rows)
     bucket = F.pmod(F.xxhash64("w.gram", F.pmod(F.xxhash64("doc", "w.at"), chunks)), F.lit(buckets))
     dealt = withbytes.select("doc", "w.at", "w.first", "bytes", (chunks > 1).alias("split"), bucket.alias("bucket"))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc", "at", "first"], kind="stable")
-        parts = [np.lib.stride_tricks.sliding_window_view(np.frombuffer(b, np.uint8), length) for b in pdf["bytes"]]
-        sizes = np.array([len(p) for p in parts])
-        strings, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
+        strings = [b[i : i + length] for b in pdf["bytes"] for i in range(len(b) - length + 1)]
+        sizes = pdf["bytes"].str.len().to_numpy() - length + 1
+        row = np.repeat(np.arange(len(pdf)), sizes)
         start = np.repeat(pdf["first"].to_numpy() - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(row))
         lpf, anywhere = previous_factors(strings)
         doc = pdf["doc"].to_numpy()[row]
@@ -218,7 +221,7 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
         out = pd.DataFrame({"doc": doc[begin], "s": start[begin], "e": start[stop] + length, "digest": None})
         # copies may lie in other chunks of a large group: the first of each distinct string goes there as a digest
         lone = np.flatnonzero((lpf < length) & pdf["split"].to_numpy()[row])
-        more = pd.DataFrame({"doc": doc[lone], "s": start[lone], "e": start[lone] + length, "digest": [hashlib.blake2b(strings[i].tobytes(), digest_size=12).digest() for i in lone]})
+        more = pd.DataFrame({"doc": doc[lone], "s": start[lone], "e": start[lone] + length, "digest": [hashlib.blake2b(strings[i], digest_size=12).digest() for i in lone]})
         return pd.concat([out, more]) if len(more) else out
 
     local, p_local = written(dealt.groupBy("bucket").applyInPandas(match, "doc long, s int, e int, digest binary"), "local")
@@ -230,7 +233,7 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
         crossed = crossed.filter("doc <> f.doc or s <> f.s")
     spans = whole.unionByName(inside).unionByName(crossed.select("doc", "s", "e"))
     out, _ = written(spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")).select("doc", _united(F.col("spans")).alias("spans")), "spans")
-    drop(spark, p_found, p_merged, p_often, p_twice, p_several, p_wanted, p_local, p_shared)
+    drop(spark, p_again, p_merged, p_twice, p_several, p_wanted, p_local, p_shared)
     return out
 
 
@@ -274,7 +277,9 @@ def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _with_spans(docs: DataFrame, length: int, keep_first: bool, id_col: str, text_col: str, more: dict) -> DataFrame:
     d = with_key(docs, id_col, text_col)
     spans = repeated_spans(d.select(F.col(KEY).alias("doc"), F.col(text_col).alias("text")), length, keep_first, **more)
-    return d.join(spans.select(F.col("doc").alias(KEY), F.col("spans").alias("__sv_spans")), KEY, "left")
+    spans = spans.select(F.col("doc").alias(KEY), F.col("spans").alias("__sv_spans"))
+    few = (spans.agg(F.sum(F.size("__sv_spans") + 2)).first()[0] or 0) <= more.get("broadcast_rows", 1_000_000)
+    return d.join(F.broadcast(spans) if few else spans, KEY, "left")
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

@@ -433,14 +433,14 @@ def repeats_truth(rows, length, keep_first):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("chunk_rows", [400, 3])
+@pytest.mark.parametrize("chunk_rows", [2500, 3])
 def test_repeats_against_brute_force(spark, unique, keep_first, chunk_rows):
     rng = random.Random(11)
     stem = prose(rng, 60)
     more = [(2000 + i, prose(rng, 12) + stem[rng.randrange(80) :] + prose(rng, 12)) for i in range(20)]
     d = unique.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(4)
     rows = sorted((r[0], r[1]) for r in d.collect())
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(d, length=100, keep_first=keep_first, chunk_rows=chunk_rows)).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(d, length=100, keep_first=keep_first, chunk_rows=chunk_rows, bucket_rows=chunk_rows, broadcast_rows=chunk_rows)).collect()}
     for (i, _), want in zip(rows, repeats_truth(rows, 100, keep_first), strict=True):
         assert got[i] == want, i
 
@@ -462,7 +462,7 @@ def test_previous_factors():
     rng = np.random.default_rng(0)
     for n in (1, 2, 50):
         s = rng.integers(0, 2, (n, 6)).astype(np.uint8)
-        lpf, anywhere = suffix_dedup.previous_factors(s)
+        lpf, anywhere = suffix_dedup.previous_factors([r.tobytes() for r in s])
         common = lambda a, b: next((i for i in range(6) if a[i] != b[i]), 6)
         for i in range(n):
             assert lpf[i] == max((common(s[i], s[j]) for j in range(i)), default=0)
