@@ -5,8 +5,10 @@
    ``n - ceil(t n) + l`` shingles share the ``l`` least common ones. Classes
    with too few prefix shingles held by any other class cannot link and are
    dropped; no pair is formed for this.
-3. The few that are left share prefix shingles with one another: lists of these
-   connect them into clusters, which are dealt out in blocks of bounded size.
+3. The shingles of the few that are left are counted and put in order from rare
+   to common, so that passages many texts share come last. Prefixes of
+   ``n - ceil(t n) + 1`` in this order connect classes into clusters, which are
+   dealt out in blocks of bounded size.
 4. In a block pair an inverted index gives overlaps. Lists are ordered by set
    size, so each search skips the parts of a list whose sizes cannot reach the
    threshold; and a set that differs little from the one before takes that
@@ -181,7 +183,16 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     full = _sets(again, k, pct, True).filter("n > 0").select("cls", "toks").join(few.select("cls", "cid", "n"), "cls").dropDuplicates(["cid"])
     full, p_full = written(full.select("cid", "n", "toks"), "full")
 
-    prefix = F.slice("toks", 1, (F.col("n") - F.ceil(F.col("n") * pct / 100) + 1).cast("int"))
+    # shingles from rare to common; a class with too few that any other holds is out
+    each = full.select("cid", "n", F.explode("toks").alias("tok"))
+    often, p_often = written(each.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
+    ranked, p_ranked = written(each.join(often, "tok", "left").select("cid", "n", "tok", F.coalesce("c", F.lit(1)).alias("c")), "ranked")
+    least = F.ceil(F.col("n") * pct / 100)
+    full = ranked.groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("t")).filter(F.size(F.filter("t", lambda x: x["c"] > 1)) >= least)
+    full, p_ordered = written(full.select("cid", "n", F.transform("t", lambda x: x["tok"]).alias("toks")), "ordered")
+    drop(spark, p_full, p_often, p_ranked)
+
+    prefix = F.slice("toks", 1, (F.col("n") - least + 1).cast("int"))
     lists, p_lists = written(full.select("cid", F.explode(prefix).alias("tok")), "lists")
     heads, p_heads = written(lists.groupBy("tok").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("tok", "v"), "heads")
     cluster = connected(lists.join(heads, "tok").select(F.col("cid").alias("u"), "v"))
@@ -219,5 +230,5 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     names, _ = written(names.select("cls", F.coalesce("component_id", "rep").alias("component_id")), "names")
     slim, _ = written(rows.select("doc_id", "n", "cls"), "rows")
     out = slim.join(names, "cls", "left")
-    drop(spark, *paths[1:], p_rows, p_classes, p_full, p_members, p_links, p_comp, p_least)
+    drop(spark, *paths[1:], p_rows, p_classes, p_ordered, p_members, p_links, p_comp, p_least)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_key"))
