@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def as_of(probes: DataFrame, states: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
+def as_of(probes: DataFrame, states: DataFrame, key: str, at: str, since: str, value: str, tie: str) -> DataFrame:
     """The last state at or before each probe, by one sort per key: both sides
     are laid in one time line and the value is carried forward. Hot keys sort
-    in one partition each; no pairs are formed."""
-    p = probes.select(key, F.col(at).alias("__t"), F.lit(1).alias("__probe"), F.struct(*probes.columns).alias("__row"), F.lit(None).cast(states.schema[value].dataType).alias("__v"), F.lit(None).cast("long").alias("__s"))
-    s = states.select(key, F.col(since).alias("__t"), F.lit(0).alias("__probe"), F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), F.col(value).alias("__v"), F.col(since).alias("__s"))
-    tie = "req_id" if "req_id" in states.columns else since
-    s = s.withColumn("__o", states[tie] if tie in states.columns else F.lit(0))
-    p = p.withColumn("__o", F.lit(None).cast(s.schema["__o"].dataType))
+    in one partition each; no pairs are formed. ``tie`` orders states of one time."""
+    null = lambda of: F.lit(None).cast(of)
+    s = states.select(key, F.col(since).alias("__t"), F.lit(0).alias("__probe"), F.col(tie).alias("__o"), F.struct(F.col(since).alias("since"), F.col(value).alias("v")).alias("__s"))
+    p = probes.select(key, F.col(at).alias("__t"), F.lit(1).alias("__probe"), null(s.schema["__o"].dataType).alias("__o"), null(s.schema["__s"].dataType).alias("__s"), F.struct(*probes.columns).alias("__row"))
+    s = s.withColumn("__row", null(p.schema["__row"].dataType))
     w = Window.partitionBy(key).orderBy("__t", "__probe", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("__probe") == 0, F.struct(F.col("__s").alias("since"), F.col("__v").alias("v"))), ignorenulls=True).over(w)
-    line = p.unionByName(s).withColumn("__last", last).filter("__probe = 1")
+    line = p.unionByName(s).withColumn("__last", F.last("__s", ignorenulls=True).over(w)).filter("__probe = 1")
     return line.select("__row.*", F.col("__last.since").alias("state_since"), F.col("__last.v").alias("state_value"))
 
 

@@ -400,3 +400,433 @@ def policy_projection(spark, sf_dir):
     p = spark.createDataFrame([("en", 60000, True), ("de", 1000, False)], "lang string, ttl_ms int, admit boolean")
     j = trace.requests(spark, sf_dir).join(trace.objects(spark, sf_dir, etags=False), "doc_id").withColumn("lang", F.substring_index("key", "/", 1))
     return j.join(F.broadcast(p), "lang", "left").select("req_id", F.coalesce("ttl_ms", F.lit(5000)).alias("ttl_ms"), F.coalesce("admit", F.lit(False)).alias("admit"))
+
+
+# -- history ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_views("requests states", "")
+    + " SELECT r.req_id, s.valid_from AS state_since, s.etag AS state_etag FROM (SELECT * FROM requests WHERE method <> 'PUT') r LEFT JOIN (SELECT *, lead(req_id) OVER (PARTITION BY doc_id ORDER BY valid_from, req_id) AS next_id FROM states) s ON s.doc_id = r.doc_id AND s.valid_from <= r.ts_ms AND (s.valid_to IS NULL OR s.valid_to > r.ts_ms)"
+)
+def state_asof(spark, sf_dir):
+    """The version of its object at each read."""
+    r = trace.requests(spark, sf_dir).filter("method <> 'PUT'").select("req_id", "doc_id", "ts_ms")
+    got = history.as_of(r, trace.object_states(spark, sf_dir), "doc_id", "ts_ms", "valid_from", "etag", "req_id")
+    return got.select("req_id", "state_since", F.col("state_value").alias("state_etag"))
+
+
+@query(
+    with_views("requests states", "")
+    + " SELECT r.req_id, count(*) AS states, count(s.etag) AS live FROM requests r JOIN states s ON s.doc_id = r.doc_id AND s.valid_from <= r.ts_ms + 86400000 AND (s.valid_to IS NULL OR s.valid_to > r.ts_ms) WHERE r.method <> 'PUT' GROUP BY 1"
+)
+def states_during(spark, sf_dir):
+    """States that held at some time of [read, read + 1 day]."""
+    r = trace.requests(spark, sf_dir).filter("method <> 'PUT'").select("req_id", "doc_id", "ts_ms")
+    s = trace.object_states(spark, sf_dir).select("doc_id", "valid_from", "valid_to", "etag")
+    ok = (F.col("valid_from") <= F.col("ts_ms") + 86400000) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("ts_ms")))
+    return r.join(s, "doc_id").filter(ok).groupBy("req_id").agg(F.count(F.lit(1)).alias("states"), F.count("etag").alias("live"))
+
+
+@query(
+    with_views("requests states", "")
+    + """, reads AS (SELECT req_id, doc_id, ts_ms, '"v' || (req_id - req_id % 5) || '"' AS etag FROM requests WHERE method <> 'PUT' AND req_id % 3 = 0)
+ SELECT req_id FROM reads r WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.doc_id = r.doc_id AND s.valid_from <= r.ts_ms AND (s.valid_to IS NULL OR s.valid_to > r.ts_ms - 3600000) AND s.etag = r.etag)"""
+)
+def history_violations(spark, sf_dir):
+    """Reads whose tag no state of the hour before them had."""
+    r = trace.requests(spark, sf_dir).filter("method <> 'PUT' and req_id % 3 = 0").select("req_id", "doc_id", "ts_ms", F.expr("concat('\"v', req_id - req_id % 5, '\"')").alias("etag")).alias("r")
+    s = trace.object_states(spark, sf_dir).alias("s")
+    ok = (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.etag") == F.col("r.etag")) & (F.col("s.valid_from") <= F.col("r.ts_ms")) & (F.col("s.valid_to").isNull() | (F.col("s.valid_to") > F.col("r.ts_ms") - 3600000))
+    return r.join(s, ok, "left_anti").select("req_id")
+
+
+@query(with_views("requests states", "") + " SELECT doc_id, req_id AS entry, etag FROM states QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY valid_from DESC, req_id DESC) = 1 AND etag IS NOT NULL")
+def changelog_latest(spark, sf_dir):
+    """Replay of the metadata log: the last entry of each key, tombstones left out."""
+    log = trace.object_states(spark, sf_dir)
+    return history.latest(log, ["doc_id"], ["valid_from", "req_id"], ["req_id", "etag"]).filter("etag is not null").select("doc_id", F.col("req_id").alias("entry"), "etag")
+
+
+UPDOWN = "updown AS (SELECT user_id % 12 AS node_id, (epoch_us(ts) // 1000) AS t_ms, event_id, CASE WHEN event_type = 'error' THEN 'down' ELSE 'up' END AS state FROM events WHERE event_type IN ('error', 'signup'))"
+
+
+@query(
+    f"WITH {UPDOWN}, c AS (SELECT *, lag(state) OVER (PARTITION BY node_id ORDER BY t_ms, event_id) AS before FROM updown) SELECT node_id, state, t_ms AS valid_from, lead(t_ms) OVER (PARTITION BY node_id ORDER BY t_ms, event_id) AS valid_to FROM c WHERE before IS DISTINCT FROM state"
+)
+def ring_intervals(spark, sf_dir):
+    """Intervals in which members were up or down, from membership events."""
+    e = trace.read(spark, sf_dir, "events").filter("event_type in ('error', 'signup')")
+    e = e.select((F.col("user_id") % 12).alias("node_id"), trace.millis("ts").alias("at"), "event_id", F.when(F.col("event_type") == "error", "down").otherwise("up").alias("state"))
+    w = Window.partitionBy("node_id").orderBy("at", "event_id")
+    changed = e.withColumn("before", F.lag("state").over(w)).filter(~F.col("before").eqNullSafe(F.col("state")))
+    return history.intervals(changed, "node_id", "at", ["at", "event_id"]).select("node_id", "state", "valid_from", "valid_to")
+
+
+@query(
+    f"WITH {UPDOWN}, last AS (SELECT node_id, max_by(state, (t_ms, event_id)) AS state FROM updown GROUP BY 1) SELECT node_id FROM (SELECT node_id FROM last WHERE state = 'up' UNION SELECT 0::BIGINT) EXCEPT SELECT node_id FROM last WHERE node_id = 5"
+)
+def ring_merge(spark, sf_dir):
+    """Members now: those last heard up, and this node; a leaving one is removed."""
+    e = trace.read(spark, sf_dir, "events").filter("event_type in ('error', 'signup')")
+    e = e.select((F.col("user_id") % 12).alias("node_id"), trace.millis("ts").alias("at"), "event_id", F.when(F.col("event_type") == "error", "down").otherwise("up").alias("state"))
+    last = history.latest(e, ["node_id"], ["at", "event_id"], ["state"])
+    up = last.filter("state = 'up'").select("node_id").union(spark.range(1).select(F.col("id").alias("node_id")))
+    return up.distinct().subtract(last.filter("node_id = 5").select("node_id"))
+
+
+@query(
+    with_views("requests states", "")
+    + " SELECT p.doc_id, n.node_id FROM (SELECT doc_id FROM states WHERE etag IS NULL GROUP BY doc_id) p CROSS JOIN (SELECT s_suppkey AS node_id FROM supplier WHERE s_suppkey BETWEEN 1 AND 4) n WHERE NOT EXISTS (SELECT 1 FROM requests r WHERE r.doc_id = p.doc_id AND r.client % 4 + 1 = n.node_id AND r.req_id % 5 = 0)"
+)
+def pending_purges(spark, sf_dir):
+    """Nodes that have still to confirm a purge (anti-join of the confirmations)."""
+    p = trace.object_states(spark, sf_dir).filter("etag is null").select("doc_id").distinct()
+    every = p.crossJoin(placement.bounded_ring(trace.ring(spark, sf_dir, 4).select("node_id")))
+    done = trace.requests(spark, sf_dir).filter("req_id % 5 = 0").select("doc_id", (F.col("client") % 4 + 1).alias("node_id"))
+    return every.join(done, ["doc_id", "node_id"], "left_anti")
+
+
+@query(
+    with_views("requests", "")
+    + " SELECT req_id, (SELECT max(w.ts_ms) FROM requests w WHERE w.client = r.client AND w.doc_id = r.doc_id AND w.method = 'PUT' AND w.ts_ms < r.ts_ms) AS after_write FROM requests r WHERE method <> 'PUT'"
+)
+def read_your_writes(spark, sf_dir):
+    """For each read, the time of its client's last earlier write of the object."""
+    r = trace.requests(spark, sf_dir).select("req_id", "client", "doc_id", "ts_ms", "method")
+    w = Window.partitionBy("client", "doc_id").orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -1)
+    return r.withColumn("after_write", F.max(F.when(F.col("method") == "PUT", F.col("ts_ms"))).over(w)).filter("method <> 'PUT'").select("req_id", "after_write")
+
+
+@query(
+    with_views("requests", "")
+    + """, f AS (SELECT doc_id, ts_ms AS s, ts_ms + first_byte_us * 100 AS e FROM requests WHERE method = 'GET'), n AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f),
+ i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isl FROM n) SELECT doc_id, min(s) AS flight_start, max(e) AS flight_end, count(*) AS members FROM i GROUP BY doc_id, isl"""
+)
+def single_flight(spark, sf_dir):
+    """Reads that overlap an earlier one's fetch share it."""
+    f = trace.requests(spark, sf_dir).filter("method = 'GET'").select("doc_id", F.col("ts_ms").alias("s"), (F.col("ts_ms") + F.col("first_byte_us") * 100).alias("e"))
+    return history.islands(f, "doc_id", "s", "e")
+
+
+# -- events -----------------------------------------------------------------------------------------------------------
+
+EVENT_JSON = """'{"Records":[{"eventName":"' || CASE WHEN event_id % 3 = 0 THEN 'ObjectRemoved:Delete' ELSE 'ObjectCreated:Put' END || '","eventTime":"2026-09-27T12:34:' || lpad((event_id % 62)::VARCHAR, 2, '0') || '.' || (event_id % 1000) || 'Z","s3":{"bucket":{"name":"docs"},"object":{"key":"a+b%2Bc/' || user_id || '","eTag":"' || event_id || '"}}}]}'"""
+
+
+@query(
+    f"WITH b AS (SELECT event_id, {EVENT_JSON} AS body FROM events WHERE event_id % 10 = 0) SELECT event_id, json_extract_string(body, '$.Records[0].s3.bucket.name') AS bucket, 'a b+c/' || split_part(json_extract_string(body, '$.Records[0].s3.object.key'), '/', 2) AS key, "
+    "CASE WHEN event_id % 3 <> 0 THEN '\"' || event_id || '\"' END AS etag, CASE WHEN event_id % 62 <= 60 THEN epoch_ms(TIMESTAMP '2026-09-27 12:34:00') + (event_id % 62) * 1000 + substr((event_id % 1000)::VARCHAR || '00', 1, 3)::BIGINT END AS event_ms FROM b"
+)
+def event_parse(spark, sf_dir):
+    """Change events from their JSON bodies (made here from ``events``), keys URL-decoded, tags re-quoted."""
+    from ..sources.events import parse_changes
+
+    e = trace.read(spark, sf_dir, "events").filter("event_id % 10 = 0")
+    body = F.expr(EVENT_JSON.replace("::VARCHAR", "").replace("lpad((event_id % 62), 2, '0')", "lpad(cast(event_id % 62 as string), 2, '0')"))
+    return parse_changes(e.select("event_id", body.alias("body")), "body").select("event_id", "bucket", "key", "etag", "event_ms")
+
+
+@query(
+    with_views("requests", "")
+    + " SELECT doc_id, max_by(req_id, (ts_ms, req_id)) AS req_id, max(ts_ms) AS ts_ms, count(DISTINCT req_id) AS events FROM (SELECT doc_id, req_id, ts_ms FROM requests WHERE method = 'PUT' UNION ALL SELECT doc_id, req_id, ts_ms FROM requests WHERE method = 'PUT' AND req_id % 2 = 0) GROUP BY doc_id"
+)
+def event_dedup_latest(spark, sf_dir):
+    """At-least-once deliveries: duplicates dropped, the last change of each key kept."""
+    p = trace.requests(spark, sf_dir).filter("method = 'PUT'").select("doc_id", "req_id", "ts_ms")
+    twice = p.unionByName(p.filter("req_id % 2 = 0")).dropDuplicates(["req_id"])
+    return twice.groupBy("doc_id").agg(F.max_by("req_id", F.struct("ts_ms", "req_id")).alias("req_id"), F.max("ts_ms").alias("ts_ms"), F.count(F.lit(1)).alias("events"))
+
+
+# -- metrics ----------------------------------------------------------------------------------------------------------
+
+BUCKET = "CASE " + " ".join(f"WHEN s <= {b} THEN {i}" for i, b in enumerate(units.LATENCY_BOUNDS)) + f" ELSE {len(units.LATENCY_BOUNDS)} END"
+
+
+@query(
+    with_views("requests", "")
+    + f", h AS (SELECT event_type, {BUCKET} AS bucket, count(*) AS n FROM (SELECT event_type, first_byte_us / 1000000.0 AS s FROM requests) GROUP BY ALL) SELECT *, (sum(n) OVER (PARTITION BY event_type ORDER BY bucket))::BIGINT AS cumulative FROM h"
+)
+def hist_fixed(spark, sf_dir):
+    return metrics.fixed_histogram(trace.requests(spark, sf_dir), ["event_type"], F.col("first_byte_us") / 1e6)
+
+
+LOGLINEAR = "CASE WHEN v < 256 THEN v ELSE (length(bin(v)) - 1 - 7 + 1) * 128 + (v >> (length(bin(v)) - 8)) - 128 END"
+HIST = f"hist AS (SELECT event_type, {LOGLINEAR} AS bucket, count(*) AS n, max(v) AS max_value FROM (SELECT event_type, first_byte_us AS v FROM requests) GROUP BY ALL)"
+HIGHEST = "CASE WHEN bucket < 256 THEN bucket ELSE ((bucket % 128 + 128) << ((bucket // 128 - 1)::INT)) + (1::BIGINT << ((bucket // 128 - 1)::INT)) - 1 END"
+
+
+@query(with_views("requests", "") + f", {HIST} SELECT event_type, bucket, n, max_value FROM hist")
+def hist_loglinear(spark, sf_dir):
+    return metrics.loglinear_histogram(trace.requests(spark, sf_dir), ["event_type"], F.col("first_byte_us"), 7)
+
+
+@query(
+    with_views("requests", "")
+    + f", {HIST}, c AS (SELECT *, sum(n) OVER (PARTITION BY event_type ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY event_type) AS total, max(max_value) OVER (PARTITION BY event_type) AS top FROM hist) "
+    f"SELECT event_type, share, least({HIGHEST}, top)::BIGINT AS percentile FROM (SELECT event_type, share, min(bucket) AS bucket, any_value(top) AS top FROM c CROSS JOIN (VALUES (0.5::DOUBLE), (0.9), (0.99), (1.0)) s(share) WHERE seen >= least(greatest(ceil(share * total), 1), total) GROUP BY ALL)"
+)
+def hist_percentiles(spark, sf_dir):
+    h = metrics.loglinear_histogram(trace.requests(spark, sf_dir), ["event_type"], F.col("first_byte_us"), 7)
+    return metrics.percentiles(h, ["event_type"], [0.5, 0.9, 0.99, 1.0], 7)
+
+
+@query(with_views("requests", "") + f", {HIST} SELECT bucket, sum(n)::BIGINT AS n, max(max_value) AS max_value FROM hist GROUP BY bucket")
+def hist_merge(spark, sf_dir):
+    h = metrics.loglinear_histogram(trace.requests(spark, sf_dir), ["event_type"], F.col("first_byte_us"), 7)
+    return metrics.merge_histograms(h, [])
+
+
+@query(with_views("requests", "") + " SELECT event_type, list_sort(list(first_byte_us))[1 + least(floor(count(*) * 0.99)::BIGINT, count(*) - 1)] AS quantile FROM requests GROUP BY event_type")
+def exact_quantiles(spark, sf_dir):
+    return metrics.exact_quantile(trace.requests(spark, sf_dir).select("event_type", "first_byte_us"), ["event_type"], "first_byte_us", 0.99)
+
+
+@query(
+    with_views("requests", "")
+    + f", h AS (SELECT {BUCKET} AS bucket, count(*) FILTER (WHERE ts_ms % 2 = 0) AS n FROM (SELECT ts_ms, first_byte_us / 1000000.0 AS s FROM requests) GROUP BY 1), c AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS seen, sum(n) OVER () AS total FROM h) SELECT min(bucket) AS bucket FROM c WHERE seen >= 0.99 * total"
+)
+def prom_quantile(spark, sf_dir):
+    """The first cumulative bucket that holds 99 % of the growth between two scrapes."""
+    h = trace.requests(spark, sf_dir).groupBy(units.fixed_bucket(F.col("first_byte_us") / 1e6).alias("bucket")).agg((F.count(F.lit(1)) - F.count(F.when(F.col("ts_ms") % 2 != 0, 1))).alias("n"))
+    c = h.withColumn("seen", F.sum("n").over(Window.orderBy("bucket"))).withColumn("total", F.sum("n").over(Window.partitionBy()))  # 17 rows
+    return c.filter("seen >= 0.99 * total").agg(F.min("bucket").alias("bucket"))
+
+
+@query(with_views("requests", "") + " SELECT event_type AS class, CASE event_type WHEN 'error' THEN 503 ELSE 200 END AS status, count(*) AS n, sum(first_byte_us)::BIGINT AS total_us FROM requests GROUP BY ALL")
+def class_merge(spark, sf_dir):
+    """Statuses of each class, merged over hosts (clients): maps are exploded and summed."""
+    r = trace.requests(spark, sf_dir).withColumn("status", F.when(F.col("event_type") == "error", 503).otherwise(200))
+    host = r.groupBy("client", "event_type", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("first_byte_us").alias("us"))
+    per = host.groupBy("client", "event_type").agg(F.map_from_entries(F.collect_list(F.struct("status", F.struct("n", "us")))).alias("statuses"))
+    e = per.select(F.col("event_type").alias("class"), F.explode("statuses").alias("status", "v"))
+    return e.groupBy("class", "status").agg(F.sum("v.n").alias("n"), F.sum("v.us").alias("total_us"))
+
+
+@query(with_views("requests", "") + " SELECT event_type AS class, count(*) FILTER (WHERE event_type <> 'error') AS successes, count(*) FILTER (WHERE event_type = 'error') AS errors, count(DISTINCT client % 4) AS hosts, max(ts_ms) - min(ts_ms) AS span_ms FROM requests GROUP BY 1")
+def host_merge(spark, sf_dir):
+    r = trace.requests(spark, sf_dir)
+    bad = F.col("event_type") == "error"
+    return r.groupBy(F.col("event_type").alias("class")).agg(F.count_if(~bad).alias("successes"), F.count_if(bad).alias("errors"), F.count_distinct(F.col("client") % 4).alias("hosts"), (F.max("ts_ms") - F.min("ts_ms")).alias("span_ms"))
+
+
+@query(with_views("requests", "") + " SELECT floor((ts_ms - 1704067200000) / 10000)::BIGINT AS chunk, count(*) AS n, round(count(*) / count(DISTINCT ts_ms // 1000)::DOUBLE, 6) AS rate FROM requests GROUP BY 1")
+def timeline_10s(spark, sf_dir):
+    r = trace.requests(spark, sf_dir)
+    seconds = F.count_distinct(F.floor(F.col("ts_ms") / 1000))
+    return r.groupBy(F.floor((F.col("ts_ms") - 1704067200000) / 10000).alias("chunk")).agg(F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / seconds, 6).alias("rate"))
+
+
+@query(with_views("requests", "") + " SELECT (ts_ms + first_byte_us // 1000 - 1704067200000) // 1000 AS second, count(*) AS n FROM requests WHERE ts_ms >= 1704067200000 + 86400000 GROUP BY 1")
+def per_second(spark, sf_dir):
+    """Completions a second, of requests due after the warm-up."""
+    r = trace.requests(spark, sf_dir).filter(F.col("ts_ms") >= 1704067200000 + 86400000)
+    return r.groupBy(F.floor((F.col("ts_ms") + F.floor(F.col("first_byte_us") / 1000) - 1704067200000) / 1000).alias("second")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SAMPLES = """samples AS (SELECT client % 8 AS process, event_type AS name, CASE WHEN ts_ms % 2 = 0 THEN 'before' ELSE 'after' END AS moment, count(*) AS value FROM requests GROUP BY ALL),
+scrapes AS (SELECT process, name, moment, CASE WHEN process = 3 AND moment = 'after' THEN 2 ELSE 1 END AS started, value FROM samples WHERE NOT (process = 5 AND moment = 'after'))"""
+
+
+def _scrapes(spark, sf_dir):
+    s = trace.requests(spark, sf_dir).groupBy((F.col("client") % 8).alias("process"), F.col("event_type").alias("name"), F.when(F.col("ts_ms") % 2 == 0, "before").otherwise("after").alias("moment")).agg(F.count(F.lit(1)).alias("value"))
+    return s.withColumn("started", F.when((F.col("process") == 3) & (F.col("moment") == "after"), 2).otherwise(1)).filter("not (process = 5 and moment = 'after')")
+
+
+@query(
+    with_views("requests", "")
+    + f", {SAMPLES} SELECT a.process, a.name, a.value - CASE WHEN b.started = a.started THEN b.value ELSE 0 END AS growth FROM (SELECT * FROM scrapes WHERE moment = 'after') a LEFT JOIN (SELECT * FROM scrapes WHERE moment = 'before') b USING (process, name)"
+)
+def counter_growth(spark, sf_dir):
+    return metrics.counter_growth(_scrapes(spark, sf_dir), ["process", "name"])
+
+
+@query(
+    with_views("requests", "")
+    + """, t AS (SELECT client % 4 AS host, ts_ms // 3600000 AS t, sum(first_byte_us)::BIGINT AS v FROM requests GROUP BY ALL), d AS (SELECT host, t, v - lag(v) OVER w AS dv, t - lag(t) OVER w AS dt, lag(t) OVER w AS before FROM t WINDOW w AS (PARTITION BY host ORDER BY t))
+ SELECT host, before + dt / 2.0 AS midpoint, round(dv / dt::DOUBLE, 6) AS rate FROM d WHERE dt > 0 AND dv >= 0"""
+)
+def sample_rates(spark, sf_dir):
+    """Rates between neighbouring samples, at their midpoints; restarts (negative growth) left out."""
+    t = trace.requests(spark, sf_dir).groupBy((F.col("client") % 4).alias("host"), F.floor(F.col("ts_ms") / 3600000).alias("t")).agg(F.sum("first_byte_us").alias("v"))
+    w = Window.partitionBy("host").orderBy("t")
+    d = t.select("host", (F.col("v") - F.lag("v").over(w)).alias("dv"), (F.col("t") - F.lag("t").over(w)).alias("dt"), F.lag("t").over(w).alias("before"))
+    return d.filter("dt > 0 and dv >= 0").select("host", (F.col("before") + F.col("dt") / 2).alias("midpoint"), F.round(F.col("dv") / F.col("dt"), 6).alias("rate"))
+
+
+SERVED = "served AS (SELECT b.*, row_number() OVER (PARTITION BY key, block_index ORDER BY ts_ms, req_id) AS nth FROM blocks b)"
+
+
+@query(
+    with_views("objects requests resolved gets blocks", "")
+    + f", {SERVED} SELECT client % 4 AS node, count(*) FILTER (WHERE nth > 2) AS hits, count(*) FILTER (WHERE nth <= 2) AS fetched, round(count(*) FILTER (WHERE nth > 2) / nullif(count(*), 0)::DOUBLE, 6) AS block_hits, round(100.0 * sum(CASE WHEN nth > 2 THEN 256 ELSE 0 END) / nullif(sum(256), 0), 6) AS byte_percent, (100 * count(*) FILTER (WHERE nth > 2)) // nullif(count(*), 0) AS hit_percent FROM served GROUP BY 1"
+)
+def hit_ratio(spark, sf_dir):
+    """Block, byte and integer hit ratios of a second-read cache, a node."""
+    w = Window.partitionBy("key", "block_index").orderBy("ts_ms", "req_id")
+    b = blocks_of(spark, sf_dir).withColumn("hit", (F.row_number().over(w) > 2).cast("int"))
+    hits, n = F.sum("hit"), F.count(F.lit(1))
+    return b.groupBy((F.col("client") % 4).alias("node")).agg(hits.alias("hits"), (n - hits).alias("fetched"), F.round(F.try_divide(hits, n), 6).alias("block_hits"), F.round(F.try_divide(hits * 256 * 100.0, n * 256), 6).alias("byte_percent"), F.floor(hits * 100 / n).alias("hit_percent"))
+
+
+@query(
+    with_views("objects requests resolved gets blocks", "")
+    + f", {SERVED} SELECT count(*) FILTER (WHERE nth = 2) * 256 AS written, sum(least((block_index + 1) * 256 - 1, last) - greatest(block_index * 256, first) + 1)::BIGINT AS served, round(count(*) FILTER (WHERE nth = 2) * 256 / sum(least((block_index + 1) * 256 - 1, last) - greatest(block_index * 256, first) + 1)::DOUBLE, 6) AS amplification FROM served"
+)
+def write_amp(spark, sf_dir):
+    w = Window.partitionBy("key", "block_index").orderBy("ts_ms", "req_id")
+    b = blocks_of(spark, sf_dir).withColumn("nth", F.row_number().over(w))
+    size = F.least((F.col("block_index") + 1) * 256 - 1, F.col("last")) - F.greatest(F.col("block_index") * 256, F.col("first")) + 1
+    a = b.agg((F.count_if(F.col("nth") == 2) * 256).alias("written"), F.sum(size).alias("served"))
+    return a.withColumn("amplification", F.round(F.col("written") / F.col("served"), 6))
+
+
+@query(with_views("requests", "") + f", {SAMPLES} SELECT name || CASE WHEN moment = 'after' THEN '{{process=\"' || process || '\",moment=\"after\"}}' ELSE '' END || ' ' || value AS line FROM scrapes")
+def exposition_render(spark, sf_dir):
+    s = _scrapes(spark, sf_dir).withColumn("label_text", F.when(F.col("moment") == "after", F.concat(F.lit('process="'), "process", F.lit('",moment="after"'))).otherwise(""))
+    return metrics.render_exposition(s.select("name", "label_text", "value"))
+
+
+LINES = "lines AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '# HELP x' WHEN 1 THEN 'requests_total{op=\"' || event_type || '\",status=\"' || (200 + event_id % 3) || '\"} ' || (event_id % 100) WHEN 2 THEN 'up 1' ELSE 'junk line x' END AS line FROM events)"
+
+
+@query(
+    f"WITH {LINES} SELECT event_id, regexp_extract(line, '^([^{{ ]*)', 1) AS name, CASE WHEN contains(line, '{{') THEN regexp_extract(line, 'op=\"([^\"]*)\"', 1) END AS op, CASE WHEN contains(line, '{{') THEN regexp_extract(line, 'status=\"([^\"]*)\"', 1) END AS status, regexp_extract(line, ' ([^ ]*)$', 1)::DOUBLE AS value FROM lines WHERE event_id % 4 IN (1, 2)"
+)
+def exposition_parse(spark, sf_dir):
+    line = F.expr(LINES.split("SELECT event_id, ")[1].rsplit(" AS line", 1)[0])
+    p = trace.read(spark, sf_dir, "events").select("event_id", metrics.parse_exposition(line).alias("s")).filter("s is not null")
+    return p.select("event_id", "s.name", F.col("s.labels")["op"].alias("op"), F.col("s.labels")["status"].alias("status"), "s.value")
+
+
+@query(f"WITH {LINES} SELECT sum((event_id % 100))::DOUBLE AS total FROM events WHERE event_id % 4 = 1 AND event_type = 'view' AND starts_with((200 + event_id % 3)::VARCHAR, '20')")
+def labelled_sum(spark, sf_dir):
+    line = F.expr(LINES.split("SELECT event_id, ")[1].rsplit(" AS line", 1)[0])
+    p = trace.read(spark, sf_dir, "events").select(metrics.parse_exposition(line).alias("s")).filter("s is not null").select("s.*")
+    return metrics.labelled_sum(p, "requests_total", {"op": "view", "status": "20*"})
+
+
+@query(with_views("requests", "") + " SELECT CASE WHEN client % 3 = 0 THEN event_type END AS class, client % 2 AS host, count(*) AS n FROM requests GROUP BY GROUPING SETS ((class, host))")
+def usage_by_class(spark, sf_dir):
+    return trace.requests(spark, sf_dir).groupBy(F.when(F.col("client") % 3 == 0, F.col("event_type")).alias("class"), (F.col("client") % 2).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(with_views("objects requests resolved", "") + " SELECT client, md5(string_agg(req_id || ':' || coalesce(first, -1) || '-' || coalesce(last, -1), ',' ORDER BY req_id)) AS fingerprint FROM resolved GROUP BY client")
+def run_fingerprint(spark, sf_dir):
+    j = trace.requests(spark, sf_dir).join(trace.objects(spark, sf_dir, etags=False), "doc_id")
+    r = j.select("client", "req_id", rg.resolve(F.col("kind"), F.col("a"), F.col("b"), F.col("size")).alias("r"))
+    text = F.concat(F.col("req_id"), F.lit(":"), F.coalesce("r.first", F.lit(-1)), F.lit("-"), F.coalesce("r.last", F.lit(-1)))
+    parts = F.array_sort(F.collect_list(F.struct("req_id", text.alias("t"))))
+    return r.groupBy("client").agg(F.md5(F.array_join(F.transform(parts, lambda x: x["t"]), ",")).alias("fingerprint"))
+
+
+@query(
+    with_views("objects requests resolved gets blocks", "")
+    + " SELECT 'missing' AS side, client, n FROM (SELECT client, count(*) AS n FROM blocks GROUP BY 1 EXCEPT ALL SELECT client, sum(last // 256 - first // 256 + 1)::BIGINT FROM gets GROUP BY 1)"
+)
+def counter_reconcile(spark, sf_dir):
+    """Blocks counted one by one against blocks counted from ranges: differences (there must be none)."""
+    a = blocks_of(spark, sf_dir).groupBy("client").agg(F.count(F.lit(1)).alias("n"))
+    b = trace.gets(spark, sf_dir).groupBy("client").agg(F.sum(F.floor(F.col("last") / 256) - F.floor(F.col("first") / 256) + 1).alias("n"))
+    return a.exceptAll(b).select(F.lit("missing").alias("side"), "client", "n").unionByName(b.exceptAll(a).select(F.lit("extra").alias("side"), "client", "n"))
+
+
+# -- admission, scans, workload ---------------------------------------------------------------------------------------
+
+
+@query(with_views("objects requests resolved gets blocks", "") + f", {SERVED} SELECT key, block_index, req_id, nth > 1 AS admitted FROM served")
+def doorkeeper_exact(spark, sf_dir):
+    return admission.doorkeeper_exact(blocks_of(spark, sf_dir), ["key", "block_index"], ["ts_ms", "req_id"]).select("key", "block_index", "req_id", "admitted")
+
+
+@query(with_views("objects requests resolved gets blocks", "") + " SELECT key, chunk, (ts_ms // 86400000) * 86400000 AS window_start, count(*) AS reads FROM (SELECT DISTINCT req_id, ts_ms, key, chunk FROM blocks) GROUP BY ALL HAVING count(*) >= 4")
+def hot_keys_aligned(spark, sf_dir):
+    b = blocks_of(spark, sf_dir).select("req_id", "ts_ms", "key", "chunk").distinct()
+    return admission.hot_windows(b, ["key", "chunk"], "ts_ms", 86_400_000, 4)
+
+
+STORED = "stored AS (SELECT DISTINCT key, block_index FROM blocks WHERE req_id % 2 = 0)"
+
+
+@query(with_views("objects requests resolved gets blocks", "") + f", {STORED} SELECT b.req_id, bool_and(s.key IS NOT NULL) AS served FROM blocks b LEFT JOIN stored s ON s.key = b.key AND s.block_index = b.block_index GROUP BY b.req_id")
+def stored_only_scan(spark, sf_dir):
+    """Reads a store can answer alone: all covering blocks are there."""
+    b = blocks_of(spark, sf_dir)
+    s = b.filter("req_id % 2 = 0").select("key", "block_index").distinct().withColumn("there", F.lit(True))
+    return b.select("req_id", "key", "block_index").join(s, ["key", "block_index"], "left").groupBy("req_id").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("served"))
+
+
+@query(with_views("objects requests", "") + " SELECT r.req_id, CASE WHEN o.doc_id IS NULL THEN 404 ELSE 200 END AS status, o.size FROM requests r LEFT JOIN (SELECT * FROM objects WHERE doc_id % 3 <> 0) o USING (doc_id)")
+def metadata_only_scan(spark, sf_dir):
+    o = trace.objects(spark, sf_dir, etags=False).filter("doc_id % 3 <> 0").select("doc_id", "size")
+    return trace.requests(spark, sf_dir).join(o, "doc_id", "left").select("req_id", F.when(F.col("size").isNull(), 404).otherwise(200).alias("status"), "size")
+
+
+@query(with_views("objects requests resolved gets blocks", "") + " SELECT req_id, string_agg(block_index::VARCHAR, ',' ORDER BY block_index) AS body FROM blocks GROUP BY req_id")
+def ordered_merge(spark, sf_dir):
+    """Parts put together strictly in order, whatever order they came in."""
+    b = blocks_of(spark, sf_dir)
+    return b.groupBy("req_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("block_index")), lambda x: x.cast("string")), ",").alias("body"))
+
+
+@query("SELECT event_id AS n, (CASE WHEN 1 = 1 THEN ((event_id % 100) // 10 * 5 + (event_id % 100 - event_id % 100 // 10 * 10) % 5) END * 2 + 1)::BIGINT AS key FROM events")
+def sequential_keys(spark, sf_dir):
+    """Host 1 of 2 over 100 keys: windows of 5 keys, each read twice."""
+    e = trace.read(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("n"), workload.sequential_key(F.col("event_id"), 5, 2, 1, 2, 100).alias("key"))
+
+
+@query(f"SELECT event_id AS rank, ((event_id::HUGEINT * {workload.scatter_multiplier(1009)}) % 1009)::BIGINT AS key FROM events")
+def zipf_scatter(spark, sf_dir):
+    return trace.read(spark, sf_dir, "events").select(F.col("event_id").alias("rank"), workload.scatter(F.col("event_id"), 1009).alias("key"))
+
+
+@query(with_views("requests", "") + " SELECT req_id, greatest(0, ts_ms * 1000 - (1704067200000000 + req_id * 200000)) + first_byte_us AS latency_us FROM requests")
+def open_loop_latency(spark, sf_dir):
+    due = F.lit(1704067200000000) + F.col("req_id") * 200000
+    return trace.requests(spark, sf_dir).select("req_id", workload.open_loop_latency(due, F.col("ts_ms") * 1000, F.col("first_byte_us")).alias("latency_us"))
+
+
+@query("SELECT event_id, CASE WHEN (event_id % 1000) / 1000.0 * 10 < 7 THEN 0 WHEN (event_id % 1000) / 1000.0 * 10 < 9 THEN 1 ELSE 2 END AS pick FROM events")
+def weighted_mix(spark, sf_dir):
+    return trace.read(spark, sf_dir, "events").select("event_id", workload.weighted_pick((F.col("event_id") % 1000) / 1000.0, [7, 2, 1]).alias("pick"))
+
+
+@query(
+    with_views("objects", "")
+    + " SELECT doc_id, CASE WHEN 512 >= size THEN 'whole' ELSE 'inclusive' END AS kind, CASE WHEN 512 < size THEN (doc_id * 7919) % (size - 512 + 1) END AS a, CASE WHEN 512 < size THEN (doc_id * 7919) % (size - 512 + 1) + 511 END AS b FROM objects"
+)
+def range_draw(spark, sf_dir):
+    """A 512-byte range at a hashed place of each object; the whole object if it is no larger."""
+    o = trace.objects(spark, sf_dir, etags=False)
+    big = F.col("size") > 512
+    at = (F.col("doc_id") * 7919) % F.when(big, F.col("size") - 512 + 1)
+    return o.select("doc_id", F.when(big, "inclusive").otherwise("whole").alias("kind"), at.alias("a"), (at + 511).alias("b"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN (o_orderkey % 97) * 1024 WHEN 1 THEN (o_orderkey % 97) * 1048576 WHEN 2 THEN o_orderkey % 97 END AS bytes, CASE o_orderkey % 5 WHEN 3 THEN (o_orderkey % 97) * 1000000 WHEN 4 THEN (o_orderkey % 97) * 1000 END AS micros FROM orders")
+def unit_parse(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.concat((k % 97).cast("string"), F.when(k % 5 == 0, "KiB").when(k % 5 == 1, " MiB").when(k % 5 == 2, "").when(k % 5 == 3, "s").otherwise("ms"))
+    return trace.read(spark, sf_dir, "orders").select("o_orderkey", units.parse_bytes(text).alias("bytes"), units.parse_duration(text).alias("micros"))
+
+
+@query("SELECT least(greatest(1 << length(bin(greatest(l_quantity::BIGINT * 64 - 1, 1))), 256), 4096) AS slot, count(*) AS blocks FROM lineitem GROUP BY 1")
+def class_usage_slots(spark, sf_dir):
+    n = (F.col("l_quantity").cast("long") * 64).alias("n")
+    return trace.read(spark, sf_dir, "lineitem").groupBy(units.size_class(n, 256, 4096).alias("slot")).agg(F.count(F.lit(1)).alias("blocks"))
+
+
+@query(
+    with_views("bulk", "")
+    + ", b AS (SELECT order_key, size, unnest(range(first // 256, greatest(stop - 1, first) // 256 + 1)) AS i FROM bulk), p AS (SELECT order_key, CASE WHEN i < 4 OR (i + 1) * 256 > greatest(size - 1024, 0) THEN -1 ELSE i // 4 END AS c FROM b), d AS (SELECT order_key, c, count(*) AS n FROM p GROUP BY ALL), "
+    "o AS (SELECT order_key, c, n, max_by(k, (h, k)) AS node FROM (SELECT order_key, c, n, k, ('0x' || substr(md5(order_key || '#' || c || '@' || k), 1, 13))::BIGINT AS h FROM d CROSS JOIN (SELECT unnest(range(1, 6)) AS k)) GROUP BY ALL) SELECT node, count(*) AS placements, sum(n)::BIGINT AS blocks FROM o GROUP BY node"
+)
+def bulk_node_load(spark, sf_dir):
+    """Load of five equal nodes under the benchmark trace; placements are ranked once each."""
+    t = trace.bulk_reads(spark, sf_dir)
+    b = t.select("order_key", "size", F.explode(F.sequence(F.floor(F.col("first") / 256), F.floor(F.greatest(F.col("stop") - 1, F.col("first")) / 256))).alias("i"))
+    d = b.groupBy("order_key", F.coalesce(LAYOUT.chunk_of(F.col("i"), F.col("size")), F.lit(-1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    text = lambda k: F.concat(F.col("order_key"), F.lit("#"), F.col("c"), F.lit("@"), F.lit(k))
+    best = F.array_max(F.array(*[F.struct(portable(text(k)).alias("h"), F.lit(k).alias("k")) for k in range(1, 6)]))
+    return d.withColumn("node", best["k"].cast("long")).groupBy("node").agg(F.count(F.lit(1)).alias("placements"), F.sum("n").alias("blocks"))

@@ -93,7 +93,7 @@ def object_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "objects": """objects AS (SELECT 'docs' AS bucket, lang || '/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.parquet' WHEN 1 THEN '.orc' WHEN 2 THEN '.safetensors' ELSE '.txt' END AS key,
   doc_id, n_chars AS size, '"' || md5(text) || '"' AS etag FROM documents)""",
-    "requests": """requests AS (SELECT event_id AS req_id, epoch_ms(ts) AS ts_ms, user_id AS client, CASE event_type WHEN 'view' THEN 'HEAD' WHEN 'purchase' THEN 'PUT' ELSE 'GET' END AS method, event_type,
+    "requests": """requests AS (SELECT event_id AS req_id, (epoch_us(ts) // 1000) AS ts_ms, user_id AS client, CASE event_type WHEN 'view' THEN 'HEAD' WHEN 'purchase' THEN 'PUT' ELSE 'GET' END AS method, event_type,
   json_extract(props, '$.k')::BIGINT AS doc_id, CASE event_id % 5 WHEN 0 THEN 'whole' WHEN 2 THEN 'from' WHEN 3 THEN 'suffix' ELSE 'inclusive' END AS kind,
   CASE event_id % 5 WHEN 3 THEN (event_id * 31) % 2048 + 1 WHEN 4 THEN (event_id * 97) % 4096 + 1 ELSE (event_id * 97) % 4096 END AS a,
   CASE event_id % 5 WHEN 1 THEN (event_id * 97) % 4096 + (event_id * 31) % 2048 WHEN 4 THEN (event_id * 97) % 4096 END AS b, round(value * 1000)::BIGINT AS first_byte_us FROM events)""",
@@ -111,7 +111,7 @@ SQL = {
   CASE WHEN c_mktsegment = 'MACHINERY' THEN 3 WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 2 ELSE 1 END AS level FROM customer)""",
     "states": """states AS (SELECT doc_id, req_id, ts_ms AS valid_from, lead(ts_ms) OVER (PARTITION BY doc_id ORDER BY ts_ms, req_id) AS valid_to,
   CASE WHEN req_id % 7 <> 0 THEN '"v' || req_id || '"' END AS etag FROM requests WHERE event_type = 'purchase')""",
-    "bulk": """bulk AS (SELECT l_orderkey AS order_key, l_linenumber AS line, epoch_ms(l_shipdate) AS ts_ms, size, first, least(first + (l_quantity * 64)::BIGINT, size) AS stop FROM (
+    "bulk": """bulk AS (SELECT l_orderkey AS order_key, l_linenumber AS line, (epoch_us(l_shipdate) // 1000) AS ts_ms, size, first, least(first + (l_quantity * 64)::BIGINT, size) AS stop FROM (
   SELECT l.*, greatest(1, floor(o_totalprice))::BIGINT AS size, (floor(l_extendedprice)::BIGINT % greatest(1, floor(o_totalprice))::BIGINT) AS first FROM lineitem l JOIN orders ON l_orderkey = o_orderkey))""",
 }
 
