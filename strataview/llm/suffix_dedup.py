@@ -7,8 +7,8 @@ look: a run of strings that share an anchor occurrence is one candidate, and
 candidates whose gram occurs nowhere else are done. Of the rest, candidates
 with identical bytes are merged before anything is sorted.
 
-What is left is dealt out by anchor, in chunks of bounded size. In each chunk
-the strings' suffixes are sorted by their bytes (a sparse suffix array), and
+What is left is dealt out by anchor, in chunks of bounded size. There the
+strings' suffixes are sorted by their bytes (a sparse suffix array), and
 longest-previous-factor values come from the previous and next smaller
 positions in suffix order: a value of at least ``length`` means an earlier
 copy in text order. A group larger than one chunk sends each distinct string
@@ -126,6 +126,63 @@ def previous_factors(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return lpf[back], any_[back]
 
 
+#: Strings in memory at once while a bucket is matched.
+PORTION = 20_000
+
+
+def _portions(gram: np.ndarray, at: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows (sorted by anchor) and the stretch [lo, hi) of each row's strings,
+    in portions of bounded size. Equal strings share an anchor, and lie at one
+    distance from it, so a portion holds whole anchors, or, of an anchor with
+    many strings, all those at some distances."""
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(gram)) + 1, [len(gram)]])
+    rows: list[np.ndarray] = []
+    held = 0
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        r, n = np.arange(a, b), int(sizes[a:b].sum())
+        if n > PORTION:
+            far = at[r] - first[r]  # distance of a row's first string; its last one's is far - size + 1
+            step = max(1, PORTION // len(r))
+            for d in range(int((far - sizes[r]).min()) + 1, int(far.max()) + 1, step):
+                lo, hi = np.clip(far - d - step + 1, 0, sizes[r]), np.clip(far - d + 1, 0, sizes[r])
+                some = hi > lo
+                yield r[some], lo[some], hi[some]
+            continue
+        if held + n > PORTION and rows:
+            every = np.concatenate(rows)
+            yield every, np.zeros(len(every), np.int64), sizes[every]
+            rows, held = [], 0
+        rows.append(r)
+        held += n
+    if rows:
+        every = np.concatenate(rows)
+        yield every, np.zeros(len(every), np.int64), sizes[every]
+
+
+def _matches(pdf: pd.DataFrame, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, keep_first: bool) -> list[pd.DataFrame]:
+    """Spans of the strings of one portion that occur before (or anywhere
+    else), and, of anchors dealt out in several chunks, digests of the first of
+    each distinct string."""
+    if not len(rows):
+        return []
+    raw = pdf["bytes"].to_numpy()
+    strings = [raw[r][i : i + length] for r, x, y in zip(rows.tolist(), lo.tolist(), hi.tolist(), strict=True) for i in range(x, y)]
+    n = hi - lo
+    row = np.repeat(rows, n)
+    start = np.repeat(pdf["first"].to_numpy()[rows] + lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(len(row))
+    lpf, anywhere = previous_factors(strings)
+    doc = pdf["doc"].to_numpy()[row]
+    hit = (lpf if keep_first else anywhere) >= length
+    joined = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
+    begin = np.flatnonzero(hit & ~np.concatenate([[False], joined]))
+    stop = np.flatnonzero(hit & ~np.concatenate([joined, [False]]))
+    out = [pd.DataFrame({"doc": doc[begin], "s": start[begin], "e": start[stop] + length, "digest": None})] if len(begin) else []
+    lone = np.flatnonzero((lpf < length) & pdf["split"].to_numpy()[row])
+    if len(lone):
+        out.append(pd.DataFrame({"doc": doc[lone], "s": start[lone], "e": start[lone] + length, "digest": [hashlib.blake2b(strings[i], digest_size=12).digest() for i in lone]}))
+    return out
+
+
 CANDIDATE = "gram long, doc bigint, at int, first int, last int, same binary"
 
 
@@ -163,7 +220,7 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, CANDIDATE)
 
 
-def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | None = None, chunk_rows: int = 2500, bucket_rows: int = 800, broadcast_rows: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | None = None, chunk_rows: int = 20_000, bucket_rows: int = 800, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Spans of bytes to remove: ``doc, spans array<struct<s,e>>`` (disjoint,
     sorted) from rows ``doc`` (unique long), ``text``. Text order is ``doc``,
     then place. ``chunk_rows`` bounds the candidates of one anchor in a chunk;
@@ -204,25 +261,12 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
     buckets = max(1, n_wanted // bucket_rows)
     chunks = F.ceil(F.col("w.kinds") / chunk_rows)
     bucket = F.pmod(F.xxhash64("w.gram", F.pmod(F.xxhash64("doc", "w.at"), chunks)), F.lit(buckets))
-    dealt = withbytes.select("doc", "w.at", "w.first", "bytes", (chunks > 1).alias("split"), bucket.alias("bucket"))
+    dealt = withbytes.select("w.gram", "doc", "w.at", "w.first", "bytes", (chunks > 1).alias("split"), bucket.alias("bucket"))
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc", "at", "first"], kind="stable")
-        strings = [b[i : i + length] for b in pdf["bytes"] for i in range(len(b) - length + 1)]
-        sizes = pdf["bytes"].str.len().to_numpy() - length + 1
-        row = np.repeat(np.arange(len(pdf)), sizes)
-        start = np.repeat(pdf["first"].to_numpy() - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(row))
-        lpf, anywhere = previous_factors(strings)
-        doc = pdf["doc"].to_numpy()[row]
-        hit = (lpf if keep_first else anywhere) >= length
-        joined = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
-        begin = np.flatnonzero(hit & ~np.concatenate([[False], joined]))
-        stop = np.flatnonzero(hit & ~np.concatenate([joined, [False]]))
-        out = pd.DataFrame({"doc": doc[begin], "s": start[begin], "e": start[stop] + length, "digest": None})
-        # copies may lie in other chunks of a large group: the first of each distinct string goes there as a digest
-        lone = np.flatnonzero((lpf < length) & pdf["split"].to_numpy()[row])
-        more = pd.DataFrame({"doc": doc[lone], "s": start[lone], "e": start[lone] + length, "digest": [hashlib.blake2b(strings[i], digest_size=12).digest() for i in lone]})
-        return pd.concat([out, more]) if len(more) else out
+        pdf = pdf.sort_values(["gram", "doc", "at", "first"], kind="stable")
+        out = [f for part in _portions(pdf["gram"].to_numpy(), pdf["at"].to_numpy(), pdf["first"].to_numpy(), pdf["bytes"].str.len().to_numpy() - length + 1) for f in _matches(pdf, *part, length, keep_first)]
+        return pd.concat(out) if out else pd.DataFrame({"doc": [], "s": [], "e": [], "digest": []})
 
     local, p_local = written(dealt.groupBy("bucket").applyInPandas(match, "doc long, s int, e int, digest binary"), "local")
     inside = local.filter("digest is null").select("doc", "s", "e")

@@ -434,7 +434,8 @@ def repeats_truth(rows, length, keep_first):
 
 @pytest.mark.parametrize("keep_first", [False, True])
 @pytest.mark.parametrize("chunk_rows", [2500, 3])
-def test_repeats_against_brute_force(spark, unique, keep_first, chunk_rows):
+def test_repeats_against_brute_force(spark, unique, keep_first, chunk_rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PORTION", 40)
     rng = random.Random(11)
     stem = prose(rng, 60)
     more = [(2000 + i, prose(rng, 12) + stem[rng.randrange(80) :] + prose(rng, 12)) for i in range(20)]
