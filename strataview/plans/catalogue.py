@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -830,3 +831,84 @@ def bulk_node_load(spark, sf_dir):
     text = lambda k: F.concat(F.col("order_key"), F.lit("#"), F.col("c"), F.lit("@"), F.lit(k))
     best = F.array_max(F.array(*[F.struct(portable(text(k)).alias("h"), F.lit(k).alias("k")) for k in range(1, 6)]))
     return d.withColumn("node", best["k"].cast("long")).groupBy("node").agg(F.count(F.lit(1)).alias("placements"), F.sum("n").alias("blocks"))
+
+
+# -- not expressible in SQL: held against golden vectors and replays in tests -----------------------------------------
+
+
+def _node_blocks(spark, sf_dir):
+    b = blocks_of(spark, sf_dir)
+    size = F.least((F.col("block_index") + 1) * 256, F.col("size")) - F.col("block_index") * 256
+    return b.select((F.col("client") % 4).alias("node"), "ts_ms", "req_id", "block_index", F.xxhash64("key", "block_index").alias("block"), size.alias("len"))
+
+
+def _sim(spark, sf_dir):
+    from ..operators.cache_sim import simulate
+
+    return simulate(_node_blocks(spark, sf_dir), "node", ["ts_ms", "req_id", "block_index"], "block", "len", extent_size=4096, extents=16, least_slot=16, most_slot=256, window=1024)
+
+
+@query(None)
+def cache_sim_summary(spark, sf_dir):
+    return _sim(spark, sf_dir).filter("not startswith(name, 'class_') and not startswith(name, 'miss_')")
+
+
+@query(None)
+def miss_classes(spark, sf_dir):
+    return _sim(spark, sf_dir).filter("startswith(name, 'miss_')")
+
+
+@query(None)
+def class_usage(spark, sf_dir):
+    return _sim(spark, sf_dir).filter("startswith(name, 'class_')")
+
+
+@query(None)
+def lease_log(spark, sf_dir):
+    from ..operators.cache_sim import leases
+
+    r = trace.requests(spark, sf_dir).filter("method = 'GET'").select("doc_id", "ts_ms", "req_id")
+    return leases(r, ["doc_id"], "ts_ms", ["ts_ms", "req_id"], 86_400_000, 3, 43_200_000)
+
+
+@query(None)
+def placement_xxh3(spark, sf_dir):
+    """Owners under the faithful hash; scores are compared on 53-bit draws."""
+    from ..functions.hashing import xxh3_draw, xxh3_placement
+
+    p = places_of(spark, sf_dir).withColumn("placement", xxh3_placement(F.lit("docs"), F.col("key"), F.col("chunk")))
+    j = p.crossJoin(placement.bounded_ring(trace.ring(spark, sf_dir, 4)))
+    j = j.withColumn("draw", xxh3_draw(F.col("placement"), F.col("node_id")))
+    score = F.col("weight") / -F.ln((F.col("draw") + F.lit(0.5)) / F.lit(float(1 << 53)))
+    return j.groupBy("key", "chunk").agg(F.max_by("node_id", F.struct(score.alias("s"), "node_id")).alias("node_id"))
+
+
+@query(None)
+def format_spans(spark, sf_dir):
+    """Metadata spans from made-up trailers of each object's format."""
+    from ..sources.formats import detect, spans
+
+    o = trace.objects(spark, sf_dir, etags=False).withColumn("format", detect(F.col("key")))
+    le = lambda n, width: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0")) for i in range(width)])
+    footer = F.floor(F.col("size") / 4).cast("long")
+    raw = F.when(F.col("format") == "parquet", F.concat(le(footer, 4), F.lit("PAR1").cast("binary"))).when(F.col("format") == "safetensors", le(footer, 8))
+    return o.select("key", "format", spans(F.col("format"), F.col("size"), raw).alias("s")).select("key", "format", "s.start", "s.end")
+
+
+@query(None)
+def sigv4_verify(spark, sf_dir):
+    """Signatures of access-log rows; a tenth are signed with another secret."""
+    from ..functions import sigv4
+
+    j = trace.requests(spark, sf_dir).join(trace.objects(spark, sf_dir, etags=False), "doc_id").withColumn("amz_date", F.lit("20260927T123456Z"))
+
+    def sign(i: pd.Series, m: pd.Series, k: pd.Series, d: pd.Series) -> pd.Series:
+        out = []
+        for n, met, key, day in zip(i, m, k, d, strict=True):
+            req = sigv4.canonical_request(met, f"/docs/{key}", "", {"host": "s3.example", "x-amz-content-sha256": "UNSIGNED-PAYLOAD", "x-amz-date": day}, "UNSIGNED-PAYLOAD")
+            out.append(sigv4.signature("wrong" if n % 10 == 0 else "secret", day, "us-east-1", req))
+        return pd.Series(out)
+
+    j = j.withColumn("given", F.pandas_udf(sign, "string")("req_id", "method", "key", "amz_date"))
+    ok = sigv4.verify(F.lit("secret"), F.col("amz_date"), F.lit("us-east-1"), F.col("method"), F.concat(F.lit("/docs/"), "key"), F.lit(""), F.lit("s3.example"), F.col("given"))
+    return j.select("req_id", ok.alias("valid"))

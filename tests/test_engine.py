@@ -1,0 +1,333 @@
+"""The engine: golden values, DuckDB twins of every catalogued query, replays."""
+
+import os
+import struct
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataview.functions import hashing, layout, ranges, requests, sigv4, units
+from strataview.operators import admission, cache_sim, history, metrics, placement, workload
+from strataview.plans import catalogue
+from strataview.sources import formats, slot_table
+from strataview.sources.events import parse_changes, parse_time
+from strataview.streaming import operators as streaming
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def duck():
+    import duckdb
+
+    con = duckdb.connect()
+    for f in os.listdir(SF):
+        con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{SF}/{f}')")
+    return con
+
+
+def plain(v):
+    if v is None or (isinstance(v, float) and v != v):
+        return None
+    return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+def test_query_against_duckdb(spark, duck, name):
+    got = catalogue.QUERIES[name](spark, SF)
+    rows = got.collect()
+    if name not in catalogue.ORACLES:
+        assert rows
+        return
+    rel = duck.execute(catalogue.ORACLES[name])
+    cols = [c[0] for c in rel.description]
+    assert sorted(cols) == sorted(got.columns)
+    order = [cols.index(c) for c in sorted(cols)]
+    want = Counter(tuple(plain(r[i]) for i in order) for r in rel.fetchall())
+    assert Counter(tuple(plain(r[c]) for c in sorted(cols)) for r in rows) == want
+
+
+def one(spark, expr):
+    return spark.range(1).select(expr.alias("x")).first()["x"]
+
+
+def test_ranges_resolve(spark):
+    cases = {(10, "0-0"): (0, 0), (10, "5-100"): (5, 9), (10, "10-12"): None, (10, "9-"): (9, 9), (10, "10-"): None, (10, "-3"): (7, 9), (10, "-30"): (0, 9), (10, "-0"): None, (0, "0-"): None}
+    d = spark.createDataFrame([(s, f"bytes={r}") for s, r in cases], "size long, h string").withColumn("p", ranges.parse_range(F.col("h")))
+    d = d.select("size", "h", ranges.resolve(F.col("p.kind"), F.col("p.a"), F.col("p.b"), F.col("size")).alias("r"))
+    got = {(r["size"], r["h"][6:]): None if r["r"]["first"] is None else (r["r"]["first"], r["r"]["last"]) for r in d.collect()}
+    assert got == cases
+    assert one(spark, ranges.is_valid(F.lit("inclusive"), F.lit(5), F.lit(3))) is False
+
+
+def test_layout_runs(spark):
+    lay = layout.Layout(10, 4)
+    d = spark.range(1).select(F.lit(125).cast("long").alias("size"), F.explode(lay.blocks(F.lit(5), F.lit(124))).alias("block_index"))
+    d = d.withColumn("chunk", lay.chunk_of(F.col("block_index"), F.col("size")))
+    assert [r["chunk"] for r in d.orderBy("block_index").collect()] == [None] * 4 + [1] * 4 + [None] * 5
+    got = sorted((r["lo"] * 10, r["chunk"], r["hi"] * 10 + 9) for r in layout.runs(d, ["size"]).collect())
+    assert got == [(0, None, 39), (40, 1, 79), (80, None, 129)]
+
+
+def test_placement_vectors():
+    ring = {1: 1, 2: 1, 3: 2, 4: 1}
+    import math
+
+    def owner(h):
+        return max(ring, key=lambda n: (ring[n] / -math.log((hashing.draw(h, n) + 0.5) / 2**53), n))
+
+    assert [owner(hashing.placement_hash("bucket", f"table/part-{i}.parquet", None)) for i in range(8)] == [1, 3, 2, 3, 1, 1, 3, 3]
+    assert [owner(hashing.placement_hash("bucket", "table/part-0.parquet", c)) for c in range(8)] == [4, 3, 1, 4, 4, 3, 4, 2]
+
+
+def test_placement_xxh3_in_spark(spark):
+    d = spark.createDataFrame([(f"table/part-{i}.parquet", None) for i in range(8)], "key string, chunk long")
+    got = {r["key"]: r["p"] & (1 << 64) - 1 for r in d.select("key", hashing.xxh3_placement(F.lit("bucket"), F.col("key"), F.col("chunk")).alias("p")).collect()}
+    assert got == {f"table/part-{i}.parquet": hashing.placement_hash("bucket", f"table/part-{i}.parquet", None) for i in range(8)}
+
+
+def test_weighted_split_and_ring_growth(spark):
+    p = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"), F.lit(None).cast("long").alias("chunk"))
+    ring = lambda ws: spark.createDataFrame([(i + 1, w) for i, w in enumerate(ws)], "node_id long, weight int")
+    n = {r["node_id"]: r["count"] for r in placement.owners(p, ring([1, 2, 3])).groupBy("node_id").count().collect()}
+    assert all(abs(n[i] - 20000 * i / 6) < 0.06 * 20000 * i / 6 for i in (1, 2, 3))
+    m = placement.moves(p, ring([1] * 3), ring([1] * 4))
+    assert {r["new_node"] for r in m.collect()} == {4} and 0.22 < m.count() / 20000 < 0.28
+
+
+def test_ties_go_to_the_larger_id(spark, monkeypatch):
+    monkeypatch.setattr(placement, "portable", lambda t: F.lit(7))
+    p = spark.createDataFrame([("k", None)], "key string, chunk long")
+    assert placement.owners(p, spark.createDataFrame([(3, 1), (8, 1), (5, 1)], "node_id long, weight int"), uniform=True).first()["node_id"] == 8
+
+
+def test_doorkeeper_forgets():
+    d = cache_sim.Doorkeeper(100)
+    d.insert(12345)
+    for i in range(1, 150):
+        d.insert(i * 0x9E3779B97F4A7C15 & cache_sim.MASK)
+    assert 12345 in d
+    for i in range(150, 300):
+        d.insert(i * 0x9E3779B97F4A7C15 & cache_sim.MASK)
+    assert 12345 not in d
+    b = cache_sim.Bloom(1000)
+    for i in range(1000):
+        b.add(i * 0xD6E8FEB86659FD93 & cache_sim.MASK)
+    assert sum(i * 0xD6E8FEB86659FD93 & cache_sim.MASK in b for i in range(1000, 6000)) < 100
+
+
+def test_store_evicts_in_order_and_remembers():
+    s = cache_sim.Store(64, 2, 4, 16)
+    for k in range(8):
+        assert s.fill(k, 16)
+    s.hit(0)
+    assert s.fill(8, 16) and s.log == [1]
+    s = cache_sim.Store(64, 2, 4, 16)
+    for k in range(9):
+        s.fill(k, 16)
+    assert s.log == [0] and 0 in s.ghosts
+    s.fill(0, 16)
+    assert s.blocks[0].queue == "main"
+
+
+def test_second_read_is_stored_and_scans_do_not_evict():
+    sim = cache_sim.NodeSim(cache_sim.Store(256, 16, 16, 64), cache_sim.Doorkeeper(1024))
+    sim.read(1, 64)
+    assert sim.counts.get("stored") is None
+    sim.read(1, 64)
+    sim.read(1, 64)
+    assert sim.counts["written_bytes"] == 64 and sim.counts["hit_bytes"] == 64
+    for first_read in (False, True):
+        sim = cache_sim.NodeSim(cache_sim.Store(256, 16, 16, 64), None if first_read else cache_sim.Doorkeeper(1024))
+        hot = [k * 7919 + 1 for k in range(16)]
+        for _ in range(3):
+            for k in hot:
+                sim.read(k, 64)
+        for i in range(400):
+            sim.read(10**6 + i * 104729, 64)
+        before = sim.counts["hits"]
+        for k in hot:
+            sim.read(k, 64)
+        assert sim.counts["hits"] - before == len(hot)
+
+
+def test_class_shift_frees_an_extent():
+    s = cache_sim.Store(64, 1, 4, 64)
+    for k in range(16):
+        assert s.fill(k, 4)
+    assert s.fill(100, 64) and s.usage() == {64: (1, 1)}
+
+
+def test_simulation_is_grouped_by_node(spark):
+    rows = [(n, t, k, 64) for n in (1, 2) for t, k in enumerate([5, 5, 5, 6])]
+    got = {(r["node"], r["name"]): r["value"] for r in cache_sim.simulate(spark.createDataFrame(rows, "node long, t long, k long, len long"), "node", ["t"], "k", "len", 256, 4, 16, 64, 100).collect()}
+    for n in (1, 2):
+        assert (got[n, "hits"], got[n, "fetched"], got[n, "stored"], got[n, "refused"]) == (1, 3, 1, 2)
+        assert got[n, "stored"] + got[n, "refused"] + got[n, "full"] == got[n, "miss_new"] + got[n, "miss_unadmitted"] + got[n, "miss_evicted"]
+
+
+def test_leases_start_at_the_first_read(spark):
+    d = spark.createDataFrame([(1, t) for t in (100, 900, 1050, 1150, 5000, 5001)], "doc long, t long")
+    got = [tuple(r) for r in cache_sim.leases(d, ["doc"], "t", ["t"], 1000, 3, 2000).collect()]
+    assert got == [(1, 1050, 3050, 1)]
+
+
+def test_format_spans():
+    assert formats.metadata_span("parquet", 1000, struct.pack("<I", 300) + b"PAR1") == (692, 992)
+    assert formats.metadata_span("parquet", 1000, struct.pack("<I", 300) + b"PAR2") is None
+    assert formats.metadata_span("parquet", 1000, struct.pack("<I", 2000) + b"PAR1") is None
+    ps = bytes([0x08]) + bytes([0xD2, 0x09]) + bytes([0x28, 0x05]) + b"\x82\xf4\x03\x03ORC"
+    tail = ps + bytes([len(ps)])
+    assert formats.metadata_span("orc", 5000, b"x" * 20 + tail) == (5000 - len(tail) - 1234 - 5, 5000 - len(tail))
+    assert formats.metadata_span("safetensors", 2000, struct.pack("<Q", 700)) == (8, 708)
+    assert formats.metadata_span("safetensors", 100, struct.pack("<Q", 700)) is None and formats.metadata_span(None, 5, b"") is None
+
+
+def test_slot_table(spark, tmp_path):
+    recs = [slot_table.encode(1 << 63 | i, bytes(range(16)), i, 100 + i, i * 7, 3, i << 12) for i in range(10)]
+    recs[4] = b"\0" * 64
+    recs[6] = recs[6][:20] + b"\xff" + recs[6][21:]
+    f = tmp_path / "slots"
+    f.write_bytes(b"\0" * slot_table.HEADER + b"".join(recs))
+    spark.dataSource.register(slot_table.SlotTable)
+    df = spark.read.format("slot_table").option("partrecords", 3).load(str(f))
+    got = {r["slot"]: r for r in df.collect()}
+    assert sorted(got) == [0, 1, 2, 3, 5, 6, 7, 8, 9] and df.rdd.getNumPartitions() == 4
+    assert [s for s, r in got.items() if not r["valid"]] == [6] and got[9]["len"] == 109 and got[9]["offset"] == 9 << 12
+
+
+def test_signature_of_the_public_example():
+    req = sigv4.canonical_request("GET", "/test.txt", "", {"Host": "examplebucket.s3.amazonaws.com", "Range": "bytes=0-9", "x-amz-content-sha256": "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", "x-amz-date": "20130524T000000Z"}, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
+    assert sigv4.signature("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "20130524T000000Z", "us-east-1", req) == "f0e8bdb87c964420e857bd35b5d6ed310bd44f0170aba48dd91039c6036bdb41"
+
+
+def test_signature_query_marks_wrong_secrets(spark):
+    assert {(r["req_id"] % 10 != 0) == r["valid"] for r in catalogue.QUERIES["sigv4_verify"](spark, SF).collect()} == {True}
+
+
+def test_event_times(spark):
+    bad = ["2026-09-27", "2026-09-27T12:34:56", "x", "20266-09-27T12:34:56Z", None]
+    d = spark.createDataFrame([(t,) for t in [*bad, "2026-09-27T12:34:56.789Z", "2026-09-27T12:34:60Z", "2026-09-27T12:34:61Z"]], "t string").select("t", parse_time(F.col("t")).alias("ms"))
+    got = {r["t"]: r["ms"] for r in d.collect()}
+    assert all(got[t] is None for t in bad) and got["2026-09-27T12:34:61Z"] is None
+    assert got["2026-09-27T12:34:56.789Z"] == 1790512496789
+
+
+def test_event_bodies(spark):
+    rec = '{"eventName":"%s","eventTime":"2026-09-27T12:34:56.789Z","s3":{"bucket":{"name":"b"},"object":{"key":"%s","eTag":"%s"}}}'
+    direct = '{"Records":[' + rec % ("ObjectCreated:Put", "a+b%2Bc/d", "0123abcd") + "," + rec % ("ObjectRemoved:Delete", "gone", "x") + "]}"
+    wrapped = '{"Type":"Notification","Message":"' + ('{"Records":[' + rec % ("ObjectCreated:Copy", "k", "ff") + "]}").replace('"', '\\"') + '"}'
+    d = spark.createDataFrame([(1, direct), (2, wrapped), (3, '{"Event":"s3:TestEvent"}'), (4, "junk")], "i int, body string")
+    got = {(r["i"], r["key"]): (r["etag"], r["event_ms"]) for r in parse_changes(d, "body").collect()}
+    assert got == {(1, "a b+c/d"): ('"0123abcd"', 1790512496789), (1, "gone"): (None, 1790512496789), (2, "k"): ('"ff"', 1790512496789)}
+
+
+def test_histogram(spark):
+    d = spark.range(256).select(F.col("id").alias("v"))
+    got = {r["share"]: r["percentile"] for r in metrics.percentiles(metrics.loglinear_histogram(d, [], F.col("v"), 7), [], [0.5, 1.0], 7).collect()}
+    assert got == {0.5: 127, 1.0: 255}
+    d = spark.range(1, 100001).select((F.col("id") * 10).alias("v"))
+    h = metrics.loglinear_histogram(d, [], F.col("v"), 7)
+    for r in metrics.percentiles(h, [], [0.5, 0.99, 0.999], 7).collect():
+        assert abs(r["percentile"] - r["share"] * 1e6) <= 0.01 * r["share"] * 1e6
+    a, b = (metrics.loglinear_histogram(spark.range(x, x + 1000).select(F.col("id").alias("v")), [], F.col("v"), 7) for x in (0, 1000))
+    both = metrics.merge_histograms(a.union(b), [])
+    assert both.agg(F.sum("n"), F.max("max_value")).first()[:] == (2000, 1999)
+    assert 995 <= metrics.percentiles(both, [], [0.5], 7).first()["percentile"] <= 1005
+
+
+def test_counters_restart(spark):
+    rows = [(0, "before", 1, 50), (0, "after", 1, 80), (1, "before", 1, 40), (1, "after", 2, 7), (2, "before", 1, 9)]
+    g = metrics.counter_growth(spark.createDataFrame(rows, "process int, moment string, started int, value long"), ["process"])
+    assert {r["process"]: r["growth"] for r in g.collect()} == {0: 30, 1: 7}
+
+
+def test_workload(spark):
+    d = spark.range(8).select(workload.sequential_key(F.col("id"), 2, 2, 0, 1, 100).alias("k"))
+    assert [r["k"] for r in d.collect()] == [0, 1, 0, 1, 2, 3, 2, 3]
+    m = workload.scatter_multiplier(1000)
+    assert sorted(r["k"] for r in spark.range(1000).select(workload.scatter(F.col("id"), 1000).alias("k")).collect()) == list(range(1000)) and m % 2
+
+
+def test_units(spark):
+    d = spark.createDataFrame([("4KiB", 4096), ("64 MiB", 64 << 20), ("12", 12), ("x", None), ("3GiB", 3 << 30)], "t string, w long")
+    assert all(r[0] == r[1] for r in d.select(units.parse_bytes(F.col("t")), "w").collect())
+    d = spark.createDataFrame([("30s", 30_000_000), ("5ms", 5000), ("2m", 120_000_000), ("7", None)], "t string, w long")
+    assert all(r[0] == r[1] for r in d.select(units.parse_duration(F.col("t")), "w").collect())
+
+
+def test_listing_needs(spark):
+    assert one(spark, requests.access_needed(F.lit("GET"), F.lit(False), requests.names(F.lit("prefix=a&prefix=b")))) == "invalid"
+    assert one(spark, requests.access_needed(F.lit("HEAD"), F.lit(False), requests.names(F.lit("")))) == "part-read"
+
+
+def test_lookup_classes(spark):
+    c = lambda age, failed: one(spark, admission.lookup_class(F.lit(age), 100, 50, F.lit(failed)))
+    assert [c(50, False), c(51, False), c(100, False), c(101, False), c(101, True), c(151, True)] == ["fresh", "refresh", "refresh", "expired", "grace", "expired"]
+
+
+def test_history_as_of(spark):
+    s = spark.createDataFrame([(1, 10, 1, "a"), (1, 20, 2, None), (1, 20, 3, "c")], "k long, since long, req_id long, etag string")
+    p = spark.createDataFrame([(1, 5), (1, 10), (1, 20), (2, 9)], "k long, t long")
+    got = {(r["k"], r["t"]): (r["state_since"], r["state_value"]) for r in history.as_of(p, s, "k", "t", "since", "etag", "req_id").collect()}
+    assert got == {(1, 5): (None, None), (1, 10): (10, "a"), (1, 20): (20, "c"), (2, 9): (None, None)}
+
+
+# -- streaming --------------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def event_files(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("events")
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/events.parquet").sort_by("ts")
+    for i in range(3):  # three files, older events in older files
+        f = d / f"part-{i}.parquet"
+        pq.write_table(rows.slice(i * 400, 400), f)
+        os.utime(f, (1_700_000_000 + i * 60,) * 2)
+    return str(d)
+
+
+def drain(df, spark, name, tmp_path, mode="append"):
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_hot_stream_equals_batch_on_closed_windows(spark, event_files, tmp_path):
+    got = {(r["start"], r["doc_id"]): r["reads"] for r in drain(streaming.hot_stream(streaming.event_stream(spark, event_files), "1 day", "1 hour", 1), spark, "hot", tmp_path)}
+    e = spark.read.parquet(event_files).withColumn("at", F.col("ts").cast("timestamp")).withColumn("doc_id", F.get_json_object("props", "$.k").cast("long"))
+    want = {(r["w"]["start"], r["doc_id"]): r["n"] for r in e.groupBy(F.window("at", "1 day").alias("w"), "doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last = max(s for s, _ in want)
+    assert got == {k: v for k, v in want.items() if k[0] < last}
+
+
+def test_stream_drops_repeats_and_survives_a_restart(spark, event_files, tmp_path):
+    src = streaming.event_stream(spark, event_files)
+    got = drain(streaming.dedup_stream(src.union(src), "1 hour"), spark, "dedup", tmp_path)
+    assert len(got) == 1000 and len({r["event_id"] for r in got}) == 1000
+    seen = {}
+    sink = lambda df, epoch: seen.update({r["doc_id"]: r["event_id"] for r in df.collect()})
+    for _ in range(2):
+        streaming.invalidations(streaming.event_stream(spark, event_files), sink, str(tmp_path / "inv")).awaitTermination()
+    e = spark.read.parquet(event_files).withColumn("doc_id", F.get_json_object("props", "$.k").cast("long"))
+    assert seen == {r["doc_id"]: r["e"] for r in e.groupBy("doc_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("e")).collect()}
+
+
+def test_lease_stream_equals_batch(spark, event_files, tmp_path):
+    src = streaming.event_stream(spark, event_files).filter("event_type in ('click', 'signup', 'error')")
+    got = {tuple(r) for r in drain(streaming.lease_stream(src, 86_400_000, 2, 43_200_000), spark, "leases", tmp_path)}
+    from strataview.sources import trace
+
+    r = trace.requests(spark, SF).filter("method = 'GET'").select("doc_id", "ts_ms", "req_id")
+    want = {tuple(x)[:3] for x in cache_sim.leases(r, ["doc_id"], "ts_ms", ["ts_ms", "req_id"], 86_400_000, 2, 43_200_000).collect()}
+    assert got == want
+
+
+def test_entry_points(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(e.oracle_sql()) <= set(e.queries())
