@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,13 +37,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def batches(spark: SparkSession, rows: int):
+    """While this holds, Python gets rows in Arrow batches of ``rows``, so that
+    a worker's memory is bounded by few rows, however long they are."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
+def written(df: DataFrame, name: str, batch_rows: int = 1000) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet in the shared folder and read it back: the
     lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataview/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    with batches(spark, batch_rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 
