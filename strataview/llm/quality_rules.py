@@ -9,6 +9,7 @@ measured on a bounded sample; it never changes a verdict.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,24 +60,24 @@ def _repeat_words(words: Column) -> Column:
 @dataclass(frozen=True)
 class Rule:
     name: str
-    fails: Column
+    fails: Callable[[], Column]
     sql: str
 
 
 def rules() -> list[Rule]:
     """The method's rules over ``body`` (the text, null as empty), ``lines`` (lines with a word) and base statistics.
     ``sql`` is the same test in DuckDB, over the same names."""
-    n, body = F.col("n_words"), F.col("body")
-    count = lambda pattern: F.regexp_count(body, F.lit(pattern))
+    n, body = lambda: F.col("n_words"), lambda: F.col("body")  # noqa: E731  (columns need a session; the table does not)
+    count = lambda pattern: F.regexp_count(body(), F.lit(pattern))
     return [
-        Rule("mean_word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n), "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
-        Rule("symbols", 10 * F.col("n_symbols") > 3 * n, "10 * n_symbols > 3 * n_words"),
-        Rule("duplicate_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), "10 * n_dup_lines > 3 * n_lines"),
-        Rule("capitals", 2 * F.length(F.regexp_replace(body, "[^A-Z]", "")) > F.col("word_chars"), "2 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > word_chars"),
-        Rule("exclamations", 10 * (F.length(body) - F.length(F.translate(body, "!", ""))) > 5 * n, "10 * (length(body) - length(replace(body, '!', ''))) > 5 * n_words"),
-        Rule("ellipsis_lines", 10 * count("\\.\\.\\.[ \\t\\r]*(?:\\n|\\z)") > 3 * F.col("n_lines"), "10 * len(regexp_extract_all(body, '\\.\\.\\.[ \\t\\r]*(?:\\n|\\z)')) > 3 * n_lines"),
-        Rule("bullet_lines", 10 * count("(?:^|\\n)[ \\t]*[-*\u2022]") > 9 * F.col("n_lines"), "10 * len(regexp_extract_all(body, '(?:^|\\n)[ \\t]*[-*\u2022]')) > 9 * n_lines"),
-        Rule("digits", 2 * F.length(F.regexp_replace(body, "[^0-9]", "")) > F.col("word_chars"), "2 * length(regexp_replace(body, '[^0-9]', '', 'g')) > word_chars"),
+        Rule("mean_word_length", lambda: (F.col("word_chars") < 2 * n()) | (F.col("word_chars") > 20 * n()), "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
+        Rule("symbols", lambda: 10 * F.col("n_symbols") > 3 * n(), "10 * n_symbols > 3 * n_words"),
+        Rule("duplicate_lines", lambda: 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), "10 * n_dup_lines > 3 * n_lines"),
+        Rule("capitals", lambda: 2 * F.length(F.regexp_replace(body(), "[^A-Z]", "")) > F.col("word_chars"), "2 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > word_chars"),
+        Rule("exclamations", lambda: 10 * (F.length(body()) - F.length(F.translate(body(), "!", ""))) > 5 * n(), "10 * (length(body) - length(replace(body, '!', ''))) > 5 * n_words"),
+        Rule("ellipsis_lines", lambda: 10 * count("\\.\\.\\.[ \\t\\r]*(?:\\n|\\z)") > 3 * F.col("n_lines"), "10 * len(regexp_extract_all(body, '\\.\\.\\.[ \\t\\r]*(?:\\n|\\z)')) > 3 * n_lines"),
+        Rule("bullet_lines", lambda: 10 * count("(?:^|\\n)[ \\t]*[-*\u2022]") > 9 * F.col("n_lines"), "10 * len(regexp_extract_all(body, '(?:^|\\n)[ \\t]*[-*\u2022]')) > 9 * n_lines"),
+        Rule("digits", lambda: 2 * F.length(F.regexp_replace(body(), "[^0-9]", "")) > F.col("word_chars"), "2 * length(regexp_replace(body, '[^0-9]', '', 'g')) > word_chars"),
     ]
 
 
@@ -101,17 +102,23 @@ def plan_order(sample: DataFrame, candidates: list[Rule]) -> list[Rule]:
     """Order rules by rejections per second on ``sample`` (base statistics of a few hundred texts)."""
     held = sample.persist()
     try:
-        rejected = held.select(*[F.count(F.when(r.fails, 1)).alias(r.name) for r in candidates]).first()
+        rejected = held.select(*[F.count(F.when(r.fails(), 1)).alias(r.name) for r in candidates]).first()
         scored = []
         for r in candidates:
             began = time.perf_counter()
-            held.agg(F.count(F.when(r.fails, 1))).collect()
+            held.agg(F.count(F.when(r.fails(), 1))).collect()
             scored.append((rejected[r.name] / max(time.perf_counter() - began, 1e-6), r))
     finally:
         held.unpersist()
     return [r for _, r in sorted(scored, key=lambda x: -x[0])]
 
 
+def _sample(docs: DataFrame, rows: int, text_col: str) -> DataFrame:
+    """The first rows of the first partitions: unlike a cached ``limit``, this reads no more of the table."""
+    got = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text")).limit(rows).toArrow()
+    return docs.sparkSession.createDataFrame(got).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500) -> DataFrame:
     """One row per input row: ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``kept``.
@@ -121,11 +128,11 @@ def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows give a row each; other columns are ignored.
     """
     stats = base_stats(docs, id_col, text_col)
-    ordered = plan_order(base_stats(docs.limit(sample_rows), id_col, text_col), rules())
+    ordered = plan_order(base_stats(_sample(docs, sample_rows, text_col)), rules())
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     kept = F.when(failed, F.lit(False))
     for r in ordered:
-        kept = kept.when(r.fails, F.lit(False))
+        kept = kept.when(r.fails(), F.lit(False))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.otherwise(F.lit(True)).alias("kept"))
 
 
