@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .labelled import fold, training_sample
 
 UNIT, UNITS, WIDTH = 64, 8, 6
@@ -159,11 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int
 def quality_score(text: Column, model: ByteCnn | None) -> Column:
     """The model's probability of label 1 for a text column (1 without a model)."""
 
-    def score(texts: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series(np.ones(len(texts)))
-        out = [model.score([(t or "").encode("utf-8", "replace")])[0] for t in texts]
-        return pd.Series(out, dtype=float)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            if model is None:
+                yield pd.Series(np.ones(len(texts)))
+            else:
+                yield pd.Series([model.score([(t or "").encode("utf-8", "replace")])[0] for t in texts], dtype=float)
+        release()
 
     return F.pandas_udf(score, "double")(text)
 

@@ -70,6 +70,21 @@ def drop(spark: SparkSession, *paths: str) -> None:
         jp.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jp, True)
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers
+    are used again for other work, and would hold each task's peak."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def small_enough(df: DataFrame, most_rows: int) -> bool:
     """Whether ``df`` has at most ``most_rows`` rows (counted, not guessed)."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
 from .shingles import PUNCTUATION, shingle_hashes, word_hashes
 
 BITS = 64
@@ -136,6 +137,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
                             c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
+            release()
 
         got = d.mapInArrow(run, FOUND)
         found = got if found is None else found.unionByName(got)

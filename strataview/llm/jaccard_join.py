@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, small_enough, written
+from .common import drop, release, small_enough, written
 from .components import connected
 from .shingles import shingle_hashes, word_hashes
 
@@ -71,6 +71,7 @@ def _sets(docs: DataFrame, k: int, pct: int, whole: bool) -> DataFrame:
                 sizes.append(sizes[-1] + len(kept[-1]))
             flat = np.concatenate([*kept, np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))], names=["doc_id", "n", "cls", "toks"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n int, cls binary, toks array<long>")
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .tokens import default_vocabulary, encode
 
 PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc32 long"
@@ -48,6 +48,7 @@ def cut_into_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str
                     at, k, size = at + size, k + 1, capacity
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 

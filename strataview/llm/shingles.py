@@ -16,7 +16,7 @@ class _Hashes(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 250_000:  # some 50 MB
+        if len(self) > 150_000:  # some 30 MB
             self.clear()
         self[w] = h = xxhash.xxh64_intdigest(w)
         return h

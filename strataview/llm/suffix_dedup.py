@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, release, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -216,6 +216,7 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if digests:
                 kinds = [np.int64, np.int64, np.int32, np.int32, np.int32]
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(digests, pa.binary())], names=["gram", "doc", "at", "first", "last", "same"])
+        release()
 
     return docs.select("doc", "text").mapInArrow(run, CANDIDATE)
 
@@ -266,7 +267,10 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["gram", "doc", "at", "first"], kind="stable")
         out = [f for part in _portions(pdf["gram"].to_numpy(), pdf["at"].to_numpy(), pdf["first"].to_numpy(), pdf["bytes"].str.len().to_numpy() - length + 1) for f in _matches(pdf, *part, length, keep_first)]
-        return pd.concat(out) if out else pd.DataFrame({"doc": [], "s": [], "e": [], "digest": []})
+        got = pd.concat(out) if out else pd.DataFrame({"doc": [], "s": [], "e": [], "digest": []})
+        del out, pdf
+        release()
+        return got
 
     local, p_local = written(dealt.groupBy("bucket").applyInPandas(match, "doc long, s int, e int, digest binary"), "local")
     inside = local.filter("digest is null").select("doc", "s", "e")

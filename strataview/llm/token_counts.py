@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import release, written
 from .tokens import default_vocabulary, encode
 
 STREAM = "file_id long, block_no long, payload binary, ordinal long, doc_id long"
@@ -62,6 +62,7 @@ def to_streams(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int,
             block, ordinal = block + n, ordinal + m
         if rest := blocks(True):
             yield rows([[file_id] * len(rest), [*range(block, block + len(rest))], rest, [None] * len(rest), [None] * len(rest)])
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STREAM)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees, Isotonic
-from .common import drop, written
+from .common import drop, release, written
 from .labelled import fold, training_sample
 
 #: A stated start of the lexicon; the rest is learned.
@@ -170,11 +170,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out:
     """
     model = fit(docs, labels, "toxic", parts, held_out, id_col=id_col, text_col=text_col, **more)
 
-    def score(text: pd.Series) -> pd.Series:
-        if model is None or not len(text):
-            return pd.Series(np.zeros(len(text)))
-        lexicon, trees, calibrated = model
-        return pd.Series(np.clip(calibrated(trees.raw(np.array([features(t, lexicon) for t in text]))), 0, 1))
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            if model is None or not len(text):
+                yield pd.Series(np.zeros(len(text)))
+            else:
+                lexicon, trees, calibrated = model
+                yield pd.Series(np.clip(calibrated(trees.raw(np.array([features(t, lexicon) for t in text]))), 0, 1))
+        release()
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     s = d.select("doc_id", (fold(F.col("doc_id"), parts) == held_out).alias("held_out"), F.pandas_udf(score, "double")("text").alias("score"))
