@@ -115,8 +115,8 @@ def plan_order(sample: DataFrame, candidates: list[Rule]) -> list[Rule]:
 
 def _sample(docs: DataFrame, rows: int, text_col: str) -> DataFrame:
     """The first rows of the first partitions: unlike a cached ``limit``, this reads no more of the table."""
-    got = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).alias("text")).limit(rows).toArrow()
-    return docs.sparkSession.createDataFrame(got).withColumn("doc_id", F.col("doc_id").cast("long"))
+    got = docs.select(F.col(text_col).alias("text")).limit(rows).collect()
+    return docs.sparkSession.createDataFrame([(0, r["text"]) for r in got], "doc_id long, text string")
 
 
 def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 500) -> DataFrame:
