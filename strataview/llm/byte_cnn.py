@@ -86,7 +86,7 @@ class ByteCnn:
         z = np.bincount(owner, self.head(top, fill)) / np.bincount(owner)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, chunks: np.ndarray, fill: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 14, batch: int = 64, rate: float = 0.01, seed: int = 3) -> ByteCnn:
+    def fit(self, chunks: np.ndarray, fill: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.006, seed: int = 3) -> ByteCnn:
         """Adam on the logistic loss of documents. ``chunks``: rows of CHUNK bytes, sorted by ``owner`` (0..len(y)-1)."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -131,7 +131,7 @@ class ByteCnn:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, sample_rows: int = 4_000, chunks_each: int = 4, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, sample_rows: int = 8_000, chunks_each: int = 4, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn | None:
     """Fit on at most ``sample_rows`` labelled texts and ``chunks_each`` chunks
     of each, evenly spread (bounds of the fit; scoring covers every chunk).
     None without labels of both kinds."""
