@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from strataview.functions import hashing, layout, ranges, requests, sigv4, units
 from strataview.operators import admission, cache_sim, history, metrics, placement, workload
+from strataview.operators import datasets, readpath
 from strataview.plans import catalogue
-from strataview.sources import formats, slot_table
+from strataview.plans import readpath as readpath_plans  # noqa: F401  (adds to the catalogue)
+from strataview.sources import documents, formats, slot_table
 from strataview.sources.events import parse_changes, parse_time
 from strataview.streaming import operators as streaming
 
@@ -274,6 +276,58 @@ def test_history_as_of(spark):
     assert got == {(1, 5): (None, None), (1, 10): (10, "a"), (1, 20): (20, "c"), (2, 9): (None, None)}
 
 
+def test_zipf_ranks(spark):
+    for e in (0.8, 1.0, 1.2):
+        n = {r["rank"]: r["count"] for r in datasets.zipf_draws(spark, 400_000, 1000, e, 3).groupBy("rank").count().collect()}
+        norm = sum(k**-e for k in range(1, 1001))
+        assert all(abs(n[k] - 400_000 * k**-e / norm) < 0.05 * 400_000 * k**-e / norm for k in (1, 2, 10))
+        assert min(n) >= 1 and max(n) <= 1000
+
+
+def test_dataset_objects_are_reproducible(spark):
+    a, b = (sorted(tuple(r) for r in datasets.objects(spark.newSession(), "p", "s", 50, seed, 4096, 262144).collect()) for seed in (7, 7))
+    assert a == b and all(4096 <= r[2] <= 262144 for r in a) and a != sorted(tuple(r) for r in datasets.objects(spark, "p", "s", 50, 8, 4096, 262144).collect())
+    whole = datasets.content(12345, 0, 100)
+    assert all(datasets.content(12345, i, j - i) == whole[i:j] for i, j in ((0, 8), (3, 50), (8, 9), (63, 100), (5, 5)))
+
+
+def test_owner_groups_against_a_fold(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(q, i * 4, rng.randrange(3), rng.choice([256, 512, 1024])) for q in range(30) for i in range(rng.randrange(1, 15))]
+    want = set()
+    for q in range(30):
+        groups = []
+        for _, lo, node, n in sorted(r for r in rows if r[0] == q):
+            if groups and groups[-1][0] == node and groups[-1][3] + n <= 2048:
+                groups[-1][2] += 1
+                groups[-1][3] += n
+            else:
+                groups.append([node, lo, 1, n])
+        want |= {(q, k, *g) for k, g in enumerate(groups)}
+    got = readpath.owner_groups(spark.createDataFrame(rows, "req long, lo long, node long, len long"), ["req"], 2048)
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_xml_keys():
+    assert documents.listed_keys('<D xmlns="u"><O><Key>a&amp;b</Key></O><Key><![CDATA[x<y]]></Key><k:Key xmlns:k="v">&#65;</k:Key></D>') == ["a&b", "x<y", "A"]
+    assert documents.listed_keys("<!DOCTYPE x><D><Key>a</Key></D>") is None and documents.listed_keys("<D><Key>a</D>") is None and documents.listed_keys(None) is None
+
+
+def test_kernel_counters(spark):
+    text = lambda t, busy, rx: f"== time\n{t}\n== cpu\ncpu {busy} 0 0 850 0 0 0\n== net\nlo: 5 0 0 0 0 0 0 0 5\neth0: {rx} 0 0 0 0 0 0 0 2000\n== tcp\nTcp: InSegs RetransSegs\nTcp: 100 3\n== disk\n8 0 sda 1 2 100 3 4 5 200 6\n"
+    got = documents.kernel_counters(text(10, 150, 1000))
+    assert got == {"time": 10, "cpu_total": 1000, "cpu_busy": 150, "rx_bytes": 1000, "tx_bytes": 2000, "tcp_insegs": 100, "tcp_retranssegs": 3, "read_bytes": 51200, "written_bytes": 102400}
+    d = documents.kernel_table(spark.createDataFrame([(1, text(10, 150, 1000))], "host int, body string"), ["host"], "body")
+    assert {r["name"]: r["value"] for r in d.collect()} == got
+
+
+def test_csv_sink(spark, tmp_path):
+    documents.write_timeline(spark.range(3).select(F.col("id").alias("second")), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+
+
 # -- streaming --------------------------------------------------------------------------------------------------------
 
 
