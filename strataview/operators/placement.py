@@ -38,6 +38,26 @@ def owners(places: DataFrame, ring: DataFrame, uniform: bool = False) -> DataFra
     return scored(places, ring, uniform).groupBy("key", "chunk").agg(best)
 
 
+INLINE_MEMBERS = 32
+
+
+def with_owner(rows: DataFrame, ring: DataFrame, uniform: bool = False) -> DataFrame:
+    """``rows`` (with key and chunk) and their ``node_id``. A ring of few
+    members becomes one expression a row, without a shuffle; for a larger one
+    distinct placements are ranked once and joined back."""
+    members = ring.select("node_id", "weight").limit(INLINE_MEMBERS + 1).collect()
+    if len(members) <= INLINE_MEMBERS:
+        if not members:
+            return rows.withColumn("node_id", F.lit(None).cast("long"))
+        text = lambda m: name_of(F.col("key"), F.col("chunk"), F.lit(m["node_id"]))
+        score = lambda m: portable(text(m)) if uniform else portable_score(text(m), F.lit(m["weight"]))
+        best = F.array_max(F.array(*[F.struct(score(m).alias("score"), F.lit(m["node_id"]).cast("long").alias("node_id")) for m in members]))
+        return rows.withColumn("node_id", best["node_id"])
+    o = owners(rows.select("key", "chunk").distinct(), ring, uniform)
+    o = o.select(F.col("key").alias("__k"), F.col("chunk").alias("__c"), "node_id")
+    return rows.join(o, (F.col("key") == F.col("__k")) & F.col("chunk").eqNullSafe(F.col("__c"))).drop("__k", "__c")
+
+
 def candidates(places: DataFrame, ring: DataFrame, uniform: bool = False) -> DataFrame:
     """All members in order of preference, ``rank`` from 1."""
     w = Window.partitionBy("key", "chunk").orderBy(F.desc("score"), F.desc("node_id"))

@@ -58,9 +58,7 @@ RANKED = """ranked AS (SELECT key, chunk, node_id, row_number() OVER (PARTITION
 )
 def flagship_node_load(spark, sf_dir):
     """Reads, blocks and bytes each node of a weighted ring serves."""
-    b = blocks_of(spark, sf_dir)
-    o = placement.owners(b.select("key", "chunk").distinct(), trace.ring(spark, sf_dir, 4))
-    j = b.alias("b").join(o.alias("o"), (F.col("b.key") == F.col("o.key")) & F.col("b.chunk").eqNullSafe(F.col("o.chunk")))
+    j = placement.with_owner(blocks_of(spark, sf_dir), trace.ring(spark, sf_dir, 4))
     size = F.least((F.col("block_index") + 1) * 256 - 1, F.col("last")) - F.greatest(F.col("block_index") * 256, F.col("first")) + 1
     return j.groupBy("node_id").agg(F.count_distinct("req_id").alias("reads"), F.count(F.lit(1)).alias("blocks"), F.sum(size).alias("bytes"))
 

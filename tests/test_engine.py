@@ -98,6 +98,14 @@ def test_weighted_split_and_ring_growth(spark):
     assert {r["new_node"] for r in m.collect()} == {4} and 0.22 < m.count() / 20000 < 0.28
 
 
+def test_inline_owners_equal_ranked_ones(spark, monkeypatch):
+    p = spark.range(500).select(F.concat(F.lit("k"), F.col("id") % 300).alias("key"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("chunk"))
+    ring = spark.createDataFrame([(i, 1 + i % 3) for i in range(9)], "node_id long, weight int")
+    a = Counter(tuple(r) for r in placement.with_owner(p, ring).select("key", "chunk", "node_id").collect())
+    monkeypatch.setattr(placement, "INLINE_MEMBERS", 2)
+    assert a == Counter(tuple(r) for r in placement.with_owner(p, ring).select("key", "chunk", "node_id").collect()) and sum(a.values()) == 500
+
+
 def test_ties_go_to_the_larger_id(spark, monkeypatch):
     monkeypatch.setattr(placement, "portable", lambda t: F.lit(7))
     p = spark.createDataFrame([("k", None)], "key string, chunk long")
