@@ -205,7 +205,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     # first each block with itself and with the first block of its cluster
     one = sizes.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"))
     pairs = one.select("cluster", F.col("right").alias("left"), "right").unionByName(one.filter("right > 0").select("cluster", F.lit(0).alias("left"), "right"))
-    links, p_links = written(_compare(members, pairs.withColumn("pair", F.xxhash64("cluster", "left", "right")), pct), "links")
+    links, p_links = written(_compare(members, pairs.withColumn("pair", F.to_json(F.struct("cluster", "left", "right"))), pct), "links")
     paths = [p_rows, *made, p_few, p_lists, p_heads, p_cluster, p_sizes]
 
     # then what is not connected yet, in clusters of several blocks
@@ -221,7 +221,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
         blocks = part.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", F.struct("part", "i").alias("b"))
         every = blocks.select("cluster", F.col("b").alias("left")).join(blocks.select("cluster", F.col("b").alias("right")), "cluster").filter("left <= right")
         every = every.filter((F.col("left.part") != F.col("right.part")) | (F.col("left.part") == -1))
-        more, p_more = written(_compare(placed, every.withColumn("pair", F.xxhash64("cluster", "left", "right")), pct), "more")
+        more, p_more = written(_compare(placed, every.withColumn("pair", F.to_json(F.struct("cluster", "left", "right"))), pct), "more")
         links = links.unionByName(more)
         paths += [p_comp, p_grouped, p_part, p_placed, p_more]
     comp, p_comp = written(connected(links), "components")
