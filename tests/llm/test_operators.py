@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strataview.llm import boosting, byte_cnn, class_model, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, tokens, toxicity
+from strataview.llm import boosting, byte_cnn, class_model, components, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, tokens, toxicity
 from strataview.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, spans string, block long, toks string, n int, gram string"
@@ -292,7 +292,9 @@ def test_overlaps_are_exact():
         assert {(min(x), max(x)) for x in got} == {(min(x), max(x)) for x in want}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(500, 540)] + [(7, 7)]
     parent = {}
