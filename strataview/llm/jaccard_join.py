@@ -166,6 +166,8 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     rows, p_rows = written(_sets(d, k, pct, False), "sets")
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("toks").alias("toks"))
     classes, p_classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    slim, _ = written(rows.select("doc_id", "n", "cls"), "rows")
+    drop(spark, p_rows)
 
     # classes that share enough of their prefix with any others, twice over
     need: Column = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * pct / 100) / 20))
@@ -206,7 +208,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     one = sizes.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"))
     pairs = one.select("cluster", F.col("right").alias("left"), "right").unionByName(one.filter("right > 0").select("cluster", F.lit(0).alias("left"), "right"))
     links, p_links = written(_compare(members, pairs.withColumn("pair", F.to_json(F.struct("cluster", "left", "right"))), pct), "links")
-    paths = [p_rows, *made, p_few, p_lists, p_heads, p_cluster, p_sizes]
+    paths = [*made, p_few, p_lists, p_heads, p_cluster, p_sizes]
 
     # then what is not connected yet, in clusters of several blocks
     many = members.filter("blocks > 1").select("cluster", "cid", "toks")
@@ -229,7 +231,6 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     least, p_least = written(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     names = classes.select("cls", "cid", "rep").join(comp.join(least, "root"), F.col("cid") == F.col("node"), "left")
     names, _ = written(names.select("cls", F.coalesce("component_id", "rep").alias("component_id")), "names")
-    slim, _ = written(rows.select("doc_id", "n", "cls"), "rows")
     out = slim.join(names, "cls", "left")
-    drop(spark, *paths[1:], p_rows, p_classes, p_ordered, p_members, p_links, p_comp, p_least)
+    drop(spark, *paths, p_classes, p_ordered, p_members, p_links, p_comp, p_least)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_key"))
