@@ -433,8 +433,14 @@ def states_during(spark, sf_dir):
  SELECT req_id FROM reads r WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.doc_id = r.doc_id AND s.valid_from <= r.ts_ms AND (s.valid_to IS NULL OR s.valid_to > r.ts_ms - 3600000) AND s.etag = r.etag)"""
 )
 def history_violations(spark, sf_dir):
+    """The third of ``history_violations_all`` that the SQL compares."""
+    return history_violations_all(spark, sf_dir).filter("req_id % 3 = 0")
+
+
+@query(None)
+def history_violations_all(spark, sf_dir):
     """Reads whose tag no state of the hour before them had."""
-    r = trace.requests(spark, sf_dir).filter("method <> 'PUT' and req_id % 3 = 0").select("req_id", "doc_id", "ts_ms", F.expr("concat('\"v', req_id - req_id % 5, '\"')").alias("etag")).alias("r")
+    r = trace.requests(spark, sf_dir).filter("method <> 'PUT'").select("req_id", "doc_id", "ts_ms", F.expr("concat('\"v', req_id - req_id % 5, '\"')").alias("etag")).alias("r")
     s = trace.object_states(spark, sf_dir).alias("s")
     ok = (F.col("s.doc_id") == F.col("r.doc_id")) & (F.col("s.etag") == F.col("r.etag")) & (F.col("s.valid_from") <= F.col("r.ts_ms")) & (F.col("s.valid_to").isNull() | (F.col("s.valid_to") > F.col("r.ts_ms") - 3600000))
     return r.join(s, ok, "left_anti").select("req_id")
@@ -518,10 +524,16 @@ EVENT_JSON = """'{"Records":[{"eventName":"' || CASE WHEN event_id % 3 = 0 THEN
     "CASE WHEN event_id % 3 <> 0 THEN '\"' || event_id || '\"' END AS etag, CASE WHEN event_id % 62 <= 60 THEN epoch_ms(TIMESTAMP '2026-09-27 12:34:00') + (event_id % 62) * 1000 + substr((event_id % 1000)::VARCHAR || '00', 1, 3)::BIGINT END AS event_ms FROM b"
 )
 def event_parse(spark, sf_dir):
+    """The tenth of ``event_parse_all`` that the SQL compares."""
+    return event_parse_all(spark, sf_dir).filter("event_id % 10 = 0")
+
+
+@query(None)
+def event_parse_all(spark, sf_dir):
     """Change events from their JSON bodies (made here from ``events``), keys URL-decoded, tags re-quoted."""
     from ..sources.events import parse_changes
 
-    e = trace.read(spark, sf_dir, "events").filter("event_id % 10 = 0")
+    e = trace.read(spark, sf_dir, "events")
     body = F.expr(EVENT_JSON.replace("::VARCHAR", "").replace("lpad((event_id % 62), 2, '0')", "lpad(cast(event_id % 62 as string), 2, '0')"))
     return parse_changes(e.select("event_id", body.alias("body")), "body").select("event_id", "bucket", "key", "etag", "event_ms")
 

@@ -233,6 +233,35 @@ def test_event_bodies(spark):
     assert got == {(1, "a b+c/d"): ('"0123abcd"', 1790512496789), (1, "gone"): (None, 1790512496789), (2, "k"): ('"ff"', 1790512496789)}
 
 
+def test_every_event_is_parsed(spark):
+    import datetime
+
+    start = datetime.datetime(2026, 9, 27, 12, 34, tzinfo=datetime.timezone.utc).timestamp() * 1000
+    want = Counter()
+    for i, user in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id").collect():
+        at = int(start) + i % 62 * 1000 + int((str(i % 1000) + "00")[:3]) if i % 62 <= 60 else None
+        want[i, "docs", f"a b+c/{user}", f'"{i}"' if i % 3 else None, at] += 1
+    assert Counter(map(tuple, catalogue.event_parse_all(spark, SF).collect())) == want
+
+
+def test_every_read_is_checked(spark, tmp_path):
+    import datetime
+
+    # deletions have ids divisible by 7; reads ask for the tag of the id rounded down to fives
+    spec = [(10, "purchase", 0, 1), (11, "click", 5, 1), (12, "view", 5, 1), (13, "signup", -5, 1), (14, "click", 5, 2), (15, "purchase", 6, 1), (16, "click", 8, 1), (19, "view", 9, 1), (35, "purchase", 1, 3), (36, "click", 2, 3), (20, "purchase", 0, 4), (21, "purchase", 60, 4), (22, "click", 90, 4), (23, "click", 150, 4)]
+    t0 = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, t0 + datetime.timedelta(minutes=m), 1, kind, 1.0, '{"k": %d}' % doc) for i, kind, m, doc in spec]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    states = []
+    for i, kind, m, doc in spec:
+        if kind == "purchase":
+            after = [x[2] for x in spec if x[1] == "purchase" and x[3] == doc and (x[2], x[0]) > (m, i)]
+            states.append((doc, m, min(after, default=None), i if i % 7 else None))
+    want = {i for i, kind, m, doc in spec if kind != "purchase" and not any(d == doc and tag == i - i % 5 and lo <= m and (hi is None or hi > m - 60) for d, lo, hi, tag in states)}
+    got = {r["req_id"] for r in catalogue.history_violations_all(spark, str(tmp_path)).collect()}
+    assert got == want and {i % 3 for i in got} == {0, 1, 2} and got < {i for i, kind, _, _ in spec if kind != "purchase"}
+
+
 def test_histogram(spark):
     d = spark.range(256).select(F.col("id").alias("v"))
     got = {r["share"]: r["percentile"] for r in metrics.percentiles(metrics.loglinear_histogram(d, [], F.col("v"), 7), [], [0.5, 1.0], 7).collect()}
