@@ -28,11 +28,18 @@ def header_selection(spark, sf_dir):
 
 @query(with_views("objects requests resolved", "") + " SELECT req_id, first = req_id % 3 AND last = size - 1 AS exact FROM resolved WHERE first IS NOT NULL AND kind = 'from'")
 def answered_by(spark, sf_dir):
-    """Whether a partial answer carries exactly the bytes asked for."""
-    j = trace.requests(spark, sf_dir).filter("kind = 'from'").join(trace.objects(spark, sf_dir, etags=False), "doc_id")
+    """The ``from`` reads of ``answered_by_all``, which the SQL compares."""
+    return answered_by_all(spark, sf_dir).filter("kind = 'from'").select("req_id", "exact")
+
+
+@query(None)
+def answered_by_all(spark, sf_dir):
+    """Whether a partial answer carries exactly the bytes asked for, whatever kind of range that was."""
+    j = trace.requests(spark, sf_dir).join(trace.objects(spark, sf_dir, etags=False), "doc_id")
+    j = j.filter((F.col("kind") != "whole") & rg.is_valid(F.col("kind"), F.col("a"), F.col("b")))
     j = j.withColumn("r", rg.resolve(F.col("kind"), F.col("a"), F.col("b"), F.col("size"))).filter("r.first is not null")
     got = rg.parse_content_range(rg.format_content_range(F.col("req_id") % 3, F.col("size") - 1, F.col("size")))
-    return j.select("req_id", ((got["first"] == F.col("r.first")) & (got["last"] == F.col("r.last"))).alias("exact"))
+    return j.select("req_id", "kind", ((got["first"] == F.col("r.first")) & (got["last"] == F.col("r.last"))).alias("exact"))
 
 
 @query(with_views("requests objects grants", "") + f", {NEEDS} SELECT req_id FROM needs n WHERE need = 2 AND EXISTS (SELECT 1 FROM grants g WHERE g.client = n.client AND (g.bucket = '*' OR g.bucket = n.bucket) AND g.level >= 2 AND starts_with(n.key, g.prefix)) AND EXISTS (SELECT 1 FROM grants g WHERE g.client = n.client AND (g.bucket = '*' OR g.bucket = 'docs') AND g.level >= 1 AND starts_with('en/source', g.prefix))")
@@ -113,7 +120,13 @@ def faults_of_steps(spark, sf_dir):
 
 @query(with_views("requests states", "") + " SELECT doc_id, count(*) AS versions, count(etag) AS live, min(valid_from) AS since FROM states WHERE doc_id % 2 = 0 GROUP BY doc_id")
 def versions_scan(spark, sf_dir):
-    return trace.object_states(spark, sf_dir).filter("doc_id % 2 = 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("versions"), F.count("etag").alias("live"), F.min("valid_from").alias("since"))
+    """The half of ``versions_scan_all`` that the SQL compares."""
+    return versions_scan_all(spark, sf_dir).filter("doc_id % 2 = 0")
+
+
+@query(None)
+def versions_scan_all(spark, sf_dir):
+    return trace.object_states(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("versions"), F.count("etag").alias("live"), F.min("valid_from").alias("since"))
 
 
 @query(with_views("requests", "") + " SELECT client % 4 AS host, max(ts_ms) - min(ts_ms) AS elapsed_ms, round(sum(first_byte_us) * 1000.0 / (max(ts_ms) - min(ts_ms)), 6) AS rate, round(100.0 * count(*) FILTER (WHERE event_type = 'error') / count(*), 6) AS error_percent FROM requests GROUP BY 1")

@@ -262,6 +262,39 @@ def test_every_read_is_checked(spark, tmp_path):
     assert got == want and {i % 3 for i in got} == {0, 1, 2} and got < {i for i, kind, _, _ in spec if kind != "purchase"}
 
 
+def test_every_object_has_its_versions(spark):
+    import json
+
+    want = {}
+    for i, ts, kind, props in spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "unix_millis(cast(ts as timestamp))", "event_type", "props").collect():
+        if kind == "purchase":
+            want.setdefault(json.loads(props)["k"], []).append((ts, i))
+    got = {r["doc_id"]: tuple(r)[1:] for r in readpath_plans.versions_scan_all(spark, SF).collect()}
+    assert got == {d: (len(v), sum(i % 7 > 0 for _, i in v), min(v)[0]) for d, v in want.items()} and {d % 2 for d in got} == {0, 1}
+
+
+def test_every_kind_of_range_is_checked(spark):
+    import json
+
+    size = {r["doc_id"]: r["n_chars"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "n_chars").collect()}
+    want = Counter()
+    for i, props in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props").collect():
+        n, a, b = size.get(json.loads(props)["k"]), i * 97 % 4096, i * 31 % 2048
+        if i % 5 == 2:
+            kind, asked = "from", (a, None)
+        elif i % 5 == 3:
+            kind, asked = "suffix", (max(0, (n or 0) - b - 1), None)
+        elif i % 5 == 1:
+            kind, asked = "inclusive", (a, a + b)
+        else:  # the whole object, or a range that ends before it starts
+            continue
+        if n and asked[0] < n:
+            last = n - 1 if asked[1] is None else min(asked[1], n - 1)
+            want[i, kind, (asked[0], last) == (i % 3, n - 1)] += 1
+    assert Counter(tuple(r) for r in readpath_plans.answered_by_all(spark, SF).collect()) == want
+    assert {k for _, k, _ in want} == {"from", "suffix", "inclusive"}
+
+
 def test_histogram(spark):
     d = spark.range(256).select(F.col("id").alias("v"))
     got = {r["share"]: r["percentile"] for r in metrics.percentiles(metrics.loglinear_histogram(d, [], F.col("v"), 7), [], [0.5, 1.0], 7).collect()}
