@@ -89,3 +89,11 @@ def last_write_before(lines: DataFrame, by: list[str]) -> Column:
     with ``ts_ms`` and ``method``."""
     w = Window.partitionBy(*by).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -1)
     return F.max(F.when(F.col("method") == "PUT", F.col("ts_ms"))).over(w)
+
+
+def text_blocks(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """One row per block of ``size`` units of each text (``block_index``,
+    ``block``; the last may be shorter), in one pass over it; empty and null
+    texts have none."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return docs.select(*[c for c in docs.columns if c != text], F.posexplode(blocks).alias("block_index", "block"))

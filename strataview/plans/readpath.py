@@ -170,12 +170,21 @@ def warm_on_write(spark, sf_dir):
 
 @query("SELECT doc_id, md5(substr(text, 1, 256)) = md5(CASE WHEN doc_id % 7 = 0 THEN 'damaged' ELSE substr(text, 1, 256) END) AS verified FROM documents")
 def verify_on_hit(spark, sf_dir):
-    """A recovered block's checksum against its bytes on the first hit."""
+    """A recovered block's checksum against its bytes on the first hit, for each text's first block, as the SQL has it."""
     d = trace.read(spark, sf_dir, "documents")
     head = F.substring("text", 1, 256)
     return d.select("doc_id", (F.md5(head) == F.md5(F.when(F.col("doc_id") % 7 == 0, F.lit("damaged")).otherwise(head))).alias("verified"))
 
 
+@query(None)
+def verify_blocks_on_hit(spark, sf_dir):
+    """``verify_on_hit`` for every block of the whole text; some blocks of some objects are damaged."""
+    d = trace.read(spark, sf_dir, "documents")
+    stored = readpath.text_blocks(d.select("doc_id", "text"), "text", LAYOUT.block)
+    got = F.when((F.col("doc_id") + F.col("block_index")) % 7 == 0, F.lit("damaged")).otherwise(F.col("block"))
+    return stored.select("doc_id", "block_index", (F.md5("block") == F.md5(got)).alias("verified"))
+
+
 @query(
     with_views("requests states", "")
     + " SELECT req_id, CASE WHEN req_id % 10 = 0 THEN 'keep' WHEN etag IS NULL THEN 'forget' WHEN validated >= valid_from THEN 'refresh' ELSE 'replace' END AS outcome FROM (SELECT r.req_id, r.ts_ms - 86400000 AS validated, s.etag, s.valid_from FROM requests r JOIN states s ON s.doc_id = r.doc_id AND s.valid_from <= r.ts_ms AND (s.valid_to IS NULL OR s.valid_to > r.ts_ms) WHERE r.method = 'HEAD')"

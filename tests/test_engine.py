@@ -295,6 +295,16 @@ def test_every_kind_of_range_is_checked(spark):
     assert {k for _, k, _ in want} == {"from", "suffix", "inclusive"}
 
 
+def test_every_block_is_verified(spark, tmp_path):
+    texts = [(6, "a\n" * 500), (7, "é" * 256 + "\U0001f600" * 257), (8, "x" * 2048), (9, ""), (10, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r) for r in readpath_plans.verify_blocks_on_hit(spark, str(tmp_path)).collect())
+    assert got == Counter((i, k, (i + k) % 7 > 0) for i, t in texts for k in range(-(-len(t or "") // 256)))
+    assert (6, 1, False) in got and (8, 6, False) in got
+    back = readpath.text_blocks(spark.createDataFrame(texts, "doc_id long, text string"), "text", 256).collect()
+    assert all("".join(r["block"] for r in sorted((r for r in back if r["doc_id"] == i), key=lambda r: r["block_index"])) == (t or "") for i, t in texts)
+
+
 def test_histogram(spark):
     d = spark.range(256).select(F.col("id").alias("v"))
     got = {r["share"]: r["percentile"] for r in metrics.percentiles(metrics.loglinear_histogram(d, [], F.col("v"), 7), [], [0.5, 1.0], 7).collect()}
