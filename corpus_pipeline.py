@@ -19,6 +19,8 @@ from strataview.llm.common import small_enough, table, written
 
 #: Bytes of a passage that stage 3 removes from later documents: under 50 words of common length.
 PASSAGE_BYTES = 250
+#: Words of a passage that stage 3 removes however few bytes it has: over 50.
+PASSAGE_WORDS = 51
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages that an earlier document (or place) has; the first stays."""
-    return suffix_dedup.cut_documents(docs, PASSAGE_BYTES, keep_first=True)
+    return suffix_dedup.cut_documents(docs, PASSAGE_BYTES, keep_first=True, words=PASSAGE_WORDS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

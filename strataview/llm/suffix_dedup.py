@@ -221,10 +221,11 @@ def candidates(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, CANDIDATE)
 
 
-def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | None = None, chunk_rows: int = 20_000, bucket_rows: int = 800, broadcast_rows: int = 1_000_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | None = None, chunk_rows: int = 20_000, bucket_rows: int = 800, broadcast_rows: int = 1_000_000, words: int = 0) -> DataFrame:
     """Spans of bytes to remove: ``doc, spans array<struct<s,e>>`` (disjoint,
     sorted) from rows ``doc`` (unique long), ``text``. Text order is ``doc``,
-    then place. ``chunk_rows`` bounds the candidates of one anchor in a chunk;
+    then place. Runs of ``words`` words (0: none) that repeat are removed also
+    where they are shorter than ``length``. ``chunk_rows`` bounds the candidates of one anchor in a chunk;
     ``broadcast_rows`` bounds what may be broadcast, beyond it texts are shuffled."""
     spark = docs.sparkSession
     gram = gram or length // 2
@@ -280,11 +281,51 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
     if keep_first:
         crossed = crossed.filter("doc <> f.doc or s <> f.s")
     spans = whole.unionByName(inside).unionByName(crossed.select("doc", "s", "e"))
+    made = []
+    if words:
+        short, made = _short_runs(docs, words, length, keep_first, broadcast_rows)
+        spans = spans.unionByName(short)
     out, _ = written(spans.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans")).select("doc", _united(F.col("spans")).alias("spans")), "spans")
-    drop(spark, p_again, p_merged, p_twice, p_several, p_wanted, p_local, p_shared)
+    drop(spark, p_again, p_merged, p_twice, p_several, p_wanted, p_local, p_shared, *made)
     return out
 
 
+def _short_runs(docs: DataFrame, words: int, length: int, keep_first: bool, broadcast_rows: int) -> tuple[DataFrame, list[str]]:
+    """``doc, s, e`` of repeated runs of ``words`` words (between ASCII white
+    space) under ``length`` bytes, which no string of that length can find."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            docs, first, last, digests = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                c = np.frombuffer(raw, np.uint8)
+                turns = np.diff(np.concatenate([[0], ((c != 32) & ((c < 9) | (c > 13))).view(np.int8), [0]]))
+                s, e = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+                if len(s) < words:
+                    continue
+                s, e = s[: len(s) - words + 1], e[words - 1 :]
+                for i in np.flatnonzero(e - s < length).tolist():
+                    docs.append(doc)
+                    first.append(int(s[i]))
+                    last.append(int(e[i]))
+                    digests.append(hashlib.blake2b(raw[s[i] : e[i]], digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digests, pa.binary())], names=["doc", "s", "e", "digest"])
+        release()
+
+    spark = docs.sparkSession
+    runs, p_runs = written(docs.select("doc", "text").mapInArrow(run, "doc long, s int, e int, digest binary"), "runs")
+    more, p_more = written(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "s")).alias("f")).filter("k > 1").select("digest", "f"), "more")
+    found = runs.join(F.broadcast(more) if more.count() <= broadcast_rows else more, "digest")
+    if keep_first:
+        found = found.filter("doc <> f.doc or s <> f.s")
+    short, p_short = written(found.select("doc", "s", "e"), "short")
+    drop(spark, p_runs, p_more)
+    return short, [p_short]
+
+
 def _united(spans: Column) -> Column:
     """Overlapping or touching spans joined, from spans sorted by start."""
     none = F.expr("cast(array() as array<struct<s:int,e:int>>)")

@@ -78,6 +78,19 @@ def test_stages(spark, tables):
     assert got == want_pieces
 
 
+def test_passages_of_short_words_are_cut(spark):
+    rng = random.Random(4)
+    short = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice(["", *"klmnop"]) for _ in range(n))
+    over, under = short(51), short(50)
+    assert len(over) < 150
+    others = [prose(rng, 60, 4000) for _ in range(6)]
+    texts = [f"{others[0]} {over} {others[1]}", f"{others[2]} {over} {others[3]}", f"{others[4]} {under}", f"{under} {others[5]}", None, "", over]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in dict(corpus_pipeline.STAGES)["repeated_passages"](spark, docs, "").collect()}
+    want = dict(enumerate(texts)) | {1: f"{others[2]}  {others[3]}", 6: ""}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+
+
 def test_run(spark, tables):
     got = corpus_pipeline.run(spark, tables).collect()
     assert got and sum(r["length"] for r in got) <= 1024 * len({r["sequence_id"] for r in got})
