@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last
 return the columns of ``docs``.
 
-Rows without an id pass the filters of stages 2 and 4, which decide by id;
-repeated rows of one id and text are one document, of which stage 2 keeps one.
+Stages 2 and 4 decide by row, whatever its id; rows without an id come last.
+Repeated rows of one id and text are one document, of which stage 2 keeps one.
 An empty table passes through as an empty table.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strataview.llm import byte_cnn, decontaminate, jaccard_join, packing, suffix_dedup
 from strataview.llm.common import small_enough, table, written
+from strataview.llm.suffix_dedup import KEY
 
 #: Bytes of a passage that stage 3 removes from later documents: under 50 words of common length.
 PASSAGE_BYTES = 250
@@ -23,10 +24,10 @@ PASSAGE_BYTES = 250
 PASSAGE_WORDS = 51
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is not in ``ids`` (broadcast only if counted small)."""
-    ids = ids.select("doc_id").filter("doc_id is not null").distinct()
-    return docs.join(F.broadcast(ids) if small_enough(ids, 1_000_000) else ids, "doc_id", "left_anti").select(*docs.columns)
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose KEY is not in ``keys`` (broadcast only if counted small)."""
+    keys = keys.select(KEY).distinct()
+    return keyed.join(F.broadcast(keys) if small_enough(keys, 1_000_000) else keys, KEY, "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +38,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents (five words, 0.8) keep the smallest id."""
-    linked, _ = written(jaccard_join.link_documents(docs, k=5, pct=80).select("doc_id", "component_id"), "linked")
-    kept = _without(docs, linked.filter("doc_id <> component_id"))
-    again = linked.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if again.limit(1).count():  # ids that occur more than once: equal texts among them are one document
-        twice = docs.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-        kept = _without(kept, again).unionByName(_without(twice, linked.filter("doc_id <> component_id")))
-    return kept
+    keyed = suffix_dedup.with_key(docs, "doc_id", "text")
+    linked, _ = written(jaccard_join.link_documents(keyed, k=5, pct=80, id_col=KEY).select(F.col("doc_id").alias(KEY), "component_id"), "linked")
+    kept = _without(keyed, linked.filter(F.col(KEY) != F.col("component_id")))
+    known = docs.filter("doc_id is not null")
+    if known.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # equal texts of one id are one document, also those without words
+        kept = kept.filter("doc_id is null").unionByName(kept.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaks, _ = written(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
-    return _without(docs, leaks)
+    keyed = suffix_dedup.with_key(docs, "doc_id", "text")
+    leaks, _ = written(decontaminate.find_leaks(keyed, table(spark, sf_dir, "benchmark"), id_col=KEY).select(F.col("doc_id").alias(KEY)), "leaks")
+    return _without(keyed, leaks).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

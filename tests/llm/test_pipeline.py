@@ -91,6 +91,27 @@ def test_passages_of_short_words_are_cut(spark):
     assert got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
 
 
+def test_rows_are_dropped_by_row(spark, tmp_path):
+    rng = random.Random(8)
+    item = prose(rng, 40)
+    one, two, three, four = (prose(rng, 90, 4000) for _ in range(4))
+    near = lambda t: " ".join("changed" if i == 45 else w for i, w in enumerate(t.split()))
+    leak = f"{prose(rng, 60, 4000)} {item}"
+    docs = lambda rows: spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], DOCS).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)
+
+    # a near copy without an id goes, another text without one stays; of id 5 the near copy of id 1 goes and the other text stays; of two near texts of id 7 one stays
+    rows = [(1, one), (None, near(one)), (None, two), (5, near(one)), (5, three), (7, four), (7, near(four)), (9, None), (9, None), (None, None)]
+    got = Counter(rows_of(stage["near_duplicates"](spark, docs(rows), "")))
+    of_seven = [r for r in got if r[0] == 7]
+    assert of_seven in ([(7, four)], [(7, near(four))])
+    assert got == Counter([(1, one), (None, two), (5, three), of_seven[0], (9, None), (None, None)])
+
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, leak), (None, one), (3, leak), (3, two), (4, three)]
+    assert Counter(rows_of(stage["benchmark_leaks"](spark, docs(rows), str(tmp_path)))) == Counter([(None, one), (3, two), (4, three)])
+
+
 def test_run(spark, tables):
     got = corpus_pipeline.run(spark, tables).collect()
     assert got and sum(r["length"] for r in got) <= 1024 * len({r["sequence_id"] for r in got})
