@@ -24,7 +24,7 @@ apache-1.1|apache|apache (?:software )?licen[sc]e (?:version |v )?1 [01]|apache
 apache-2.0|apache|apache (?:software )?licen[sc]e (?:version |v )?2(?: 0)?|apache 2 0
 mit-0|mit|mit no attribution(?: licen[sc]e)?|mit 0
 mit|mit|(?:the )?mit x11 licen[sc]e|mit
-bsd-2-clause|bsd|(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd) licen[sc]e|bsd 2 clause
+bsd-2-clause|bsd|(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd) licen[sc]e|bsd 2 clause
 bsd-3-clause|bsd|(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd) licen[sc]e|bsd 3 clause
 bsd-4-clause|bsd|(?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) licen[sc]e|bsd 4 clause
 0bsd|bsd|(?:zero clause bsd|bsd zero clause|0 clause bsd) licen[sc]e|0bsd
@@ -112,6 +112,8 @@ cc0-1.0|2|cc0|cc0(?: 1 0)?(?: universal)?
 python-2.0|2|psf|psf licen[sc]e
 bsd|3|redistribution|redistribution and use in source and binary forms with or without modification
 bsd-3-clause|3|endorse|neither the name of .{1,80}? nor the names of its contributors may be used to endorse
+bsd-2-clause|2|freebsd|freebsd licen[sc]e
+bsd-2-clause|3|licensed|licensed under (?:the )?(?:terms of )?(?:the )?freebsd licen[sc]e
 bsd-2-clause|2|redistributions|redistributions in binary form must reproduce the above copyright notice
 apache-2.0|3|apache|licensed under the apache licen[sc]e version 2 0
 apache-2.0|3|compliance|you may not use this file except in compliance with the licen[sc]e
@@ -162,7 +164,8 @@ proprietary|2|reserved|all rights reserved
 proprietary|2|confidential|proprietary and confidential
 proprietary|2|redistribution|redistribution (?:in any form )?is (?:strictly )?prohibited
 commercial|2|commercial|commercial licen[sc]e
-non-commercial|2|commercial|for non ?commercial use only
+non-commercial|2|commercial|for non commercial use only
+non-commercial|2|noncommercial|for noncommercial use only
 """
 
 

@@ -114,6 +114,44 @@ def test_license_resolution_against_brute_force(spark):
         assert keep == want, (t, found)
 
 
+def wordings(pattern):
+    """All texts a rule's pattern matches, a free stretch as one word."""
+    from re import _parser
+
+    def grow(items):
+        out = [""]
+        for op, arg in items:
+            op = str(op)
+            if op == "LITERAL":
+                more = [chr(arg)]
+            elif op == "IN":
+                more = [chr(c) for _, c in arg]
+            elif op == "BRANCH":
+                more = [x for b in arg[1] for x in grow(b)]
+            elif op == "SUBPATTERN":
+                more = grow(arg[3])
+            elif op == "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                more = ["", *grow(arg[2])]
+            else:
+                assert op == "MIN_REPEAT"
+                more = ["any"]
+            out = [x + y for x in out for y in more]
+        return out
+
+    return grow(_parser.parse(pattern))
+
+
+def test_license_keywords_are_in_every_wording(spark):
+    from strataview.llm.license_rules import rules
+
+    for label, _, key, rx in rules():
+        assert all(key in w.split(" ") for w in wordings(rx)), (label, key, rx)
+    rows = [(1, "released under the FreeBSD License"), (2, "for noncommercial use only"), (3, "for non-commercial use only"), (4, "Licensed under the terms of the FreeBSD licence")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("bsd-2-clause", 0.8), 2: ("non-commercial", 0.8), 3: ("non-commercial", 0.8), 4: ("bsd-2-clause", 1.0)}
+
+
 # -- quality rules ----------------------------------------------------------------------------------------------------
 
 
