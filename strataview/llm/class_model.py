@@ -7,7 +7,7 @@
    exchange algorithm moves words between classes while the likelihood grows.
 3. Every other word takes, from all its contexts, the class that its
    neighbours' classes make likeliest: an exchange step with the head fixed.
-   Blocks vote with counts; votes are summed by word.
+   Blocks give counts of neighbours' classes, which are summed by word.
 4. Words' counts and classes go back to the blocks as block dictionaries (no
    table of all words is ever broadcast), and documents become class sequences.
 5. Class transitions are counted over all training documents. A text's score is
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, release, written
+from .common import drop, release, semi_by, written
 from .labelled import fold
 
 ENCODED = "block long, docs array<long>, held array<boolean>, sizes array<int>, ids binary, words array<binary>, counts array<int>"
@@ -143,6 +143,19 @@ def exchange(pair: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def most_frequent(lists: DataFrame, head: int) -> list[bytes]:
+    """The ``head`` words with the largest sums of ``n`` over all blocks (of
+    equals the smaller), from ``z array<struct<w,n>>`` per block. Sums of large
+    counts alone bound the last one's sum from below; a word that reaches the
+    bound has its share of it in some block, and such words are summed whole."""
+    each = lambda least: lists.select(F.explode(F.filter("z", lambda x: x["n"] >= least)).alias("x")).select("x.*")
+    sums = lambda rows: rows.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(head).collect()
+    some = sums(each(4))
+    share = -(-some[-1]["n"] // max(1, lists.count())) if len(some) == head else 1
+    rows = each(1) if share <= 1 else semi_by(each(1), each(share), "w")
+    return [bytes(r["w"]) for r in sums(rows)]
+
+
 def score_texts(docs: DataFrame, parts: int = 10, held_out: int = 0, classes: int = 48, head: int = 2048, block_tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, perplexity``.
@@ -158,8 +171,7 @@ def score_texts(docs: DataFrame, parts: int = 10, held_out: int = 0, classes: in
     lists = encoded.select("block", F.arrays_zip(F.col("words").alias("w"), F.col("counts").alias("n")).alias("z"))
 
     # the head: the most frequent words of all training text
-    often = lists.select(F.explode(F.filter("z", lambda x: x["n"] >= 4)).alias("x")).groupBy("x.w").agg(F.sum("x.n").alias("n"))
-    top = [bytes(r["w"]) for r in often.orderBy(F.desc("n"), "w").limit(head).collect()]
+    top = most_frequent(lists, head)
     rank = {w: i for i, w in enumerate(top)}
     size = max(1, len(top))
 
@@ -191,39 +203,49 @@ def score_texts(docs: DataFrame, parts: int = 10, held_out: int = 0, classes: in
     after = np.log(joint / joint.sum(0, keepdims=True)).astype(np.float32)  # [before, k]: before's share of what precedes k
     before = np.log(joint / joint.sum(1, keepdims=True)).astype(np.float32).T  # [next, k]: next's share of what follows k
 
-    def vote(batches: Iterator) -> Iterator:
+    width = 2 * classes + 1  # a context is a class before or after; the last number counts the word itself
+
+    def contexts(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for _, rows, words, counts in _blocks(batches):
-            n = len(words)
             known = np.array([cls[rank[w]] if w in rank else -1 for w in words])
-            gain = np.zeros((n, classes), np.float32)
+            some = np.flatnonzero(counts > 0)
+            seen = [np.repeat(some * width + 2 * classes, counts[some])]
             for _, held, ids in rows:
                 if held:
                     continue
                 k = known[ids]
-                prev, nxt = np.concatenate([[k[-1]], k[:-1]]), np.concatenate([k[1:], [-1]])
-                for other, table in ((prev, after), (nxt, before)):
-                    ok = np.flatnonzero((k < 0) & (other >= 0))
-                    if len(ok):
-                        o = ids[ok]
-                        order = np.argsort(o, kind="stable")
-                        o, v = o[order], table[other[ok][order]]
-                        first = np.concatenate([[0], np.flatnonzero(np.diff(o)) + 1])
-                        gain[o[first]] += np.add.reduceat(v, first, axis=0)
-            best = np.where(known >= 0, known, gain.argmax(1))
-            two = np.partition(gain, -2, axis=1)[:, -2:] if classes > 1 else np.zeros((n, 2))
-            sure = np.where(known >= 0, np.float32(1e6), np.abs(two[:, 1] - two[:, 0]))
-            some = np.flatnonzero(counts > 0)
+                for side, other in enumerate((np.concatenate([k[-1:], k[:-1]]), np.concatenate([k[1:], [-1]]))):
+                    ok = (k < 0) & (other >= 0)
+                    seen.append(ids[ok].astype(np.int64) * width + side * classes + other[ok])
+            at, m = np.unique(np.concatenate(seen), return_counts=True)
             for i in range(0, len(some), 100_000):
                 s = some[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([words[j] for j in s], pa.binary()), pa.array(best[s].astype(np.int32)), pa.array(counts[s].astype(np.int64)), pa.array(sure[s].astype(np.float64))], names=["w", "k", "n", "sure"])
+                lo, hi = np.searchsorted(at, [s[0] * width, (s[-1] + 1) * width])
+                ends = np.append(np.searchsorted(at[lo:hi], s * width), hi - lo)
+                packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(m[lo:hi] * width + at[lo:hi] % width, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([words[j] for j in s], pa.binary()), packed], names=["w", "m"])
         release()
 
-    votes = encoded.mapInArrow(vote, "w binary, k int, n long, sure double")
-    summed = votes.groupBy("w", "k").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
-    # the class with the most certain votes; sums of two numbers in one order key
-    vocabulary = summed.groupBy("w").agg(F.sum("n").alias("n"), F.max_by("k", F.struct("sure", "n", -F.col("k"))).alias("k"))
+    tables = np.concatenate([after, before, np.zeros((1, classes), np.float32)]).astype(float)
+
+    def decide(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            words, lists = b.column(0).to_pylist(), b.column(1)
+            flat = lists.flatten()
+            c, m = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+            ends = np.cumsum(lists.value_lengths().to_numpy())
+            gain = np.add.reduceat(tables[c] * m[:, None], ends - lists.value_lengths().to_numpy(), axis=0) if len(words) else np.zeros((0, classes))
+            k = [int(cls[rank[w]]) if w in rank else int(g) for w, g in zip(words, gain.argmax(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(m[ends - 1] if len(words) else [], pa.int64()), pa.array(k, pa.int32())], names=["w", "n", "k"])
+
+    # all of a word's counts meet before its class is chosen; sums of whole numbers, in one order
+    each = encoded.mapInArrow(contexts, "w binary, m array<long>").repartition("w").select("w", F.explode("m").alias("x"))
+    summed = each.groupBy("w", (F.col("x") % width).cast("int").alias("c")).agg(F.sum(F.expr(f"x div {width}")).alias("m"))
+    vocabulary = summed.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("all")).mapInArrow(decide, "w binary, n long, k int")
     vocabulary, p_vocabulary = written(vocabulary, "vocabulary", FEW)
     stats = {r["k"]: (r["n"], r["v"]) for r in vocabulary.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row a class
     in_class = np.array([stats.get(k, (0, 0))[0] for k in range(classes)], float)

@@ -211,6 +211,28 @@ def test_class_model_uses_structure(spark):
     assert all(r["score"] > r["base_score"] + 10 for r in got) and all(r["perplexity"] < 80 for r in got)
 
 
+@pytest.mark.parametrize("head", [3, 10, 500])
+def test_head_is_of_all_counts(spark, head):
+    rng = random.Random(5)
+    blocks = [Counter(rng.choices([f"w{i}".encode() for i in range(60)], weights=range(1, 61), k=70)) for _ in range(30)]
+    for i, b in enumerate(blocks):
+        b[b"thin"] = 3  # never 4 in a block, and yet among the first
+        b[b"lumpy"] = 9 * (i % 15 == 0)
+    lists = spark.createDataFrame([([(w, n) for w, n in b.items()],) for b in blocks], "z array<struct<w:binary,n:int>>").repartition(5)
+    total = sum(blocks, Counter())
+    assert class_model.most_frequent(lists, head) == sorted((w for w in total if total[w]), key=lambda w: (-total[w], w))[:head]
+    assert b"thin" in sorted(total, key=lambda w: (-total[w], w))[:10]
+
+
+def test_class_model_does_not_depend_on_blocks(spark):
+    rng = random.Random(3)
+    sides = [[f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)], [f"c{i}" for i in range(60)]]
+    rows = [(i, " ".join(rng.choice(sides[(i + j) % 3]) for j in range(30))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, many = (sorted((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in class_model.score_texts(docs.repartition(p), classes=5, head=20, block_tokens=size).collect()) for p, size in ((1, 10**6), (7, 40)))
+    assert one == many
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(0)
     side = rng.integers(0, 3, 24)
