@@ -3,8 +3,8 @@
 Only lengths matter to a packing, and there are at most ``capacity`` of them,
 so the search runs on the histogram of piece lengths, whose size is bounded by
 the capacity and not by the corpus. Bin completion: take the largest length
-left, enumerate undominated fillings of the space beside it, and branch over
-them, best fit first; a branch ends when its waste, added to the waste already
+left, take undominated fillings of the space beside it, the fullest of all
+among them (not every one: see ``fillings``), and branch over them, best fit first; a branch ends when its waste, added to the waste already
 made, exceeds what the incumbent allows. A filling is used as many times as
 the histogram has it. Pieces then get their places by their rank within their
 length, from counts per (length, salt), so no length lands in one task. Full pieces
@@ -54,10 +54,12 @@ def cut_into_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str
 
 
 def fillings(room: int, counts: np.ndarray, most: int) -> list[tuple[int, ...]]:
-    """Undominated sets of lengths (largest first) that fit ``room``, fullest
-    first, at most ``most`` of them. One set dominates another if the other
-    could be packed inside its pieces; the search takes lengths from the
-    largest that fits down, and keeps only sets to which nothing can be added."""
+    """Sets of lengths (largest first) that fit ``room``, fullest first, none
+    dominated by another of them, at most ``most`` and the fullest. One set
+    dominates another if the other could be packed inside its pieces. This is
+    a bounded search: each level tries the three largest lengths that fit and
+    half the room, within ``4 * most`` nodes; where it leaves waste, the
+    fullest set of all comes from a subset-sum table."""
     have = np.flatnonzero(counts)[::-1]
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [4 * most]
@@ -75,6 +77,9 @@ def fillings(room: int, counts: np.ndarray, most: int) -> list[tuple[int, ...]]:
             grow(room_left - x, [*chosen, x], x)
 
     grow(room, [], room)
+    if found and min(found)[0]:
+        best = fullest(room, counts)
+        found.append((room - sum(best), best))
     kept: list[tuple[int, tuple[int, ...]]] = []
     for waste, c in sorted(set(found), key=lambda f: (f[0], [-x for x in f[1]])):  # fullest first; of these, the one that spares small pieces
         if not any(_dominates(k, c) for _, k in kept):
@@ -82,6 +87,27 @@ def fillings(room: int, counts: np.ndarray, most: int) -> list[tuple[int, ...]]:
     return [c for _, c in kept]
 
 
+def fullest(room: int, counts: np.ndarray) -> tuple[int, ...]:
+    """Lengths (largest first) with the largest sum that fits ``room``."""
+    reach, all_of = 1, (1 << (room + 1)) - 1
+    before: list[tuple[int, int]] = []
+    for x in np.flatnonzero(counts[: room + 1])[::-1].tolist():
+        for _ in range(min(int(counts[x]), room // x)):
+            new = (reach | reach << x) & all_of
+            if new == reach:
+                break
+            before.append((x, reach))
+            reach = new
+        if reach >> room:
+            break
+    at, out = reach.bit_length() - 1, []
+    for x, had in reversed(before):
+        if not had >> at & 1:
+            out.append(x)
+            at -= x
+    return tuple(sorted(out, reverse=True))
+
+
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the lengths of ``b`` can be grouped into the lengths of ``a`` (greedy test, sufficient)."""
     room = sorted(a)

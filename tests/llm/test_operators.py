@@ -471,6 +471,23 @@ def test_bin_completion_reaches_small_optima():
         assert (used == counts).all() and bins <= sum(k for _, k in out) <= bins + 1
 
 
+def test_the_fullest_filling_is_among_them():
+    counts = np.zeros(425, np.int64)
+    counts[[423, 422, 421, 300, 124]] = 1
+    assert packing.fillings(424, counts, 48)[0] == (300, 124)
+    rng = random.Random(7)
+    for _ in range(200):
+        room = rng.randrange(1, 60)
+        counts = np.zeros(61, np.int64)
+        for x in rng.choices(range(1, 61), k=rng.randrange(1, 12)):
+            counts[x] += 1
+        sums = {0}
+        for x in np.repeat(np.arange(61), counts).tolist():
+            sums |= {s + x for s in sums}
+        best = (packing.fillings(room, counts, 48) or [()])[0]
+        assert sum(best) == max(s for s in sums if s <= room) and all(best.count(x) <= counts[x] for x in best)
+
+
 # -- suffix arrays ----------------------------------------------------------------------------------------------------
 
 
