@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -24,13 +25,15 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, where the
-    session has none (tests on one machine), a temporary folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session
+    that runs on this machine alone may do without: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         old = spark.sparkContext._jsc.sc().getCheckpointDir()
         if old.isDefined():
             found = old.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             found = f"file://{tempfile.mkdtemp(prefix='strataview-')}"
             spark.sparkContext.setCheckpointDir(found)

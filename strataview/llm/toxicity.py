@@ -26,8 +26,10 @@ INSULTS = frozenset("idiot idiots stupid moron morons dumb fool scum trash worth
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "(": "c", "€": "e"})
 WORD = re.compile(r"[^\W\d_]+")
-MIXED = re.compile(r"(?=\S*[^\W\d_])[^\W_][^\s.,;:?\"]*[0-9@$!|+(*_\-€][^\s,;:?\"]*[^\W_][^\s,;:?\"]*")
+TOKEN = re.compile(r"[^\s,;:?\"]+")
+MARK = re.compile(r"[0-9@$!|+(*_\-€]")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
+ALNUM = re.compile(r"[^\W_]")
 RUN = re.compile(r"(.)\1{2,}")
 NEAR = 5
 PREFIXES = (4, 5, 6, 7)
@@ -57,6 +59,19 @@ class Lexicon(dict):
         return got
 
 
+def mixed_in(text: str) -> list[str]:
+    """Tokens, from their first letter or digit on, that hold a letter and,
+    within, a mark or digit. Each character is looked at a fixed number of times."""
+    found = []
+    for t in TOKEN.findall(text):
+        if MARK.search(t) and (first := ALNUM.search(t)) and WORD.search(t):
+            t = t[first.start() :]
+            mark = MARK.search(t, 1)
+            if mark and ALNUM.search(t, mark.end()):
+                found.append(t)
+    return found
+
+
 def plain(word: str) -> str:
     """A disguised spelling undone: look-alikes, inner marks and stretched letters."""
     return RUN.sub(r"\1", re.sub(r"[^\w]|[\d_]", "", word.lower().translate(LEET)))
@@ -75,7 +90,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     near = 0
     for i in hits:
         near += any(w in SECOND for w in words[max(0, i - NEAR) : i + NEAR + 1])
-    mixed = MIXED.findall(text)
+    mixed = mixed_in(text)
     hidden = [p for p in map(plain, mixed) if p in lexicon]
     hidden += [p for p in map(plain, SPACED.findall(text)) if p in lexicon]
     hidden += [p for p in (RUN.sub(r"\1", w) for w in words if RUN.search(w)) if p in lexicon]
