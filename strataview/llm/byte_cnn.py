@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import drop, release, written
 from .labelled import fold, training_sample
 
 UNIT, UNITS, WIDTH = 64, 8, 6
@@ -131,30 +131,27 @@ class ByteCnn:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, sample_rows: int = 8_000, chunks_each: int = 4, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn | None:
-    """Fit on at most ``sample_rows`` labelled texts and ``chunks_each`` chunks
-    of each, evenly spread (bounds of the fit; scoring covers every chunk).
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, sample_rows: int = 8_000, row_bytes: int = 1 << 18, sample_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn | None:
+    """Fit on every chunk of at most ``sample_rows`` labelled texts, of at most
+    ``row_bytes`` bytes each and ``sample_bytes`` in all (bounds on which rows
+    are in the sample, none on what is read of a row; scoring has no bound).
     None without labels of both kinds."""
-
-    def run(batches: Iterator) -> Iterator:
-        for b in batches:
-            out = []
-            for text in b["text"]:
-                flat, n = padded((text or "").encode("utf-8", "replace"))
-                pick = sorted({int(i) for i in np.linspace(0, n - 1, chunks_each)})
-                size = len((text or "").encode("utf-8", "replace"))
-                out.append((b"".join(flat[i * STEP : i * STEP + CHUNK].tobytes() for i in pick), [float(np.clip((size - i * STEP) / CHUNK, 0, 1)) for i in pick]))
-            yield pd.DataFrame({"bytes": [o[0] for o in out], "fill": [o[1] for o in out], "label": b["label"], "spot": b["spot"]})
-
-    sample = training_sample(docs, labels, label, parts, held_out, sample_rows, id_col, text_col)
-    got = sample.mapInPandas(run, "bytes binary, fill array<float>, label int, spot int").toPandas()
+    sample, path = written(training_sample(docs, labels, label, parts, held_out, sample_rows, id_col, text_col), "quality-sample")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    sized = sample.select("spot", raw.alias("raw"), "label", F.octet_length(raw).alias("size"), F.xxhash64(raw).alias("at")).filter(F.col("size") <= row_bytes)
+    lines = sized.groupBy("spot").agg(F.sum("size").alias("size")).orderBy("spot").collect()  # at most 1,000 rows
+    end = next((r["spot"] for r, total in zip(lines, np.cumsum([r["size"] for r in lines]), strict=True) if total > sample_bytes), 1000)
+    got = sized.filter(F.col("spot") < end).orderBy("spot", "at", "label").select("raw", "label").toPandas()  # one order, one fit
+    drop(docs.sparkSession, path)
     if not len(got) or got["label"].nunique() < 2:
         return None
-    got = got.sort_values(["spot", "bytes"], kind="stable")  # the same fit whatever order the rows came in
-    chunks = np.frombuffer(b"".join(got["bytes"]), np.uint8).reshape(-1, CHUNK)
-    fill = np.concatenate([np.asarray(f, np.float32) for f in got["fill"]])
-    owner = np.repeat(np.arange(len(got)), [len(f) for f in got["fill"]])
-    return ByteCnn().fit(chunks, fill, owner, got["label"].to_numpy().astype(float))
+    chunks, fill, owner = [], [], []
+    for d, text in enumerate(got["raw"]):
+        flat, n = padded(bytes(text))
+        chunks.append(np.lib.stride_tricks.sliding_window_view(flat, CHUNK)[::STEP][:n])
+        fill.append(np.clip((len(text) - np.arange(n) * STEP) / CHUNK, 0, 1))
+        owner.append(np.full(n, d))
+    return ByteCnn().fit(np.concatenate(chunks), np.concatenate(fill).astype(np.float32), np.concatenate(owner), got["label"].to_numpy().astype(float))
 
 
 def quality_score(text: Column, model: ByteCnn | None) -> Column:
