@@ -29,11 +29,14 @@ PIECES = "doc_id long, row_key long, piece int, start long, length long, ids_crc
 
 def cut_into_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str, id_col: str, text_col: str) -> DataFrame:
     """A row per piece: ids of the whole text, then ``end_id``; longer ones are
-    cut into pieces of ``capacity``, of which the first takes the remainder."""
+    cut into pieces of ``capacity``, of which the first takes the remainder.
+    ``row_key`` numbers the rows of all tasks, so repeated rows differ in it."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -43,9 +46,10 @@ def cut_into_pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str
                 size = n % capacity or capacity
                 while at < n:
                     crc = zlib.crc32(ids[at : at + size].tobytes())
-                    for c, v in zip(cols, (doc, crc ^ (at * 2654435761 & 0xFFFFFFFF) ^ ((doc or 0) * 40503 & 0xFFFFFFFF), k, at, size, crc), strict=True):
+                    for c, v in zip(cols, (doc, row, k, at, size, crc), strict=True):
                         c.append(v)
                     at, k, size = at + size, k + 1, capacity
+                row += 1
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "row_key", "piece", "start", "length", "ids_crc32"])
         release()
@@ -212,7 +216,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
     without an id are packed like any other. An empty table gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
-    pieces, _ = written(cut_into_pieces(docs, capacity, end_id, vocabulary, id_col, text_col).withColumn("spread", F.xxhash64("row_key", "piece", "doc_id")), "pieces")
+    pieces, _ = written(cut_into_pieces(docs, capacity, end_id, vocabulary, id_col, text_col).withColumn("spread", F.xxhash64("row_key", "piece")), "pieces")
     whole = pieces.filter(F.col("length") == capacity)  # each fills a sequence alone and needs no search
     pieces = pieces.filter(F.col("length") < capacity)
     counts = np.zeros(capacity + 1, np.int64)
@@ -249,7 +253,7 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
 
     from pyspark.sql.window import Window
 
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row_key", "doc_id", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row_key", "piece")) - 1
     placed = F.pandas_udf(place, "sequence_id long, offset long")
     out = ["doc_id", "piece", "start", "length", "ids_crc32"]
     filled = pieces.withColumn("rank", rank.cast("long")).withColumn("at", placed("length", "salt", "rank")).select(*out, "at.sequence_id", "at.offset")
