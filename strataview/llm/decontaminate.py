@@ -1,15 +1,20 @@
 """Benchmark decontamination: SimHash over item-sized windows.
 
 Every text is slid over in windows as long as each benchmark item. A window's
-fingerprint is looked up in a multi-index: with a Hamming radius ``r`` the 64
-bits fall into ``r + 1`` blocks, so a fingerprint within the radius agrees on
-at least one block, and no such pair is missed. Candidates are then measured
-exactly, as the weighted Jaccard similarity of their shingle counts.
+fingerprint is looked up in a multi-index: its 512 bits fall into 128 blocks of
+4, and two fingerprints within a Hamming radius ``r`` agree on at least
+``128 - r`` blocks, as each differing bit spoils one block at most. So the
+items that agree on that many blocks hold all items within the radius, and of
+unrelated items, which agree on 8 blocks on average, next to none. Candidates
+are then measured exactly, as the weighted Jaccard similarity of their shingle
+counts.
 
 A window that holds too few of the benchmark's shingles cannot reach the
-threshold with any item; only the others are fingerprinted. The index is built
-from a shard of the benchmark whose size is bounded; a larger benchmark is
-worked off shard by shard.
+threshold with any item; only the others are fingerprinted. An index is built
+of one shard of the benchmark, whose bytes are bounded. Where there are several
+shards, the documents are read once, against a bitmap of fixed size of all
+shards' shingles, and only texts with a window that could match go on to the
+shards.
 """
 
 from __future__ import annotations
@@ -18,13 +23,20 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
-from .shingles import PUNCTUATION, shingle_hashes, word_hashes
+from .common import release, written
+from .shingles import ODD, PUNCTUATION, shingle_hashes, word_hashes
 
-BITS = 64
+LANES, BLOCK_BITS = 8, 4
+BITS = 64 * LANES
+BLOCKS = BITS // BLOCK_BITS
+#: At similarity 0.8 the expected distance is 78 with a deviation of 8.
+RADIUS = 108
+#: Bits of the bitmap of shingles, and of one of its segments.
+MAP_BITS, SEGMENT_BITS = 1 << 27, 1 << 19
 FOUND = "doc_id long, item_id long, start_word int, n_words int, similarity double, distance int"
 
 
@@ -33,11 +45,34 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "surrogatepass").lower().translate(PUNCTUATION).split())
 
 
-def fingerprints(windows: np.ndarray) -> np.ndarray:
-    """SimHash of each row of shingle hashes; repeated shingles weigh as often as they occur."""
-    bits = (windows[:, :, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
-    up = bits.sum(axis=1).astype(np.int64) * 2 > windows.shape[1]
-    return (up.astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+def fingerprints(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """SimHash (LANES numbers of 64 bits) of the ``n`` shingles from each of
+    ``starts`` (ascending); repeated shingles weigh as often as they occur.
+    Bits are summed once along the text, and a window is a difference of sums."""
+    out = np.zeros((len(starts), LANES), np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = int(np.searchsorted(starts, starts[lo] + max(n, 512), "left"))
+        first = int(starts[lo])
+        some = h[first : int(starts[hi - 1]) + n]
+        for lane in range(LANES):
+            x = (some ^ ODD[lane]) * ODD[(lane + 3) % LANES]
+            x = (x ^ (x >> np.uint64(32))) * ODD[(lane + 5) % LANES]
+            x ^= x >> np.uint64(29)
+            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.zeros((len(some) + 1, 64), np.int32)
+            np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
+            at = starts[lo:hi] - first
+            up = (sums[at + n] - sums[at]) * 2 > n
+            out[lo:hi, lane] = np.packbits(up, axis=1, bitorder="little").view(np.uint64)[:, 0]
+        lo = hi
+    return out
+
+
+def blocks_of(prints: np.ndarray) -> np.ndarray:
+    """The 4-bit blocks of fingerprints, as columns."""
+    raw = np.ascontiguousarray(prints).view(np.uint8)
+    return np.stack([raw & 15, raw >> 4], axis=2).reshape(len(prints), BLOCKS)
 
 
 def weighted_jaccard(a: Counter, b: Counter) -> float:
@@ -45,81 +80,159 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both)
 
 
+class MultiIndex:
+    """Fingerprints by block and block value; each list holds the places of its items."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.least = prints, radius, max(1, BLOCKS - radius)
+        keys = blocks_of(prints).astype(np.int64) + np.arange(BLOCKS) * (1 << BLOCK_BITS)
+        order = np.argsort(keys.ravel(), kind="stable")
+        self.ids = (order // BLOCKS).astype(np.int32)
+        self.ends = np.searchsorted(keys.ravel()[order], np.arange((BLOCKS << BLOCK_BITS) + 1)).astype(np.int64)
+
+    def candidates(self, block_values: np.ndarray) -> np.ndarray:
+        """Places that agree on enough blocks: all within the radius, and few others."""
+        at = block_values.astype(np.int64) + np.arange(BLOCKS) * (1 << BLOCK_BITS)
+        lists = [self.ids[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True) if a < b]
+        return np.flatnonzero(np.bincount(np.concatenate(lists)) >= self.least) if lists else np.zeros(0, np.int64)
+
+    def near(self, print_: np.ndarray, block_values: np.ndarray) -> list[tuple[int, int]]:
+        """(place, distance) of all within the radius."""
+        c = self.candidates(block_values)
+        d = np.bitwise_count(self.prints[c] ^ print_).sum(axis=1)
+        return [(int(i), int(x)) for i, x in zip(c, d, strict=True) if x <= self.radius]
+
+
+def _least(size: int, n: int, t: float) -> float:
+    """Shingles that a window of ``n`` needs of an item of ``size``: for equal
+    sizes min/(2n - min) >= t; for a text shorter than the item min/size >= t."""
+    return (2 * t / (1 + t) * n if n == size else t * size) - 1e-9
+
+
+def _starts(hits: np.ndarray, size: int, t: float) -> np.ndarray:
+    """Starts of item-sized windows with enough hits, from running sums of hits."""
+    n = min(size, len(hits) - 1)
+    return np.flatnonzero(hits[n:] - hits[:-n] >= _least(size, n, t))
+
+
 class BenchmarkIndex:
-    """Items of one shard by size, with their fingerprints in blocks."""
+    """Items of one shard, a multi-index for each size."""
 
     def __init__(self, items: list[tuple[int, str | None]], k: int, radius: int, threshold: float):
-        self.k, self.radius, self.threshold = k, radius, threshold
-        self.edges = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-        self.items: list[tuple[int, Counter, int]] = []
-        self.by_size: dict[int, list[int]] = defaultdict(list)
-        self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        every = []
+        self.threshold = threshold
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item, text in items:
             h = shingle_hashes(tokens(text), k)
-            if not len(h):
-                continue  # an item without words matches nothing
-            print_ = int(fingerprints(h[None, :])[0])
-            at = len(self.items)
-            self.items.append((item, Counter(h.tolist()), print_))
-            self.by_size[len(h)].append(at)
-            for b, v in enumerate(self.parts(print_)):
-                self.blocks[len(h), b, v].append(at)
-            every.append(h)
-        self.known = np.unique(np.concatenate(every)) if every else np.zeros(0, np.uint64)
-
-    def parts(self, print_: int) -> list[int]:
-        return [print_ >> lo & ((1 << hi - lo) - 1) for lo, hi in zip(self.edges, self.edges[1:], strict=False)]
-
-    def search(self, h: np.ndarray) -> dict[int, tuple[float, int, int, int]]:
-        """Best match of each item in a text of shingles ``h``: (similarity, start, size, distance)."""
-        best: dict[int, tuple[float, int, int, int]] = {}
+            if len(h):  # an item without words matches nothing
+                by_size[len(h)].append((item, h))
+        self.items = {size: [(item, Counter(h.tolist())) for item, h in some] for size, some in by_size.items()}
+        self.index = {size: MultiIndex(np.concatenate([fingerprints(h, np.zeros(1, np.int64), size) for _, h in some]), radius) for size, some in by_size.items()}
+        self.known = np.unique(np.concatenate([h for some in by_size.values() for _, h in some])) if by_size else np.zeros(0, np.uint64)
+
+    def search(self, h: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """Best match of each item in a text of shingles ``h``: (item, similarity, start, size, distance)."""
         if not len(self.known) or not len(h):
-            return best
-        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        hits = self.known[at] == h
+            return []
+        hits = self.known[np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)] == h
         if not hits.any():
-            return best
-        total = np.concatenate([[0], np.cumsum(hits)])
-        t = self.threshold
-        for size in self.by_size:
+            return []
+        sums = np.concatenate([[0], np.cumsum(hits)])
+        best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
+        for size, index in self.index.items():
             n = min(size, len(h))
-            # equal sizes: min/(2n - min) >= t; a text shorter than the item: min/size >= t
-            least = 2 * t / (1 + t) * n if n == size else t * size
-            starts = np.flatnonzero(total[n:] - total[:-n] >= least - 1e-9)
-            for lo in range(0, len(starts), 512):
-                some = starts[lo : lo + 512]
-                windows = h[some[:, None] + np.arange(n)]
-                for s, w, p in zip(some.tolist(), windows, fingerprints(windows).tolist(), strict=True):
-                    near = {i for b, v in enumerate(self.parts(p)) for i in self.blocks.get((size, b, v), ())}
-                    if not near:
-                        continue
-                    c = None
-                    for i in near:
-                        item, counts, print_ = self.items[i]
-                        d = (p ^ print_).bit_count()
-                        if d > self.radius:
-                            continue
-                        c = c or Counter(w.tolist())
-                        sim = weighted_jaccard(c, counts)
-                        if sim >= t - 1e-12 and (i not in best or (-sim, s) < (-best[i][0], best[i][1])):
-                            best[i] = (sim, s, n, d)
-        return best
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 20, shard_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            starts = _starts(sums, size, self.threshold)
+            if not len(starts):
+                continue
+            prints = fingerprints(h, starts, n)
+            seen: dict[bytes, list[tuple[int, int]]] = {}  # repeated words give equal prints again and again
+            for s, p, values in zip(starts.tolist(), prints, blocks_of(prints), strict=True):
+                c, name = None, p.tobytes()
+                if name not in seen:
+                    seen[name] = index.near(p, values)
+                for i, d in seen[name]:
+                    c = c or Counter(h[s : s + n].tolist())
+                    sim = weighted_jaccard(c, self.items[size][i][1])
+                    at = (size, i)
+                    if sim >= self.threshold - 1e-12 and (at not in best or (-sim, s) < (-best[at][0], best[at][1])):
+                        best[at] = (sim, s, n, d)
+        return [(self.items[size][i][0], *found) for (size, i), found in sorted(best.items())]
+
+
+def _bitmap(bench: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of all shingles of the benchmark (MAP_BITS bits, whatever its
+    size: tasks fill their own, which are united segment by segment) and the
+    distinct sizes of items."""
+
+    def fill(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        mine = np.zeros(MAP_BITS // 8, np.uint8)
+        sizes: set[int] = set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                h = shingle_hashes(tokens(text), k)
+                if len(h):
+                    sizes.add(len(h))
+                    at = h >> np.uint64(37)
+                    np.bitwise_or.at(mine, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        rows = mine.reshape(-1, SEGMENT_BITS // 8)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[i].tobytes() for i in some], pa.binary()), pa.array([None] * len(some), pa.int32())], names=["segment", "bits", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array([None] * len(sizes), pa.int32()), pa.array([None] * len(sizes), pa.binary()), pa.array(sorted(sizes), pa.int32())], names=["segment", "bits", "size"])
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.frombuffer(pdf["bits"].iloc[0], np.uint8)
+        for x in pdf["bits"].iloc[1:]:
+            out = out | np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bits": [out.tobytes()]})
+
+    filled, _ = written(bench.select("text").mapInArrow(fill, "segment int, bits binary, size int"), "benchmark-bits")
+    got = np.zeros((MAP_BITS // SEGMENT_BITS, SEGMENT_BITS // 8), np.uint8)
+    for r in filled.filter("segment is not null").groupBy("segment").applyInPandas(unite, "segment int, bits binary").collect():  # MAP_BITS in all
+        got[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+    sizes = [r["size"] for r in filled.filter("size is not null").select("size").distinct().collect()]
+    return got.ravel(), np.array(sorted(sizes), np.int64)
+
+
+def _possible(d: DataFrame, bench: DataFrame, k: int, t: float) -> DataFrame:
+    """Texts with a window that holds enough shingles of the whole benchmark to
+    match some item; the bitmap lets a few more through, and loses none."""
+    bits = d.sparkSession.sparkContext.broadcast(_bitmap(bench, k))
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        table, sizes = bits.value
+        for b in batches:
+            on = []
+            for text in b.column(1).to_pylist():
+                h = shingle_hashes(tokens(text), k)
+                at = h >> np.uint64(37)
+                sums = np.concatenate([[0], np.cumsum(table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)])
+                on.append(bool(len(h)) and any(len(_starts(sums, int(n), t)) for n in sizes))
+            yield b.filter(pa.array(on, pa.bool_()))
+        release()
+
+    return written(d.mapInArrow(keep, "doc_id long, text string"), "possible")[0]
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = RADIUS, shard_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document and benchmark item with a window at least
     ``threshold`` similar: the best window (the first of equals), its first
     word, its length in words, the similarity, and the Hamming distance.
 
     Null and empty texts and items match nothing; a text shorter than an item
-    is one window. Repeated rows of documents give their rows again; of equal
-    items each is reported. Other columns are ignored.
+    is one window; very long texts and items are used whole. Repeated rows of
+    documents give their rows again; of equal items each is reported. Ids are
+    cast to long. Other columns are ignored. An empty table of either gives no
+    rows. ``shard_bytes`` bounds (on average) the text of an index.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    shards = max(1, -(-bench.count() // shard_items))
+    shards = max(1, -(-int(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if shards > 1:
+        d = _possible(d, bench, k, threshold)
     found = None
     for s in range(shards):
         part = bench if shards == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == s)
@@ -132,8 +245,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: flo
             for b in batches:
                 cols: list[list] = [[] for _ in range(6)]
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    for i, (sim, start, n, dist) in sorted(ix.search(shingle_hashes(tokens(text), k)).items()):
-                        for c, v in zip(cols, (doc, ix.items[i][0], start, n + k - 1, sim, dist), strict=True):
+                    for item, sim, start, n, dist in ix.search(shingle_hashes(tokens(text), k)):
+                        for c, v in zip(cols, (doc, item, start, n + k - 1, sim, dist), strict=True):
                             c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in FOUND.split(", ")])
