@@ -148,7 +148,7 @@ def etag_conditions(spark, sf_dir):
 
 
 METHOD = "CASE req_id % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'PUT' WHEN 2 THEN 'POST' WHEN 3 THEN 'DELETE' ELSE 'HEAD' END"
-QUERY = "CASE req_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'x-id=GetObject' WHEN 2 THEN 'uploadId=9&partNumber=1' WHEN 3 THEN 'uploads' WHEN 4 THEN 'delete' WHEN 5 THEN 'prefix=a&max-keys=3' WHEN 6 THEN 'acl' WHEN 7 THEN 'response-expires=1&&x-id=z' WHEN 8 THEN 'versionId=3' WHEN 9 THEN 'x-accel-purge' WHEN 10 THEN 'location' ELSE 'prefix=a&prefix=b' END"
+QUERY = "CASE req_id % 12 WHEN 0 THEN '' WHEN 1 THEN 'x-id=GetObject' WHEN 2 THEN 'uploadId=9&partNumber=1' WHEN 3 THEN 'uploads' WHEN 4 THEN 'delete' WHEN 5 THEN 'prefix=a&max-keys=3' WHEN 6 THEN 'acl' WHEN 7 THEN 'response-expires=1&&x-id=z' WHEN 8 THEN 'versionId=3' WHEN 9 THEN 'x-purge' WHEN 10 THEN 'location' ELSE 'prefix=a&prefix=b' END"
 OPS = f"""ops AS (SELECT req_id, {METHOD} AS method, req_id % 3 <> 0 AS has_key, req_id % 17 = 0 AS copies, {QUERY} AS query, list_transform(list_filter(string_split({QUERY}, '&'), lambda p: p <> ''), lambda p: string_split(p, '=')[1]) AS params FROM requests)"""
 
 
@@ -166,12 +166,12 @@ def _only(allowed: list[str]) -> str:
     + f""", {OPS} SELECT req_id, CASE WHEN method = 'GET' AND has_key AND {_only(rq.READ_PARAMETERS)} THEN 'GetObject' WHEN method = 'HEAD' AND has_key AND {_only(rq.READ_PARAMETERS)} THEN 'HeadObject'
  WHEN method = 'PUT' AND has_key AND list_contains(params, 'uploadId') THEN 'UploadPart' WHEN method = 'PUT' AND has_key AND {_only(["x-id"])} AND copies THEN 'CopyObject' WHEN method = 'PUT' AND has_key AND {_only(["x-id"])} THEN 'PutObject'
  WHEN method = 'DELETE' AND has_key AND list_contains(params, 'uploadId') THEN 'AbortMultipartUpload' WHEN method = 'DELETE' AND has_key AND {_only(["x-id", "versionId"])} THEN 'DeleteObject'
- WHEN method = 'POST' AND has_key AND list_contains(params, 'uploads') THEN 'CreateMultipartUpload' WHEN method = 'POST' AND has_key AND list_contains(params, 'uploadId') THEN 'CompleteMultipartUpload' WHEN method = 'POST' AND has_key AND list_contains(params, 'x-accel-purge') THEN 'Purge'
+ WHEN method = 'POST' AND has_key AND list_contains(params, 'uploads') THEN 'CreateMultipartUpload' WHEN method = 'POST' AND has_key AND list_contains(params, 'uploadId') THEN 'CompleteMultipartUpload' WHEN method = 'POST' AND has_key AND list_contains(params, 'x-purge') THEN 'Purge'
  WHEN method = 'POST' AND NOT has_key AND list_contains(params, 'delete') THEN 'DeleteObjects' WHEN method = 'GET' AND NOT has_key AND {_only(rq.LIST_PARAMETERS)} THEN 'ListObjects' ELSE 'Other' END AS operation FROM ops"""
 )
 def operation_classify(spark, sf_dir):
     o = _ops(spark, sf_dir)
-    return o.select("req_id", rq.operation(F.col("method"), F.col("has_key"), F.lit(True), F.col("params"), F.col("copies")).alias("operation"))
+    return o.select("req_id", rq.operation(F.col("method"), F.col("has_key"), F.lit(True), F.col("params"), F.col("copies"), "x-purge").alias("operation"))
 
 
 @query(
