@@ -10,17 +10,21 @@
    ``n - ceil(t n) + 1`` in this order connect classes into clusters, which are
    dealt out in blocks of bounded size.
 4. In a block pair an inverted index gives overlaps. Lists are ordered by set
-   size, so each search skips the parts of a list whose sizes cannot reach the
+   size, and each search skips the parts of a list whose sizes cannot reach the
    threshold; and a set that differs little from the one before takes that
    one's overlaps, corrected by the lists of the shingles in which they differ.
    Only links that join two parts are passed on.
-5. Block pairs whose members are connected already are skipped as a whole; all
-   others are compared, so no link between different texts is lost.
+5. Blocks hold sets of a band of sizes, and sets link only within a band or to
+   the next. Each block is compared with itself and with the first of its own
+   and the next band; that connects groups of copies. Of all other block pairs
+   only those are compared that share a prefix shingle held by sets not
+   connected yet, so no link between different texts is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,50 +80,61 @@ def _sets(docs: DataFrame, k: int, pct: int, whole: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, cls binary, toks array<long>")
 
 
-def overlaps(sets: list[np.ndarray], other: list[np.ndarray], pct: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of ``sets``, the places of the sets of ``other`` it links to.
-
-    Inverted lists hold places of ``other`` in order of size. A search reads,
-    of each list, only the stretch whose sizes can link; a set close to the one
-    before it starts from that one's overlaps and reads only the lists of the
-    shingles in which the two differ."""
-    size = np.array([len(s) for s in other])
-    by_size = np.argsort(size, kind="stable")
-    rank = np.empty(len(other), np.int64)
-    rank[by_size] = np.arange(len(other))
-    sorted_sizes = size[by_size]
-    toks = np.concatenate(other)
-    place = np.repeat(rank, size)
-    order = np.lexsort((place, toks))
-    toks, place = toks[order], place[order]
-    names, first = np.unique(toks, return_index=True)
-    ends = np.append(first, len(toks))
-
-    def counts(t: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        at = np.searchsorted(names, t)
-        at = at[(at < len(names)) & (names[np.minimum(at, len(names) - 1)] == t)]
+class Inverted:
+    """Inverted lists over ``other``: for each shingle the places of its sets in
+    order of size, one sorted run of numbers (list, place). ``read`` counts the
+    entries that searches have read."""
+
+    def __init__(self, other: list[np.ndarray]):
+        size = np.array([len(s) for s in other])
+        self.by_size = np.argsort(size, kind="stable")
+        self.sizes = size[self.by_size]
+        self.n = len(other)
+        rank = np.empty(self.n, np.int64)
+        rank[self.by_size] = np.arange(self.n)
+        self.names, lists = np.unique(np.concatenate(other), return_inverse=True)
+        self.entries = np.sort(lists * self.n + np.repeat(rank, size))
+        self.read = 0
+
+    def counts(self, t: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """How many of the shingles ``t`` each set at places [lo, hi) has. Of
+        each list only that stretch is read: its ends are found by bisection."""
+        at = np.searchsorted(self.names, t)
+        at = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == t)] * self.n
+        first = np.searchsorted(self.entries, at + lo)
+        lens = np.searchsorted(self.entries, at + hi) - first
+        some = lens > 0
+        at, first, lens = at[some], first[some], lens[some]
         if not len(at):
-            return np.zeros(len(other), np.int64)
-        lens = ends[at + 1] - first[at]
-        idx = np.repeat(first[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        p = place[idx]
-        return np.bincount(p[(p >= lo) & (p < hi)], minlength=len(other))
+            return np.zeros(self.n, np.int64)
+        total = int(lens.sum())
+        self.read += total
+        idx = np.repeat(first - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(total)
+        return np.bincount(self.entries[idx] - np.repeat(at, lens), minlength=self.n)
+
+
+def overlaps(sets: list[np.ndarray], other: list[np.ndarray], pct: int, index: Inverted | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of ``sets``, the places of the sets of ``other`` it links to.
 
+    A search reads, of each inverted list, only the stretch whose sizes can
+    link; a set close to the one before it starts from that one's overlaps and
+    reads only the lists of the shingles in which the two differ."""
+    ix = index or Inverted(other)
     last, got, span = None, None, (0, 0)
     for i in sorted(range(len(sets)), key=lambda j: (len(sets[j]), sets[j].tobytes()[:64])):
         s = sets[i]
-        lo = int(np.searchsorted(sorted_sizes, _at_least(len(s), pct), "left"))
-        hi = int(np.searchsorted(sorted_sizes, len(s) * 100 // pct, "right"))
+        lo = int(np.searchsorted(ix.sizes, _at_least(len(s), pct), "left"))
+        hi = int(np.searchsorted(ix.sizes, len(s) * 100 // pct, "right"))
         gone = np.setdiff1d(last, s, assume_unique=True) if last is not None else None
         if gone is not None and span[0] <= lo and hi <= span[1] and len(gone) * 3 < len(s):
-            new = np.setdiff1d(s, last, assume_unique=True)
-            o = got - counts(gone, *span) + counts(new, *span)
+            o = got - ix.counts(gone, *span) + ix.counts(np.setdiff1d(s, last, assume_unique=True), *span)
         else:
-            span = (int(np.searchsorted(sorted_sizes, _at_least(len(s), pct), "left")), len(other))
-            o = counts(s, *span)
+            # sets come by size: room above for the overlaps to serve the next ones too
+            span = (lo, int(np.searchsorted(ix.sizes, len(s) * 110 // pct, "right")))
+            o = ix.counts(s, *span)
         last, got = s, o
-        hit = np.flatnonzero(100 * o[lo:hi] >= pct * (len(s) + sorted_sizes[lo:hi] - o[lo:hi])) + lo
-        yield i, by_size[hit]
+        hit = np.flatnonzero(100 * o[lo:hi] >= pct * (len(s) + ix.sizes[lo:hi] - o[lo:hi])) + lo
+        yield i, ix.by_size[hit]
 
 
 def _links(pdf: pd.DataFrame, pct: int) -> pd.DataFrame:
@@ -151,6 +166,27 @@ def _compare(members: DataFrame, pairs: DataFrame, pct: int) -> DataFrame:
     return l.select(*cols).unionByName(r.select(*cols)).groupBy("pair").applyInPandas(lambda p: _links(p, pct), "u long, v long")
 
 
+def _band(n: Column, pct: int) -> Column:
+    """Bands of sizes; sets that link are in one band or in neighbouring ones
+    (bands are a little wider than the ratio, so that rounding loses none)."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / pct) * 1.001 + 1e-6)).cast("int")
+
+
+def _open_pairs(lists: DataFrame, placed: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Block pairs (``cluster, left, right``) that share a shingle of ``lists``
+    (``cid, tok``) held by sets of different components. Of shingles held by
+    the very same blocks one stands for all, and no set is gathered."""
+    held, p_held = written(lists.join(placed.select("cluster", "cid", "comp", "block"), "cid").select("cluster", "tok", "comp", "block"), "open-held")
+    hash_of = lambda seed: F.xxhash64(F.lit(seed), "block")
+    of_tok = held.groupBy("cluster", "tok", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    by_tok = of_tok.groupBy("cluster", "tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor(hash_of("x")).alias("x"), F.bit_xor(hash_of("y")).alias("y"), F.count(F.lit(1)).alias("c"))
+    chosen = by_tok.filter("lo < hi").groupBy("cluster", "x", "y", "c").agg(F.min("tok").alias("tok")).select("cluster", "tok")
+    held, p_kept = written(held.select("cluster", "tok", "block").distinct().join(chosen, ["cluster", "tok"]), "open-blocks")
+    both = held.select("cluster", "tok", F.col("block").alias("left")).join(held.select("cluster", "tok", F.col("block").alias("right")), ["cluster", "tok"])
+    can = (F.col("left") <= F.col("right")) & (F.abs(F.col("left.band") - F.col("right.band")) <= 1) & ((F.col("left.part") != F.col("right.part")) | (F.col("left.part") == -1))
+    return both.filter(can).select("cluster", "left", "right").distinct(), [p_held, p_kept]
+
+
 def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, class_key``.
 
@@ -200,32 +236,35 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     heads, p_heads = written(lists.groupBy("tok").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("tok", "v"), "heads")
     cluster = connected(lists.join(heads, "tok").select(F.col("cid").alias("u"), "v"))
     cluster, p_cluster = written(cluster.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "clusters")
-    sizes, p_sizes = written(cluster.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
-    inside = cluster.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    members, p_members = written(inside.join(full, "cid").select("cluster", "block", "blocks", "cid", F.col("cid").alias("comp"), "toks"), "members")
-
-    # first each block with itself and with the first block of its cluster
-    one = sizes.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("right"))
-    pairs = one.select("cluster", F.col("right").alias("left"), "right").unionByName(one.filter("right > 0").select("cluster", F.lit(0).alias("left"), "right"))
+    totals, p_totals = written(cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("total")), "totals")
+    band = F.when(F.col("total") > BLOCK, _band(F.size("toks"), pct)).otherwise(F.lit(0))  # what fits one block needs no bands
+    inside = cluster.join(totals, "cluster").join(full.select("cid", "toks"), "cid").select("cluster", "cid", "toks", band.alias("band"))
+    sizes, p_sizes = written(inside.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "sizes")
+    block = F.struct("band", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i"))
+    members, p_members = written(inside.join(sizes, ["cluster", "band"]).select("cluster", block.alias("block"), "band", "cid", F.col("cid").alias("comp"), "toks"), "members")
+
+    # first each block with itself and with the first blocks of its band and the one before
+    one = sizes.select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", "band", "i", F.struct("band", "i").alias("right"))
+    lead = F.struct(F.col("band"), F.lit(0).alias("i"))
+    below = one.select("cluster", (F.col("band") - 1).alias("band"), "right").join(sizes.select("cluster", "band"), ["cluster", "band"])
+    pairs = one.select("cluster", F.col("right").alias("left"), "right").unionByName(one.filter("i > 0").select("cluster", lead.alias("left"), "right")).unionByName(below.select("cluster", lead.alias("left"), "right"))
     links, p_links = written(_compare(members, pairs.withColumn("pair", F.to_json(F.struct("cluster", "left", "right"))), pct), "links")
-    paths = [*made, p_few, p_lists, p_heads, p_cluster, p_sizes]
+    paths = [*made, p_few, p_lists, p_heads, p_cluster, p_totals, p_sizes]
 
     # then what is not connected yet, in clusters of several blocks
-    many = members.filter("blocks > 1").select("cluster", "cid", "toks")
-    if many.limit(1).count():
+    several = sizes.groupBy("cluster").agg(F.sum("blocks").alias("b")).filter("b > 1").select("cluster")
+    if several.limit(1).count():
         comp, p_comp = written(connected(links), "comp")
-        m = many.join(comp, many["cid"] == comp["node"], "left").select("cluster", "cid", F.coalesce("root", "cid").alias("comp"), "toks")
-        grouped, p_grouped = written(m.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c")), "grouped")
+        m = members.join(several, "cluster", "left_semi").join(comp, members["cid"] == comp["node"], "left").select("cluster", "band", "cid", F.coalesce("root", "cid").alias("comp"), "toks")
+        grouped, p_grouped = written(m.groupBy("cluster", "band", "comp").agg(F.count(F.lit(1)).alias("c")), "grouped")
         own = grouped.withColumn("part", F.when(F.col("c") >= BLOCK, F.col("comp")).otherwise(F.lit(-1)))
-        part, p_part = written(own.groupBy("cluster", "part").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("comps")), "parts")
-        placed = m.join(own.select("cluster", "comp", "part"), ["cluster", "comp"]).join(part, ["cluster", "part"])
-        placed, p_placed = written(placed.select("cluster", F.struct("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i")).alias("block"), "cid", "comp", "toks"), "placed")
-        blocks = part.select("cluster", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("cluster", F.struct("part", "i").alias("b"))
-        every = blocks.select("cluster", F.col("b").alias("left")).join(blocks.select("cluster", F.col("b").alias("right")), "cluster").filter("left <= right")
-        every = every.filter((F.col("left.part") != F.col("right.part")) | (F.col("left.part") == -1))
+        part, p_part = written(own.groupBy("cluster", "band", "part").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")), "parts")
+        placed = m.join(own.select("cluster", "band", "comp", "part"), ["cluster", "band", "comp"]).join(part, ["cluster", "band", "part"])
+        placed, p_placed = written(placed.select("cluster", F.struct("part", "band", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i")).alias("block"), "cid", "comp", "toks"), "placed")
+        every, p_open = _open_pairs(lists.join(heads.select("tok"), "tok"), placed)
         more, p_more = written(_compare(placed, every.withColumn("pair", F.to_json(F.struct("cluster", "left", "right"))), pct), "more")
         links = links.unionByName(more)
-        paths += [p_comp, p_grouped, p_part, p_placed, p_more]
+        paths += [p_comp, p_grouped, p_part, p_placed, p_more, *p_open]
     comp, p_comp = written(connected(links), "components")
     linked = comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     least, p_least = written(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
