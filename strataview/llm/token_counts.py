@@ -10,7 +10,9 @@ file, so one very long file does not meet in one task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -67,13 +69,31 @@ def to_streams(docs: DataFrame, vocabulary: str, end_id: int, block_tokens: int,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, STREAM)
 
 
-def read_token_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17) -> DataFrame:
-    """Flat token files (each under 2 GB, the limit of the binary source) as blocks."""
-    files = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / block_bytes)).cast("int"))).alias("k")
-    return files.select(F.xxhash64("path").alias("file_id"), "content", at).select(
-        "file_id", F.col("k").cast("long").alias("block_no"), F.expr(f"substring(content, k * {block_bytes} + 1, {block_bytes})").alias("payload")
-    )
+def read_token_files(spark: SparkSession, path: str, block_bytes: int = 1 << 17, blocks_each: int = 64) -> DataFrame:
+    """Flat token files of any size as blocks. Spark lists the files and their
+    sizes; each task then reads byte ranges of its own, so a file is never one
+    row or one task. Files are opened through ``pyarrow.fs`` (local, HDFS, S3,
+    GCS paths), like any file a worker opens itself."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    span = block_bytes * blocks_each
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.floor((F.col("length") - 1) / span)).cast("long"))).alias("k")
+    ranges = files.select(F.xxhash64("path").alias("file_id"), "path", "length", at).repartition(F.col("path"), F.col("k"))
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for file_id, name, length, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                scheme, _, rest = name.partition(":")
+                where, inner = fs.FileSystem.from_uri(f"{scheme}://{quote(re.sub('^//', '', rest))}")
+                with where.open_input_file(inner) as f:
+                    flat = f.read_at(min(span, length - k * span), k * span)
+                parts = [flat[i : i + block_bytes] for i in range(0, len(flat), block_bytes)] or [b""]
+                first = k * blocks_each
+                yield pa.RecordBatch.from_arrays([pa.array([file_id] * len(parts)), pa.array(range(first, first + len(parts)), pa.int64()), pa.array(parts, pa.binary())], names=["file_id", "block_no", "payload"])
+
+    return ranges.mapInArrow(read, "file_id long, block_no long, payload binary")
 
 
 def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2", chunk: int = 256) -> DataFrame:
@@ -108,8 +128,10 @@ def count_tokens(blocks: DataFrame, end_id: int, dtype: str = "<u2", chunk: int
 
 def document_token_counts(docs: DataFrame, vocabulary: str | None = None, end_id: int = 50256, block_tokens: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode ``docs`` to flat streams, scan them, and give ``doc_id, n_tokens``
-    (without the end id) per input row. Null or empty text: 0. Repeated rows
-    and rows without an id count like any other."""
+    (without the end id) per input row. Null or empty text: 0. Very long texts
+    are encoded whole and cross blocks. Repeated rows and rows without an id
+    count like any other; ids are cast to long; other columns are ignored; an
+    empty table gives no rows."""
     stream, _ = written(to_streams(docs, vocabulary or default_vocabulary(), end_id, block_tokens, id_col, text_col), "streams")
     counts = count_tokens(stream.filter("payload is not null").select("file_id", "block_no", "payload"), end_id)
     names = stream.filter("ordinal is not null").select("file_id", "ordinal", "doc_id")
