@@ -29,8 +29,8 @@ from .common import drop, release, semi_by, written
 from .labelled import fold
 
 ENCODED = "block long, docs array<long>, held array<boolean>, sizes array<int>, ids binary, words array<binary>, counts array<int>"
-#: Rows of the encoded table in a Python batch: each holds a block.
-FEW = 2
+#: Rows of a Python batch where rows are words; blocks are bounded by their bytes.
+MANY = 10_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -192,7 +192,7 @@ def score_texts(docs: DataFrame, parts: int = 10, held_out: int = 0, classes: in
             yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(total[a, b])], names=["a", "b", "n"])
 
     pair = np.zeros((size, size))
-    summed, p_pairs = written(encoded.mapInArrow(head_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs", FEW)
+    summed, p_pairs = written(encoded.mapInArrow(head_pairs, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
     pairs = summed.toArrow()  # at most head x head rows
     drop(spark, p_pairs)
     pair[pairs["a"].to_numpy(), pairs["b"].to_numpy()] = pairs["n"].to_numpy()
@@ -246,7 +246,7 @@ def score_texts(docs: DataFrame, parts: int = 10, held_out: int = 0, classes: in
     each = encoded.mapInArrow(contexts, "w binary, m array<long>").repartition("w").select("w", F.explode("m").alias("x"))
     summed = each.groupBy("w", (F.col("x") % width).cast("int").alias("c")).agg(F.sum(F.expr(f"x div {width}")).alias("m"))
     vocabulary = summed.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("all")).mapInArrow(decide, "w binary, n long, k int")
-    vocabulary, p_vocabulary = written(vocabulary, "vocabulary", FEW)
+    vocabulary, p_vocabulary = written(vocabulary, "vocabulary", MANY)
     stats = {r["k"]: (r["n"], r["v"]) for r in vocabulary.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}  # one row a class
     in_class = np.array([stats.get(k, (0, 0))[0] for k in range(classes)], float)
     types = np.array([stats.get(k, (0, 0))[1] for k in range(classes)], float)

@@ -40,28 +40,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager
-def batches(spark: SparkSession, rows: int):
-    """While this holds, Python gets rows in Arrow batches of ``rows``, so that
-    a worker's memory is bounded by few rows, however long they are."""
-    before = spark.conf.get(BATCH)
-    spark.conf.set(BATCH, rows)
+def batches(spark: SparkSession, rows: int, size: int):
+    """While this holds, Python gets Arrow batches of at most ``rows`` rows and
+    about ``size`` bytes, so that a worker's memory is bounded."""
+    before = {k: spark.conf.get(k, None) for k in (ROWS, BYTES)}
+    spark.conf.set(ROWS, rows)
+    spark.conf.set(BYTES, size)
     try:
         yield
     finally:
-        spark.conf.set(BATCH, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, name: str, batch_rows: int = 1000) -> tuple[DataFrame, str]:
+def written(df: DataFrame, name: str, batch_rows: int = 1000, batch_bytes: int = 8 << 20) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet in the shared folder and read it back: the
     lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataview/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    with batches(spark, batch_rows):
+    with batches(spark, batch_rows, batch_bytes):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
