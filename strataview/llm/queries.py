@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import byte_cnn, class_model, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, toxicity
+from . import byte_cnn, class_model, decontaminate, jaccard_join, license_scan, oracles, packing, quality_rules, suffix_dedup, token_counts, toxicity
 from .common import table
 
 
@@ -49,7 +50,17 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, keep_first=False))
+    return suffix_dedup.digest(suffix_dedup.remove_and_report(table(spark, sf_dir, "documents"), length=400, passage=250, words=51))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can state."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def ngram_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL can state."""
+    return op2_class_ngrams(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -64,10 +75,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
+    "license_base": license_base,
+    "ngram_base": ngram_base,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.oracle(),
+    "op5_jaccard_join": oracles.jaccard_components(),
+    "op10_suffix_dedup": oracles.repeated_bytes(),
+    "license_base": oracles.license_base(),
+    "ngram_base": oracles.ngram_base(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

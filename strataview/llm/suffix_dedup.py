@@ -381,10 +381,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     is empty. Repeated rows count as documents of their own.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    joined = _with_spans(d, length, keep_first, "doc_id", "text", more).withColumnRenamed("__sv_spans", "spans")
+    return _with_kept(_with_spans(d, length, keep_first, "doc_id", "text", more).withColumnRenamed("__sv_spans", "spans"))
+
+
+def _with_kept(joined: DataFrame, *more: str) -> DataFrame:
     left = F.pandas_udf(lambda t, s: pd.Series([_kept(a, b) for a, b in zip(t, s, strict=True)], dtype=object), "binary")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return joined.select("doc_id", "text", "spans", F.when(F.col("spans").isNull(), text).otherwise(left(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))).alias("kept"))
+    return joined.select("doc_id", "text", "spans", *more, F.when(F.col("spans").isNull(), text).otherwise(left(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))).alias("kept"))
+
+
+def remove_and_report(docs: DataFrame, length: int = 400, passage: int = 250, words: int = 51, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """:func:`remove_repeats` with ``keep_first`` false, and ``passages``: the
+    spans of strings of ``passage`` bytes (under ``length``), and of runs of
+    ``words`` words in fewer, that also start elsewhere; they are reported, not
+    removed. Both places of a repeated string of ``length`` bytes lie in
+    passages, so only texts with passages are searched for such strings."""
+    bound = more.get("broadcast_rows", 1_000_000)
+    d = with_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    rows = d.select(F.col(KEY).alias("doc"), "text")
+    passages = repeated_spans(rows, passage, False, words=words, **more)
+    some = passages.select("doc")
+    n = some.count()
+    repeats = repeated_spans(rows.join(F.broadcast(some) if n <= bound else some, "doc", "left_semi"), length, False, **more)
+    both = passages.withColumnRenamed("spans", "passages").join(repeats, "doc", "left").select(F.col("doc").alias(KEY), "spans", "passages")
+    both, _ = written(both, "both")
+    few = (both.agg(F.sum(F.size("passages") + F.coalesce(F.size("spans"), F.lit(0)) + 2)).first()[0] or 0) <= bound
+    return _with_kept(d.join(F.broadcast(both) if few else both, KEY, "left"), "passages")
 
 
 def cut_documents(docs: DataFrame, length: int, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -414,8 +436,14 @@ def _kept_text(text: str | None, spans) -> str | None:
     return _kept(text, whole).decode("utf-8", "surrogatepass")
 
 
+def covered(spans: Column) -> Column:
+    """Bytes in disjoint spans; none for null."""
+    return F.aggregate(F.coalesce(spans, F.expr("cast(array() as array<struct<s:int,e:int>>)")), F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
+
+
 def digest(result: DataFrame) -> DataFrame:
-    """Sizes, number of removed runs, and the SHA-256 of the bytes kept."""
+    """Sizes, number of removed runs, the SHA-256 of the bytes kept, and the
+    bytes in repeated passages if they were looked for."""
     size = F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
-    removed = F.aggregate(F.coalesce(F.col("spans"), F.expr("cast(array() as array<struct<s:int,e:int>>)")), F.lit(0).cast("long"), lambda a, x: a + x["e"] - x["s"])
-    return result.select("doc_id", size.alias("n_bytes"), removed.alias("n_removed"), F.when(F.col("spans").isNull(), F.lit(0)).otherwise(F.size("spans")).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    more = [covered(F.col("passages")).alias("n_passage_bytes")] if "passages" in result.columns else []
+    return result.select("doc_id", size.alias("n_bytes"), covered(F.col("spans")).alias("n_removed"), F.when(F.col("spans").isNull(), F.lit(0)).otherwise(F.size("spans")).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), *more)

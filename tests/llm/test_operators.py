@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from strataview.llm import boosting, byte_cnn, class_model, components, decontaminate, jaccard_join, license_scan, packing, quality_rules, suffix_dedup, token_counts, tokens, toxicity
+from strataview.llm import boosting, byte_cnn, class_model, components, decontaminate, jaccard_join, labelled, license_scan, packing, quality_rules, suffix_dedup, token_counts, tokens, toxicity
 from strataview.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, spans string, block long, toks string, n int, gram string"
@@ -185,6 +186,17 @@ def test_quality_order_does_not_change_verdicts(docs):
     assert a == Counter(tuple(r) for r in quality_rules.filter_quality(docs, sample_rows=50).collect())
 
 
+def test_costs_tell_rules_apart(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(i, "some words and UPPER case 123 ! ... " * 60) for i in range(100)], "doc_id long, text string")
+    cheap = quality_rules.Rule("cheap", lambda: F.col("n_words") > 5, "")
+    dear = quality_rules.Rule("dear", lambda: F.length(F.regexp_replace("body", "[^A-Z]", "")) > 5, "")
+    found = quality_rules.measure(quality_rules.base_stats(d), [dear, cheap])
+    assert found["cheap"][0] == found["dear"][0] == 100 and found["dear"][1] > 3 * max(found["cheap"][1], 2e-6)
+    assert [r.name for r in quality_rules.plan_order(quality_rules.base_stats(d), [dear, cheap])] == ["cheap", "dear"]
+
+
 # -- language model ---------------------------------------------------------------------------------------------------
 
 
@@ -229,8 +241,57 @@ def test_class_model_does_not_depend_on_blocks(spark):
     sides = [[f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)], [f"c{i}" for i in range(60)]]
     rows = [(i, " ".join(rng.choice(sides[(i + j) % 3]) for j in range(30))) for i in range(150)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    one, many = (sorted((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in class_model.score_texts(docs.repartition(p), classes=5, head=20, block_tokens=size).collect()) for p, size in ((1, 10**6), (7, 40)))
-    assert one == many
+    one, some, many = (sorted((r["doc_id"], r["n_known"], round(r["score"], 6)) for r in class_model.score_texts(docs.repartition(p), classes=5, head=20, block_tokens=size).collect()) for p, size in ((1, 10**6), (8, 40), (200, 10**6)))
+    assert one == some == many
+
+
+def scores_truth(rows, classes, head):
+    """The model of all texts by plain loops, but for the exchange (tested by itself)."""
+    texts = [(i, zlib.crc32(str(i).encode()) % 10 == 0, [*t.encode().lower().split(), b""]) for i, t in rows]
+    train = [w for _, held, w in texts if not held]
+    n = Counter(x for w in train for x in w)
+    top = sorted(n, key=lambda w: (-n[w], w))[:head]
+    at = {w: i for i, w in enumerate(top)}
+    pair = np.zeros((len(top), len(top)))
+    for w in train:
+        for a, b in zip([w[-1], *w[:-1]], w, strict=True):
+            if a in at and b in at:
+                pair[at[a], at[b]] += 1
+    cls = class_model.exchange(pair, classes)
+    joint = np.full((classes, classes), 0.5)
+    for a in range(len(top)):
+        for b in range(len(top)):
+            joint[cls[a], cls[b]] += pair[a, b]
+    gain = defaultdict(lambda: np.zeros(classes))
+    for w in train:
+        for j, x in enumerate(w):
+            if x not in at:
+                if (a := w[j - 1]) in at:
+                    gain[x] += np.log(joint[cls[at[a]]] / joint.sum(0))
+                if j + 1 < len(w) and (b := w[j + 1]) in at:
+                    gain[x] += np.log(joint[:, cls[at[b]]] / joint.sum(1))
+    k = {w: int(cls[at[w]] if w in at else gain[w].argmax()) for w in n}
+    size, types = Counter(), Counter(k.values())
+    for w, c in n.items():
+        size[k[w]] += c
+    rare = int(np.argmax([types[c] / max(size[c], 1) for c in range(classes)]))
+    of = lambda w: k.get(w, rare)
+    moves = np.zeros((classes, classes))
+    for w in train:
+        for a, b in zip([w[-1], *w[:-1]], w, strict=True):
+            moves[of(a), of(b)] += 1
+    prior = (moves.sum(0) + 0.5) / (moves.sum() + 0.5 * classes)
+    step = (moves + 5 * prior) / (moves.sum(1, keepdims=True) + 5)
+    word = lambda w: (n[w] + 0.1) / (size[of(w)] + 0.1 * (types[of(w)] + (of(w) == rare)))
+    return {i: sum(math.log10(step[of(a), of(b)] * word(b)) for a, b in zip([w[-1], *w[:-1]], w, strict=True)) for i, _, w in texts}
+
+
+def test_scores_against_plain_loops(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice("abcde"[(i + j) % 5 :]) + str(int(rng.paretovariate(0.7)) % 40) for j in range(rng.randrange(0, 40)))) for i in range(120)]
+    got = class_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), classes=6, head=25, block_tokens=300).collect()
+    want = scores_truth(rows, 6, 25)
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(want, abs=1e-6)
 
 
 def test_exchange_ends_where_no_move_helps():
@@ -279,21 +340,51 @@ def test_decontamination_against_brute_force(spark, docs):
                 best = max(best, both / (n + m - both))
             if best >= 0.8:
                 want[r["doc_id"], i, round(best, 9)] += 1
-    for shard in (20_000, 3):
-        got = Counter((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontaminate.find_leaks(d, bench, shard_items=shard).collect())
+    for shard in (1 << 24, 150):
+        got = Counter((r["doc_id"], r["item_id"], round(r["similarity"], 9)) for r in decontaminate.find_leaks(d, bench, shard_bytes=shard).collect())
         assert got == want and (900, 1, 1.0) in got and (900, 7, 1.0) in got
 
 
+def test_a_very_long_item_is_used_whole(spark):
+    rng = random.Random(4)
+    item = prose(rng, 20_000, 5000)
+    d = spark.createDataFrame([(1, "x y z " + item + " z"), (2, " ".join(item.split()[:12_000])), (3, None)], "doc_id long, text string")
+    got = decontaminate.find_leaks(d, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["start_word"], r["n_words"], r["similarity"]) for r in got] == [(1, 3, 20_000, 1.0)]
+
+
 def test_multi_index_misses_nothing_within_the_radius():
-    ix = decontaminate.BenchmarkIndex([], 5, 20, 0.8)
-    rng = random.Random(2)
-    for _ in range(200):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 20):
-            b ^= 1 << bit
-        assert any(x == y for x, y in zip(ix.parts(a), ix.parts(b), strict=True))
-    assert ix.edges[0] == 0 and ix.edges[-1] == 64 and len(ix.edges) == 22
+    rng = np.random.default_rng(2)
+    prints = rng.integers(0, 2**63, (300, decontaminate.LANES)).astype(np.uint64)
+    ix = decontaminate.MultiIndex(prints, decontaminate.RADIUS)
+    for i in range(300):
+        bits = np.unpackbits(prints[i].view(np.uint8))
+        bits[rng.permutation(decontaminate.BITS)[: decontaminate.RADIUS]] ^= 1  # at the very edge
+        moved = np.packbits(bits).view(np.uint64)[None, :]
+        assert (i, decontaminate.RADIUS) in ix.near(moved[0], decontaminate.blocks_of(moved)[0])
+
+
+def test_fingerprints_of_windows():
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    starts = np.array([0, 1, 5, 700, 701, 2960])
+    alone = np.concatenate([decontaminate.fingerprints(h[s : s + 40], np.zeros(1, np.int64), 40) for s in starts])
+    assert (decontaminate.fingerprints(h, starts, 40) == alone).all()
+
+
+@pytest.mark.parametrize("n", [9, 18, 40, 200])
+def test_recall_and_selectivity_of_the_index(n):
+    rng = np.random.default_rng(n)
+    need = math.ceil(2 * 0.8 / 1.8 * n - 1e-9)  # as few shared shingles as 0.8 allows
+    items = rng.integers(0, 2**63, (500, n)).astype(np.uint64)
+    near = items.copy()
+    near[:, need:] = rng.integers(0, 2**63, (500, n - need)).astype(np.uint64)
+    prints, moved = (decontaminate.fingerprints(x.ravel(), np.arange(500) * n, n) for x in (items, near))
+    ix = decontaminate.MultiIndex(prints, decontaminate.RADIUS)
+    values = decontaminate.blocks_of(moved)
+    found = sum(any(i == j for j, _ in ix.near(p, v)) for i, (p, v) in enumerate(zip(moved, values, strict=True)))
+    met = sum(len(set(ix.candidates(v)) - {i}) for i, v in enumerate(values))
+    assert found >= 0.99 * 500 and met <= 0.002 * 500 * 500
 
 
 # -- Jaccard join -----------------------------------------------------------------------------------------------------
@@ -342,6 +433,39 @@ def test_jaccard_join_against_brute_force(spark, docs, k, pct, monkeypatch):
     assert got == jaccard_truth(rows, k, pct)
 
 
+def test_searches_skip_what_cannot_link():
+    rng = np.random.default_rng(5)
+    base = rng.permutation(100_000).astype(np.uint64)
+    sets = [np.unique(base[: rng.integers(20, 2000)]) for _ in range(200)]  # nested: every list is long, and most sizes cannot link
+    index = jaccard_join.Inverted(sets)
+    got = dict(jaccard_join.overlaps(sets, sets, 85, index))
+    for i, s in enumerate(sets):
+        assert set(got[i].tolist()) == {j for j, o in enumerate(sets) if 100 * min(len(s), len(o)) >= 85 * max(len(s), len(o))}
+    whole = sum(min(len(s), len(o)) for s in sets for o in sets)  # postings of all lists of all searches
+    assert index.read < whole / 10, (index.read, whole)
+
+
+def test_chained_clusters_compare_only_blocks_that_share(spark, monkeypatch):
+    """A long chain of texts, each with a rare passage of the one before, is one
+    cluster; only neighbours share a prefix shingle."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    rng = random.Random(2)
+    part = [[f"p{i}x{j}" for j in range(30)] for i in range(81)]
+    rows = [(i, " ".join(part[i] + part[i + 1])) for i in range(80)] + [(100 + i, " ".join(part[i] + part[i + 1] + ["more"])) for i in range(0, 80, 3)]
+    rng.shuffle(rows)
+    seen, compare = [], jaccard_join._compare
+
+    def spy(members, pairs, pct):
+        seen.append(pairs.count())
+        return compare(members, pairs, pct)
+
+    monkeypatch.setattr(jaccard_join, "_compare", spy)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r)[:3] for r in jaccard_join.link_documents(d, k=4, pct=85).collect())
+    assert got == jaccard_truth(rows, 4, 85)
+    assert len(seen) < 2 or seen[1] <= 200  # all pairs of its blocks would be over 300
+
+
 def test_overlaps_are_exact():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 5000, 200)
@@ -426,6 +550,22 @@ def test_token_files(spark, tmp_path):
     assert got == [(0, 2, True), (1, 0, True), (2, 1, True), (3, 1, False)]
 
 
+def test_token_files_are_read_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    want = Counter()
+    for name, n in (("a", 5000), ("b with space", 4096), ("empty", 0)):
+        raw = rng.integers(0, 12, n).astype("<u2")
+        (tmp_path / f"{name}.bin").write_bytes(raw.tobytes())
+        ends = np.flatnonzero(raw == 9)
+        sizes = np.diff(np.concatenate([[-1], ends])) - 1
+        want.update((int(x), True) for x in sizes)
+        if n and n - 1 > ends[-1]:
+            want[n - 1 - int(ends[-1]), False] += 1
+    blocks = token_counts.read_token_files(spark, str(tmp_path), block_bytes=128, blocks_each=4)
+    assert blocks.count() > 100 and blocks.groupBy("file_id", "block_no").count().filter("count > 1").count() == 0
+    assert Counter((r["n_tokens"], r["terminated"]) for r in token_counts.count_tokens(blocks, 9, chunk=8).collect()) == want
+
+
 def test_packing_round_trip(docs):
     v = tokens.default_vocabulary()
     got = packing.pack(docs, capacity=64, end_id=2).collect()
@@ -531,6 +671,28 @@ def test_repeats_with_repeated_and_missing_ids(docs):
     assert got == Counter((i, *w) for (i, _), w in zip(rows, repeats_truth(rows, 60, False), strict=True))
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 2])
+def test_passages_are_reported_beside_repeats(spark, docs, bound):
+    rng = random.Random(3)
+    short = " ".join(rng.choice("abcdefgh") for _ in range(9))
+    more = [(3000 + i, prose(rng, 6) + " " + short + " " + prose(rng, 6)) for i in range(3)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = sorted(((r[0], r[1]) for r in d.collect()), key=lambda r: key(r[0]))
+
+    def passages(length, words):
+        raws = [(t or "").encode() for _, t in rows]
+        runs = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", b)] for b in raws]
+        spots = [[(s, s + length) for s in range(len(b) - length + 1)] + [(w[i][0], w[i + words - 1][1]) for i in range(len(w) - words + 1) if w[i + words - 1][1] - w[i][0] < length] for b, w in zip(raws, runs, strict=True)]
+        n = Counter(b[s:e] for b, p in zip(raws, spots, strict=True) for s, e in p)
+        return [len({k for s, e in p if n[b[s:e]] > 1 for k in range(s, e)}) for b, p in zip(raws, spots, strict=True)]
+
+    got = suffix_dedup.digest(suffix_dedup.remove_and_report(d, length=90, passage=60, words=7, broadcast_rows=bound))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    want = Counter((i, *w, p) for (i, _), w, p in zip(rows, repeats_truth(rows, 90, False), passages(60, 7), strict=True))
+    assert Counter(map(tuple, got.collect())) == want
+    assert sum(r[-1] > r[2] for r in want) > 2
+
+
 def test_cuts_keep_whole_characters_and_columns(spark):
     d = spark.createDataFrame([(1, "né" * 200, 400, "keep"), (2, "xx" + "né" * 200 + "ß", 403, None)], "doc_id long, text string, n_chars long, spans string")
     got = {r["doc_id"]: r for r in suffix_dedup.cut_documents(d, 90).collect()}
@@ -582,6 +744,70 @@ def test_classifiers_learn(spark):
     assert np.mean([good[i]["predicted"] == int(i % 4 > 0) for i in held]) > 0.95
 
 
+def test_sample_is_bounded_in_rows(spark):
+    texts = spark.range(40).selectExpr("id % 20 AS doc_id", "concat('t', id) AS text", "1 AS label")
+    known = spark.range(20).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic", "'x' AS text").union(spark.createDataFrame([(0, None, "x"), (None, 1, "x")], "doc_id long, toxic int, text string"))
+    every = labelled.training_sample(texts, known, "toxic", 3, 1, 100).collect()
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted((r["text"], r["label"]) for r in every) == sorted((min(f"t{i}", f"t{i + 20}"), i % 2) for i in ids)
+    assert len(labelled.training_sample(texts, known, "toxic", 3, 1, 5).collect()) == 5
+
+
+def features_truth(text, lexicon):
+    """The same features, by plain loops."""
+    words = re.findall(r"[^\W\d_]+", text.lower())
+
+    def weight(w):
+        return max([lexicon.get(w, 0.0), *(lexicon.get("^" + w[:k], 0.0) for k in (4, 5, 6, 7) if len(w) > k)])
+
+    hits = [i for i, w in enumerate(words) if weight(w)]
+    near = sum(any(w in toxicity.SECOND for w in words[max(0, i - 5) : i + 6]) for i in hits)
+    tokens = [t.lstrip("".join(c for c in t if not c.isalnum())) for t in re.split(r'[\s,;:?"]+', text)]
+    marks = set("0123456789@$!|+(*_-\u20ac")
+    mixed = [t for t in tokens if any(c.isalpha() for c in t) and any(c in marks and any(x.isalnum() for x in t[k + 1 :]) for k, c in enumerate(t) if k)]
+    hidden = [p for p in map(toxicity.plain, mixed) if p in lexicon] + [p for p in map(toxicity.plain, toxicity.SPACED.findall(text)) if p in lexicon]
+    hidden += [p for p in (re.sub(r"(.)\1{2,}", r"\1", w) for w in words if re.search(r"(.)\1{2,}", w)) if p in lexicon]
+    ws = sorted([weight(words[i]) for i in hits] + [lexicon[p] for p in hidden], reverse=True) + [0.0] * 3
+    n, size = max(1, len(words)), max(1, len(text.encode()))
+    caps, small = sum("A" <= c <= "Z" for c in text), sum("a" <= c <= "z" for c in text)
+    count = len(hits) + len(hidden)
+    second = sum(w in toxicity.SECOND for w in words)
+    marks_in = sum(c in "#$%&*@" for c in text)
+    return [sum(ws), sum(ws) / n * 100, count, count / n * 100, *ws[:3], len({words[i] for i in hits}), sum(words[i] in toxicity.INSULTS for i in hits), near, near / n * 100, len(hidden), len(mixed) / n, caps / max(1, caps + small), text.count("!") / size, text.count("?") / size, marks_in / size, second / n, math.log1p(len(words))]
+
+
+def test_toxicity_features_against_plain_loops():
+    lexicon = toxicity.Lexicon({"idiot": 1.5, "^stup": 0.7, "^stupid": 2.0, "fool": 1.0})
+    rng = random.Random(8)
+    bits = ["you", "Idiot", "stupidly", "stuper", "fool", "f00l", "1d10t", "i d i o t", "fooool", "a-b", "-x-", "x1", "9", "!!", "?", "né", "st*pid", "id.i0t", "_", "a_b", "über", "", "\u20ac5a"]
+    for text in ["", " ", *(rng.choice([" ", ", ", "\n"]).join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(300))]:
+        assert toxicity.features(text, lexicon) == pytest.approx(features_truth(text, lexicon)), text
+    assert toxicity.features(None, lexicon) == toxicity.features("", lexicon)
+
+
+@pytest.mark.parametrize("unit", ["x", "a1", "a-", "_", "a_b-", "A"])
+def test_toxicity_features_of_one_long_token(unit):
+    began = time.perf_counter()
+    toxicity.features(unit * (1_000_000 // len(unit)), toxicity.Lexicon({"idiot": 1.0}))
+    assert time.perf_counter() - began < 15  # linear: well under 2 s; quadratic would be hours
+
+
+def test_network_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    net = byte_cnn.ByteCnn()
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for size in (0, 1, 5, 448, 512, 513, 960, 961, 3000):
+        raw = rng.integers(1, 256, size).astype(np.uint8).tobytes()
+        chunks = 1 if size <= 512 else 1 + -(-(size - 512) // 448)
+        long = raw + bytes(chunks * 448 + 64 - size) + bytes(byte_cnn.WIDTH)
+        logits = []
+        for c in range(chunks):
+            best = [max(sum(p["t"][k][long[i + k]][f] for k in range(byte_cnn.WIDTH)) for i in range(c * 448, c * 448 + 512)) + p["b"][f] for f in range(0, byte_cnn.FILTERS)]
+            a = np.array([*np.maximum(best, 0), min(1, max(0, (size - c * 448) / 512))])
+            logits.append(np.maximum(a @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"][0])
+        assert net.score([raw])[0] == pytest.approx(1 / (1 + math.exp(-np.mean(logits))), rel=1e-4)
+
+
 def test_boosting_and_isotonic():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
