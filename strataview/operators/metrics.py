@@ -37,13 +37,22 @@ def percentiles(h: DataFrame, by: list[str], shares: list[float], bits: int) ->
     return hit.select(*by, "share", F.least(loglinear_highest(F.col("bucket"), bits), F.col("top")).alias("percentile"))
 
 
-def exact_quantile(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
-    """Element floor(n * share) of the sorted values (the last, at most). Values
-    are numbered by a window, not gathered into arrays."""
-    w = Window.partitionBy(*by)
-    numbered = df.withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+def exact_quantile(df: DataFrame, by: list[str], value: str, share: float, bits: int = 7) -> DataFrame:
+    """Element floor(n * share) of the sorted values (the last, at most), which
+    are whole numbers from 0 on. A histogram finds the bucket that holds it and
+    how many lie before; only that bucket's distinct values are then put in
+    order. Both passes are partial aggregates, and no group meets in one task."""
+    h = loglinear_histogram(df, by, F.col(value), bits)
+    every = Window.partitionBy(*by)
+    h = h.withColumn("__seen", F.sum("n").over(every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("n").over(every))
     at = F.least(F.floor(F.col("__n") * share), F.col("__n") - 1)
-    return numbered.filter(F.col("__i") == at).select(*by, F.col(value).alias("quantile"))
+    place = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(by)])  # nulls are groups too: compared as one value
+    target = h.filter((F.col("__seen") > at) & (F.col("__seen") - F.col("n") <= at)).select(place.alias("__t"), F.col("bucket").alias("__tb"), (at - (F.col("__seen") - F.col("n"))).alias("__at"))
+    rows = df.select(*by, F.col(value).alias("__v"), place.alias("__k"), loglinear_bucket(F.col(value), bits).alias("__b"))
+    inside = rows.join(target, F.col("__k").eqNullSafe(F.col("__t")) & (F.col("__b") == F.col("__tb")))
+    counts = inside.groupBy(*by, "__at", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    seen = F.sum("__c").over(every.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    return counts.withColumn("__seen", seen).filter(F.col("__seen") > F.col("__at")).groupBy(*by).agg(F.min("__v").alias("quantile"))
 
 
 def counter_growth(samples: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import portable
+
 
 def scatter_multiplier(count: int) -> int:
     """An odd multiplier near the golden ratio that shares no factor with ``count``."""
@@ -45,3 +47,17 @@ def weighted_pick(unit: Column, weights: list[float]) -> Column:
 def open_loop_latency(due: Column, sent: Column, first_byte: Column) -> Column:
     """Latency from when a request was due, so a slow answer also counts against those it held up."""
     return F.greatest(F.lit(0), sent - due) + first_byte
+
+
+def random_requests(rows: DataFrame, index: str, keys: int, span: int) -> DataFrame:
+    """Seeded requests from row numbers: each field is drawn from its own hash,
+    so any part of the sequence can be made alone. A sixth each of valid,
+    open, suffix and invalid ranges; conditions are current in a tenth, stale
+    in a twentieth; 15 % are HEAD."""
+    draw = lambda field, below: portable(F.concat(F.col(index), F.lit(field))) % below
+    k, a, b = draw("range", 6), draw("a", span), draw("b", span)
+    text = lambda first, last: F.concat(F.lit("bytes="), first, F.lit("-"), last)
+    none = F.lit("")
+    ranges = F.when(k == 0, text(a, a + b)).when(k == 1, text(a, none)).when(k == 2, text(none, a + 1)).when(k == 5, text(a + 1 + b, a))
+    tag = lambda field: F.when(draw(field, 20) < 2, "current").when(draw(field, 20) == 2, "stale")
+    return rows.select(index, draw("key", keys).alias("key"), F.when(draw("method", 100) < 15, "HEAD").otherwise("GET").alias("method"), ranges.alias("range"), tag("if").alias("if_match"), tag("ifn").alias("if_none_match"))

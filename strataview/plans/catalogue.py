@@ -429,16 +429,10 @@ def states_during(spark, sf_dir):
 
 @query(
     with_views("requests states", "")
-    + """, reads AS (SELECT req_id, doc_id, ts_ms, '"v' || (req_id - req_id % 5) || '"' AS etag FROM requests WHERE method <> 'PUT' AND req_id % 3 = 0)
+    + """, reads AS (SELECT req_id, doc_id, ts_ms, '"v' || (req_id - req_id % 5) || '"' AS etag FROM requests WHERE method <> 'PUT')
  SELECT req_id FROM reads r WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.doc_id = r.doc_id AND s.valid_from <= r.ts_ms AND (s.valid_to IS NULL OR s.valid_to > r.ts_ms - 3600000) AND s.etag = r.etag)"""
 )
 def history_violations(spark, sf_dir):
-    """The third of ``history_violations_all`` that the SQL compares."""
-    return history_violations_all(spark, sf_dir).filter("req_id % 3 = 0")
-
-
-@query(None)
-def history_violations_all(spark, sf_dir):
     """Reads whose tag no state of the hour before them had."""
     r = trace.requests(spark, sf_dir).filter("method <> 'PUT'").select("req_id", "doc_id", "ts_ms", F.expr("concat('\"v', req_id - req_id % 5, '\"')").alias("etag")).alias("r")
     s = trace.object_states(spark, sf_dir).alias("s")
@@ -520,16 +514,10 @@ EVENT_JSON = """'{"Records":[{"eventName":"' || CASE WHEN event_id % 3 = 0 THEN
 
 
 @query(
-    f"WITH b AS (SELECT event_id, {EVENT_JSON} AS body FROM events WHERE event_id % 10 = 0) SELECT event_id, json_extract_string(body, '$.Records[0].s3.bucket.name') AS bucket, 'a b+c/' || split_part(json_extract_string(body, '$.Records[0].s3.object.key'), '/', 2) AS key, "
+    f"WITH b AS (SELECT event_id, {EVENT_JSON} AS body FROM events) SELECT event_id, json_extract_string(body, '$.Records[0].s3.bucket.name') AS bucket, 'a b+c/' || split_part(json_extract_string(body, '$.Records[0].s3.object.key'), '/', 2) AS key, "
     "CASE WHEN event_id % 3 <> 0 THEN '\"' || event_id || '\"' END AS etag, CASE WHEN event_id % 62 <= 60 THEN epoch_ms(TIMESTAMP '2026-09-27 12:34:00') + (event_id % 62) * 1000 + substr((event_id % 1000)::VARCHAR || '00', 1, 3)::BIGINT END AS event_ms FROM b"
 )
 def event_parse(spark, sf_dir):
-    """The tenth of ``event_parse_all`` that the SQL compares."""
-    return event_parse_all(spark, sf_dir).filter("event_id % 10 = 0")
-
-
-@query(None)
-def event_parse_all(spark, sf_dir):
     """Change events from their JSON bodies (made here from ``events``), keys URL-decoded, tags re-quoted."""
     from ..sources.events import parse_changes
 
@@ -670,14 +658,15 @@ SERVED = "served AS (SELECT b.*, row_number() OVER (PARTITION BY key, block_inde
 
 @query(
     with_views("objects requests resolved gets blocks", "")
-    + f", {SERVED} SELECT client % 4 AS node, count(*) FILTER (WHERE nth > 2) AS hits, count(*) FILTER (WHERE nth <= 2) AS fetched, round(count(*) FILTER (WHERE nth > 2) / nullif(count(*), 0)::DOUBLE, 6) AS block_hits, round(100.0 * sum(CASE WHEN nth > 2 THEN 256 ELSE 0 END) / nullif(sum(256), 0), 6) AS byte_percent, (100 * count(*) FILTER (WHERE nth > 2)) // nullif(count(*), 0) AS hit_percent FROM served GROUP BY 1"
+    + f", {SERVED} SELECT client % 4 AS node, count(*) FILTER (WHERE nth > 2) AS hits, count(*) FILTER (WHERE nth <= 2) AS fetched, round(count(*) FILTER (WHERE nth > 2) / nullif(count(*), 0)::DOUBLE, 6) AS block_hits, round(100.0 * sum(CASE WHEN nth > 2 THEN least((block_index + 1) * 256 - 1, last) - greatest(block_index * 256, first) + 1 ELSE 0 END) / nullif(sum(least((block_index + 1) * 256 - 1, last) - greatest(block_index * 256, first) + 1), 0), 6) AS byte_percent, (100 * count(*) FILTER (WHERE nth > 2)) // nullif(count(*), 0) AS hit_percent FROM served GROUP BY 1"
 )
 def hit_ratio(spark, sf_dir):
     """Block, byte and integer hit ratios of a second-read cache, a node."""
     w = Window.partitionBy("key", "block_index").orderBy("ts_ms", "req_id")
     b = blocks_of(spark, sf_dir).withColumn("hit", (F.row_number().over(w) > 2).cast("int"))
     hits, n = F.sum("hit"), F.count(F.lit(1))
-    return b.groupBy((F.col("client") % 4).alias("node")).agg(hits.alias("hits"), (n - hits).alias("fetched"), F.round(F.try_divide(hits, n), 6).alias("block_hits"), F.round(F.try_divide(hits * 256 * 100.0, n * 256), 6).alias("byte_percent"), F.floor(hits * 100 / n).alias("hit_percent"))
+    size = F.least((F.col("block_index") + 1) * 256 - 1, F.col("last")) - F.greatest(F.col("block_index") * 256, F.col("first")) + 1
+    return b.groupBy((F.col("client") % 4).alias("node")).agg(hits.alias("hits"), (n - hits).alias("fetched"), F.round(F.try_divide(hits, n), 6).alias("block_hits"), F.round(F.try_divide(F.sum(F.col("hit") * size) * 100.0, F.sum(size)), 6).alias("byte_percent"), F.floor(hits * 100 / n).alias("hit_percent"))
 
 
 @query(
@@ -722,13 +711,15 @@ def usage_by_class(spark, sf_dir):
     return trace.requests(spark, sf_dir).groupBy(F.when(F.col("client") % 3 == 0, F.col("event_type")).alias("class"), (F.col("client") % 2).alias("host")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(with_views("objects requests resolved", "") + " SELECT client, md5(string_agg(req_id || ':' || coalesce(first, -1) || '-' || coalesce(last, -1), ',' ORDER BY req_id)) AS fingerprint FROM resolved GROUP BY client")
+@query(with_views("objects requests resolved", "") + " SELECT client, count(*) AS responses, bit_xor(('0x' || substr(md5(t), 1, 13))::BIGINT) AS low, bit_xor(('0x' || substr(md5(t), 14, 13))::BIGINT) AS high FROM (SELECT client, req_id || ':' || coalesce(first, -1) || '-' || coalesce(last, -1) AS t FROM resolved) GROUP BY client")
 def run_fingerprint(spark, sf_dir):
+    """A digest of every response of a client (each names its request, so their
+    order is told): digests are combined by a partial aggregate, never gathered."""
     j = trace.requests(spark, sf_dir).join(trace.objects(spark, sf_dir, etags=False), "doc_id")
     r = j.select("client", "req_id", rg.resolve(F.col("kind"), F.col("a"), F.col("b"), F.col("size")).alias("r"))
-    text = F.concat(F.col("req_id"), F.lit(":"), F.coalesce("r.first", F.lit(-1)), F.lit("-"), F.coalesce("r.last", F.lit(-1)))
-    parts = F.array_sort(F.collect_list(F.struct("req_id", text.alias("t"))))
-    return r.groupBy("client").agg(F.md5(F.array_join(F.transform(parts, lambda x: x["t"]), ",")).alias("fingerprint"))
+    digest = F.md5(F.concat(F.col("req_id"), F.lit(":"), F.coalesce("r.first", F.lit(-1)), F.lit("-"), F.coalesce("r.last", F.lit(-1))))
+    part = lambda at: F.bit_xor(F.conv(F.substring(digest, at, 13), 16, 10).cast("long"))
+    return r.groupBy("client").agg(F.count(F.lit(1)).alias("responses"), part(1).alias("low"), part(14).alias("high"))
 
 
 @query(

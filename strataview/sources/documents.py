@@ -7,7 +7,7 @@ import xml.sax
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESULT = "struct<step: string, host: int, seconds: double, classes: array<struct<name: string, bytes: bigint, statuses: map<string, bigint>>>>"
@@ -72,7 +72,7 @@ def xml_keys(text: Column) -> Column:
 
 
 def kernel_counters(text: str) -> dict[str, float]:
-    """Counters of a snapshot with ``== section`` blocks: time, cpu, net, tcp, disk."""
+    """Counters of a snapshot with ``== section`` blocks: time, cpu, net, tcp, nic, disk."""
     out: dict[str, float] = {}
     section, names = "", []
     for line in text.splitlines():
@@ -96,6 +96,9 @@ def kernel_counters(text: str) -> dict[str, float]:
                 names = []
             else:
                 names = p
+        elif section == "nic" and ":" in line:
+            name, _, value = line.partition(":")
+            out[f"nic_{name.strip()}"] = float(value)
         elif section == "disk" and len(p) > 9:
             out["read_bytes"] = out.get("read_bytes", 0) + float(p[5]) * 512
             out["written_bytes"] = out.get("written_bytes", 0) + float(p[9]) * 512
@@ -114,6 +117,35 @@ def kernel_table(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     return df.select(*keys, text).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", name string, value double")
 
 
+def host_rates(counters: DataFrame, keys: list[str]) -> DataFrame:
+    """What hosts did between two snapshots (``moment`` before/after) of
+    :func:`kernel_table`: CPU busy, GiB/s of the network and GiB of disks over
+    the snapshots' own interval, segments sent again, allowance drops."""
+    gib = float(1 << 30)
+    name = F.when(F.col("name").contains("allowance_exceeded"), "allowance").otherwise(F.col("name"))
+    d = counters.groupBy(*keys, name.alias("name")).agg((F.sum(F.when(F.col("moment") == "after", F.col("value"))) - F.sum(F.when(F.col("moment") == "before", F.col("value")))).alias("d"))
+    wanted = ["time", "cpu_busy", "cpu_total", "rx_bytes", "tx_bytes", "read_bytes", "written_bytes", "tcp_outsegs", "tcp_retranssegs", "allowance"]
+    v = d.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("name") == w, F.col("d"))), F.lit(0.0)).alias(w) for w in wanted])
+    per = lambda c, by: F.round(F.col(c) / gib / by, 6)
+    return v.select(
+        *keys,
+        F.round(100 * F.col("cpu_busy") / F.greatest("cpu_total", F.lit(1.0)), 6).alias("cpu_busy_percent"),
+        per("rx_bytes", F.col("time")).alias("received_gib_s"),
+        per("tx_bytes", F.col("time")).alias("sent_gib_s"),
+        per("read_bytes", 1).alias("read_gib"),
+        per("written_bytes", 1).alias("written_gib"),
+        F.round(100 * F.col("tcp_retranssegs") / F.greatest("tcp_outsegs", F.lit(1.0)), 6).alias("retransmitted_percent"),
+        F.col("allowance").alias("allowance_drops"),
+    )
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Lines ``host time metric value`` of every process, summed over processes."""
+    p = spark.read.text(path).select(F.split("value", " ").alias("p")).filter(F.size("p") == 4)
+    p = p.select(F.col("p")[0].alias("host"), F.col("p")[1].try_cast("long").alias("t"), F.col("p")[2].alias("metric"), F.col("p")[3].try_cast("double").alias("value"))
+    return p.filter("t is not null and value is not null").groupBy("host", "t", "metric").agg(F.sum("value").alias("value"))
+
+
 def write_timeline(df: DataFrame, path: str) -> None:
     """A CSV sink with a header, one file a partition."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -1,5 +1,6 @@
 """Slot table: a binary table of fixed 64-byte records behind a 4 KiB header,
-as a Python Data Source with one partition per part of a file.
+as a Python Data Source: read with one partition per part of a file, and
+written with one file a task into a folder.
 
 Record layout (little-endian): version key u64, version hash 16 bytes, block
 index u64, length u64, placement u64, extent u32, slot offset u64 (kept in
@@ -12,9 +13,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 HEADER, RECORD = 4096, 64
+MASK = (1 << 64) - 1
 LAYOUT = struct.Struct("<Q16sQQQII4x")
 SCHEMA = "slot long, version_key long, version_hash string, block_index long, len long, placement long, extent int, offset long, valid boolean"
 
@@ -52,12 +54,19 @@ class SlotTableReader(DataSourceReader):
         self.part = int(options.get("partrecords", 65536))
 
     def partitions(self) -> list[Part]:
+        import glob
         import os
 
-        n = max(0, os.path.getsize(self.path) - HEADER) // RECORD
-        return [Part(self.path, i, min(i + self.part, n)) for i in range(0, n, self.part)] or [Part(self.path, 0, 0)]
+        files = sorted(glob.glob(os.path.join(self.path, "*.slots"))) if os.path.isdir(self.path) else [self.path]
+        parts = []
+        for f in files:
+            n = max(0, os.path.getsize(f) - HEADER) // RECORD
+            parts += [Part(f, i, min(i + self.part, n)) for i in range(0, n, self.part)]
+        return parts or [Part("", 0, 0)]
 
     def read(self, part: Part) -> Iterator[tuple]:
+        if part.first == part.last:
+            return
         with open(part.path, "rb") as f:
             f.seek(HEADER + part.first * RECORD)
             raw = f.read((part.last - part.first) * RECORD)
@@ -67,6 +76,47 @@ class SlotTableReader(DataSourceReader):
                 yield (part.first + i, *got)
 
 
+class Written(WriterCommitMessage):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class SlotTableWriter(DataSourceWriter):
+    """One file a task, named after its attempt; only files of a committed job
+    get the ending that readers look for. A row that is not ``valid`` is
+    written torn: its check is spoilt."""
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+
+    def write(self, rows: Iterator) -> Written:
+        import os
+        import uuid
+
+        os.makedirs(self.path, exist_ok=True)
+        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.tmp")
+        with open(name, "wb") as f:
+            f.write(bytes(HEADER))
+            for r in rows:
+                raw = encode(r["version_key"] & MASK, bytes.fromhex(r["version_hash"]), r["block_index"], r["len"], r["placement"] & MASK, r["extent"], r["offset"])
+                f.write(raw if r["valid"] else raw[:-1] + bytes([raw[-1] ^ 1]))
+        return Written(name)
+
+    def commit(self, messages: list) -> None:
+        import os
+
+        for m in messages:
+            if m is not None:
+                os.replace(m.path, m.path.removesuffix(".tmp") + ".slots")
+
+    def abort(self, messages: list) -> None:
+        import os
+
+        for m in messages:
+            if m is not None and os.path.exists(m.path):
+                os.remove(m.path)
+
+
 class SlotTable(DataSource):
     """``spark.read.format("slot_table").load(path)``; the file must be on a path every worker mounts."""
 
@@ -79,3 +129,6 @@ class SlotTable(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return SlotTableReader(self.options)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return SlotTableWriter(self.options)

@@ -11,7 +11,8 @@ from strataview.functions import hashing, layout, ranges, requests, sigv4, units
 from strataview.operators import admission, cache_sim, history, metrics, placement, workload
 from strataview.operators import datasets, readpath
 from strataview.plans import catalogue
-from strataview.plans import readpath as readpath_plans  # noqa: F401  (adds to the catalogue)
+from strataview.plans import readpath as readpath_plans
+from strataview.plans import upkeep  # noqa: F401  (adds to the catalogue)
 from strataview.sources import documents, formats, slot_table
 from strataview.sources.events import parse_changes, parse_time
 from strataview.streaming import operators as streaming
@@ -121,12 +122,85 @@ def test_doorkeeper_forgets():
     for i in range(150, 300):
         d.insert(i * 0x9E3779B97F4A7C15 & cache_sim.MASK)
     assert 12345 not in d
-    b = cache_sim.Bloom(1000)
+    b = cache_sim.Doorkeeper(1000)
     for i in range(1000):
-        b.add(i * 0xD6E8FEB86659FD93 & cache_sim.MASK)
+        b.insert(i * 0xD6E8FEB86659FD93 & cache_sim.MASK)
     assert sum(i * 0xD6E8FEB86659FD93 & cache_sim.MASK in b for i in range(1000, 6000)) < 100
 
 
+def test_disowned_blocks_go_first():
+    s = cache_sim.Store(64, 2, 4, 16)
+    for k in range(8):
+        s.fill(k, 16)
+    s.disown(lambda b: b.key not in (3, 5))
+    s.fill(8, 16)
+    s.fill(9, 16)
+    assert s.log == [3, 5] and s.disowned_dropped == 2  # though 0 is older
+    s.fill(10, 16)
+    assert s.log == [3, 5, 0] and s.disowned_dropped == 2
+    s.disown(lambda b: b.key != 4)
+    s._drop(4)
+    s.fill(4, 16)  # another entry of the same block: its mark is void
+    s.fill(11, 16)
+    assert s.log[-1] != 4
+
+
+def test_admission_outcomes():
+    sim = cache_sim.NodeSim(cache_sim.Store(64, 1, 16, 64), cache_sim.Doorkeeper(100), budget=100)
+    assert sim.read(1, 64, owned=False) == "none" and sim.read(1, 64, unwritten=True) == "none" and not sim.counts.get("miss_new")
+    assert sim.read(1, 64) == "doorkeeper" and sim.read(1, 64) == "stored" and sim.read(1, 64) == "hit"
+    assert sim.read(2, 64, passes=True) == "budget"
+    sim.filled()
+    assert sim.read(2, 64, passes=True, missed=False) == "stored" and sim.counts["stored"] == 1
+    outcomes = sum(sim.counts.get(c, 0) for c in ("refused", "over_budget", "full", "stored"))
+    assert outcomes == sum(sim.counts.get(c, 0) for c in ("miss_new", "miss_unadmitted", "miss_evicted")) == 3
+
+
+def test_simulation_streams_batches_and_disowns(spark):
+    rows = [(n, t, 7 * t % 11, 64, n != 1 or t % 3 > 0) for n in range(3) for t in range(40)]
+    d = spark.createDataFrame(rows, "node long, t long, k long, len long, stays boolean").repartition(3)
+
+    def run(batch):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            return {(r["node"], r["name"]): r["value"] for r in cache_sim.simulate(d, "node", ["t", "k"], "k", "len", 256, 2, 16, 64, None, stays="stays", change_at=20).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    one, many = run(10_000), run(3)
+    assert one == many and one[1, "disowned"] > 0 and one[0, "disowned"] == 0 and one[0, "hits"] + one[0, "fetched"] == 40
+
+
+def test_leases_are_reported_and_renewed(spark):
+    busy = [(1, t) for t in range(0, 4000, 50)]  # far over the rate that made it hot
+    fades = [(2, t) for t in (0, 10, 20, 100, 5000)]
+    got = sorted(tuple(r) for r in cache_sim.lease_renewals(spark.createDataFrame(busy + fades, "doc long, t long"), ["doc"], "t", ["t"], 1000, 3, 2000).collect())
+    of1, of2 = [r for r in got if r[0] == 1], [r for r in got if r[0] == 2]
+    assert [r[5] for r in of1] == [False, *[True] * (len(of1) - 1)] and len(of1) >= 2
+    assert of1[0][1:3] == (100, 1600) and of1[1][1] == 1600  # decided at three quarters of 2000
+    assert of1[0][4] == 12 and of2 == [(2, 20, 2020, 1, 0, False)]  # of 19 reads in the first half 7 are the owner's
+
+
+def test_recency_against_a_plain_fold(spark):
+    rows = [(n, t, (t * t + n) % 7) for n in (1, 2) for t in range(60)]
+    got = Counter(tuple(r) for r in cache_sim.recency(spark.createDataFrame(rows, "node long, t long, k long"), "node", ["t"], "k", 3, ["node", "t"]).collect())
+    want = Counter()
+    for n in (1, 2):
+        held = []
+        for _, t, k in [r for r in rows if r[0] == n]:
+            hit = k in held
+            held = [x for x in held if x != k] + [k]
+            want[n, t, hit, held.pop(0) if len(held) > 3 else None] += 1
+    assert got == want
+
+
+def test_lookups_are_kept_for_their_time(spark):
+    values = spark.createDataFrame([(1, 0, 10), (1, 150, 11), (1, 320, 12)], "k long, since long, v long")
+    asks = spark.createDataFrame([(1, i, t) for i, t in enumerate((5, 104, 105, 160, 204, 205, 400))] + [(2, 9, 50)], "k long, id long, ts long")
+    got = sorted(tuple(r) for r in cache_sim.looked_up(asks, values, "k", ["id"], "ts", "v", 100, ["id"]).collect())
+    assert got == [(0, 10, 5), (1, 10, 5), (2, 10, 105), (3, 10, 105), (4, 10, 105), (5, 11, 205), (6, 12, 400), (9, None, 50)]
+
+
 def test_store_evicts_in_order_and_remembers():
     s = cache_sim.Store(64, 2, 4, 16)
     for k in range(8):
@@ -241,7 +315,7 @@ def test_every_event_is_parsed(spark):
     for i, user in spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id").collect():
         at = int(start) + i % 62 * 1000 + int((str(i % 1000) + "00")[:3]) if i % 62 <= 60 else None
         want[i, "docs", f"a b+c/{user}", f'"{i}"' if i % 3 else None, at] += 1
-    assert Counter(map(tuple, catalogue.event_parse_all(spark, SF).collect())) == want
+    assert Counter(map(tuple, catalogue.event_parse(spark, SF).collect())) == want
 
 
 def test_every_read_is_checked(spark, tmp_path):
@@ -258,7 +332,7 @@ def test_every_read_is_checked(spark, tmp_path):
             after = [x[2] for x in spec if x[1] == "purchase" and x[3] == doc and (x[2], x[0]) > (m, i)]
             states.append((doc, m, min(after, default=None), i if i % 7 else None))
     want = {i for i, kind, m, doc in spec if kind != "purchase" and not any(d == doc and tag == i - i % 5 and lo <= m and (hi is None or hi > m - 60) for d, lo, hi, tag in states)}
-    got = {r["req_id"] for r in catalogue.history_violations_all(spark, str(tmp_path)).collect()}
+    got = {r["req_id"] for r in catalogue.history_violations(spark, str(tmp_path)).collect()}
     assert got == want and {i % 3 for i in got} == {0, 1, 2} and got < {i for i, kind, _, _ in spec if kind != "purchase"}
 
 
@@ -269,7 +343,7 @@ def test_every_object_has_its_versions(spark):
     for i, ts, kind, props in spark.read.parquet(f"{SF}/events.parquet").selectExpr("event_id", "unix_millis(cast(ts as timestamp))", "event_type", "props").collect():
         if kind == "purchase":
             want.setdefault(json.loads(props)["k"], []).append((ts, i))
-    got = {r["doc_id"]: tuple(r)[1:] for r in readpath_plans.versions_scan_all(spark, SF).collect()}
+    got = {r["doc_id"]: tuple(r)[1:] for r in readpath_plans.versions_scan(spark, SF).collect()}
     assert got == {d: (len(v), sum(i % 7 > 0 for _, i in v), min(v)[0]) for d, v in want.items()} and {d % 2 for d in got} == {0, 1}
 
 
@@ -291,14 +365,14 @@ def test_every_kind_of_range_is_checked(spark):
         if n and asked[0] < n:
             last = n - 1 if asked[1] is None else min(asked[1], n - 1)
             want[i, kind, (asked[0], last) == (i % 3, n - 1)] += 1
-    assert Counter(tuple(r) for r in readpath_plans.answered_by_all(spark, SF).collect()) == want
+    assert Counter(tuple(r) for r in readpath_plans.answered_by(spark, SF).collect()) == want
     assert {k for _, k, _ in want} == {"from", "suffix", "inclusive"}
 
 
 def test_every_block_is_verified(spark, tmp_path):
     texts = [(6, "a\n" * 500), (7, "é" * 256 + "\U0001f600" * 257), (8, "x" * 2048), (9, ""), (10, None)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = Counter(tuple(r) for r in readpath_plans.verify_blocks_on_hit(spark, str(tmp_path)).collect())
+    got = Counter(tuple(r) for r in readpath_plans.verify_on_hit(spark, str(tmp_path)).collect())
     assert got == Counter((i, k, (i + k) % 7 > 0) for i, t in texts for k in range(-(-len(t or "") // 256)))
     assert (6, 1, False) in got and (8, 6, False) in got
     back = readpath.text_blocks(spark.createDataFrame(texts, "doc_id long, text string"), "text", 256).collect()
@@ -465,3 +539,55 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_passed_writes_are_appended_once(spark, tmp_path):
+    from strataview.sources import sinks
+
+    for i in range(3):
+        spark.createDataFrame([(10 * i + k, ["GET", "PUT", "DELETE", "HEAD"][k % 4]) for k in range(8)], "req_id long, method string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = lambda: spark.readStream.schema("req_id long, method string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        sinks.pass_writes(src(), str(tmp_path / "states"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = sinks.read_states(spark, str(tmp_path / "states"))
+    assert sorted(r["req_id"] for r in got.collect()) == sorted(10 * i + k for i in range(3) for k in (1, 2, 5, 6)) and len(os.listdir(tmp_path / "states")) == 3
+    sinks.append_states(got.limit(0), str(tmp_path / "states"), 1)
+    assert sinks.read_states(spark, str(tmp_path / "states")).count() == 8
+
+
+def test_slot_tables_are_written_and_read(spark, tmp_path):
+    spark.dataSource.register(slot_table.SlotTable)
+    rows = [(i, (i * 0x9E3779B97F4A7C15) % (1 << 63), f"{i:032x}", i % 7, 100 + i, -i, i % 3, 4096 * i, i % 5 > 0) for i in range(200)]
+    d = spark.createDataFrame(rows, slot_table.SCHEMA).repartition(3)
+    d.write.format("slot_table").mode("append").save(str(tmp_path / "t"))
+    got = spark.read.format("slot_table").option("partrecords", 17).load(str(tmp_path / "t"))
+    assert Counter(tuple(r)[1:] for r in got.collect()) == Counter(r[1:] for r in rows)
+    assert len(os.listdir(tmp_path / "t")) == 3 and got.rdd.getNumPartitions() >= 12
+
+
+def test_quantiles_of_ties_and_single_values(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(g, v) for g in ("a", None) for v in [rng.choice([5, 5, 900, 1_000_003, 2**40]) for _ in range(101)]] + [("one", 77)]
+    d = spark.createDataFrame(rows, "g string, v long")
+    for share in (0.0, 0.5, 0.99, 1.0):
+        want = {}
+        for g in ("a", None, "one"):
+            vs = sorted(v for h, v in rows if h == g)
+            want[g] = vs[min(int(len(vs) * share), len(vs) - 1)]
+        assert {r["g"]: r["quantile"] for r in metrics.exact_quantile(d, ["g"], "v", share).collect()} == want
+
+
+def test_a_cluster_must_name_its_folder(spark, monkeypatch):
+    from strataview.sources import shared
+
+    kept = spark.conf.get("spark.checkpoint.dir")
+    assert shared.folder(spark, "x").startswith(kept)
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.folder(Cluster, "x")
