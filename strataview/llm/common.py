@@ -100,3 +100,21 @@ def semi_by(df: DataFrame, keys: DataFrame, on: str, most_rows: int = 1_000_000)
     its counted size is within the bound; beyond it both sides are shuffled."""
     keys = keys.select(on).distinct()
     return df.join(F.broadcast(keys) if small_enough(keys, most_rows) else keys, on, "left_semi")
+
+
+#: Rows of one key from which on a join does not shuffle them to one task.
+HOT_ROWS = 500_000
+
+
+def join_counted(left: DataFrame, keys: DataFrame, on: list[str], count: str, how: str = "inner", hot_rows: int | None = None) -> DataFrame:
+    """``left`` joined with ``keys``, one row a key with the ``count`` of its
+    rows in ``left``. Keys of more than ``hot_rows`` rows are joined by
+    broadcast, where their rows lie: there are at most ``rows / hot_rows`` of
+    them, and that they are few is counted. All others are shuffled."""
+    hot_rows = hot_rows or HOT_ROWS
+    hot = keys.filter(F.col(count) > hot_rows)
+    if not hot.limit(1).count() or not small_enough(hot, 100_000):
+        return left.join(keys, on, how)
+    few = F.broadcast(hot.select(*on))
+    cold = left.join(few, on, "left_anti").join(keys.filter(F.col(count) <= hot_rows), on, how)
+    return cold.unionByName(left.join(F.broadcast(hot), on).select(*cold.columns))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, release, small_enough, written
+from .common import drop, join_counted, release, small_enough, written
 from .components import connected
 from .shingles import shingle_hashes, word_hashes
 
@@ -200,7 +200,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, p_rows = written(_sets(d, k, pct, False), "sets")
-    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("toks").alias("toks"))
+    classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("toks").alias("toks"), F.count(F.lit(1)).alias("rows"))
     classes, p_classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     slim, _ = written(rows.select("doc_id", "n", "cls"), "rows")
     drop(spark, p_rows)
@@ -209,8 +209,8 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     need: Column = F.greatest(F.lit(1), F.ceil(F.ceil(F.col("n") * pct / 100) / 20))
     live, made = classes.select("cid", "n", F.explode("toks").alias("tok")), []
     for _ in range(2):
-        common, p = written(live.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("tok"), "common")
-        held, p1 = written(live.join(common, "tok"), "held")
+        common, p = written(live.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "common")
+        held, p1 = written(join_counted(live, common, ["tok"], "c").drop("c"), "held")
         able, p2 = written(held.groupBy("cid").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= need).select("cid"), "able")
         live = held.join(able, "cid", "left_semi")
         made += [p, p1, p2]
@@ -225,7 +225,7 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     # shingles from rare to common; a class with too few that any other holds is out
     each = full.select("cid", "n", F.explode("toks").alias("tok"))
     often, p_often = written(each.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
-    ranked, p_ranked = written(each.join(often, "tok", "left").select("cid", "n", "tok", F.coalesce("c", F.lit(1)).alias("c")), "ranked")
+    ranked, p_ranked = written(join_counted(each, often, ["tok"], "c", "left").select("cid", "n", "tok", F.coalesce("c", F.lit(1)).alias("c")), "ranked")
     least = F.ceil(F.col("n") * pct / 100)
     full = ranked.groupBy("cid").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("c", "tok"))).alias("t")).filter(F.size(F.filter("t", lambda x: x["c"] > 1)) >= least)
     full, p_ordered = written(full.select("cid", "n", F.transform("t", lambda x: x["tok"]).alias("toks")), "ordered")
@@ -233,8 +233,8 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
 
     prefix = F.slice("toks", 1, (F.col("n") - least + 1).cast("int"))
     lists, p_lists = written(full.select("cid", F.explode(prefix).alias("tok")), "lists")
-    heads, p_heads = written(lists.groupBy("tok").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("tok", "v"), "heads")
-    cluster = connected(lists.join(heads, "tok").select(F.col("cid").alias("u"), "v"))
+    heads, p_heads = written(lists.groupBy("tok").agg(F.min("cid").alias("v"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "heads")
+    cluster = connected(join_counted(lists, heads, ["tok"], "c").select(F.col("cid").alias("u"), "v"))
     cluster, p_cluster = written(cluster.select(F.col("node").alias("cid"), F.col("root").alias("cluster")), "clusters")
     totals, p_totals = written(cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("total")), "totals")
     band = F.when(F.col("total") > BLOCK, _band(F.size("toks"), pct)).otherwise(F.lit(0))  # what fits one block needs no bands
@@ -261,15 +261,15 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
         part, p_part = written(own.groupBy("cluster", "band", "part").agg(F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks")), "parts")
         placed = m.join(own.select("cluster", "band", "comp", "part"), ["cluster", "band", "comp"]).join(part, ["cluster", "band", "part"])
         placed, p_placed = written(placed.select("cluster", F.struct("part", "band", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("i")).alias("block"), "cid", "comp", "toks"), "placed")
-        every, p_open = _open_pairs(lists.join(heads.select("tok"), "tok"), placed)
+        every, p_open = _open_pairs(join_counted(lists, heads.select("tok", "c"), ["tok"], "c").select("cid", "tok"), placed)
         more, p_more = written(_compare(placed, every.withColumn("pair", F.to_json(F.struct("cluster", "left", "right"))), pct), "more")
         links = links.unionByName(more)
         paths += [p_comp, p_grouped, p_part, p_placed, p_more, *p_open]
     comp, p_comp = written(connected(links), "components")
     linked = comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
     least, p_least = written(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
-    names = classes.select("cls", "cid", "rep").join(comp.join(least, "root"), F.col("cid") == F.col("node"), "left")
-    names, _ = written(names.select("cls", F.coalesce("component_id", "rep").alias("component_id")), "names")
-    out = slim.join(names, "cls", "left")
+    names = classes.select("cls", "cid", "rep", "rows").join(comp.join(least, "root"), F.col("cid") == F.col("node"), "left")
+    names, _ = written(names.select("cls", F.coalesce("component_id", "rep").alias("component_id"), "rows"), "names")
+    out = join_counted(slim, names, ["cls"], "rows", "left")
     drop(spark, *paths, p_classes, p_ordered, p_members, p_links, p_comp, p_least)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("cls").alias("class_key"))

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, release, written
+from .common import drop, join_counted, release, written
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -230,22 +230,22 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
     spark = docs.sparkSession
     gram = gram or length // 2
     found, p_found = written(candidates(docs, length, gram), "anchors")
-    often, p_often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram"), "often")
-    again, p_again = written(found.join(often, "gram"), "again")
+    often, p_often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "often")
+    again, p_again = written(join_counted(found, often, ["gram"], "c").drop("c"), "again")
     drop(spark, p_found, p_often)
     order = F.struct("doc", "at", "first", "last")
     merged, p_merged = written(again.groupBy("gram", "same").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("rep")), "merged")
 
     # 1. candidates with identical bytes: every string in them repeats
-    twice, p_twice = written(merged.filter("n > 1").select("same", "gram", F.col("rep.doc").alias("r_doc"), F.col("rep.at").alias("r_at")), "twice")
-    copies = again.join(twice, ["gram", "same"])
+    twice, p_twice = written(merged.filter("n > 1").select("same", "gram", "n", F.col("rep.doc").alias("r_doc"), F.col("rep.at").alias("r_at")), "twice")
+    copies = join_counted(again, twice, ["gram", "same"], "n")
     if keep_first:
         copies = copies.filter("doc <> r_doc or at <> r_at")
     whole = copies.select("doc", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
 
     # 2. one representative of each, where the anchor has several: suffix arrays over their bytes
     several, p_several = written(merged.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "several")
-    reps = merged.join(several, "gram").select("gram", "kinds", "rep.doc", "rep.at", "rep.first", "rep.last")
+    reps = join_counted(merged, several, ["gram"], "kinds").select("gram", "kinds", "rep.doc", "rep.at", "rep.first", "rep.last")
     wanted, p_wanted = written(reps, "wanted")
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("gram", "kinds", "at", "first", "last")).alias("w"))
     n_wanted = wanted.count()
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
     inside = local.filter("digest is null").select("doc", "s", "e")
     across = local.filter("digest is not null")
     shared, p_shared = written(across.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "s")).alias("f")).filter("k > 1"), "shared")
-    crossed = across.join(shared, "digest")
+    crossed = join_counted(across, shared, ["digest"], "k")
     if keep_first:
         crossed = crossed.filter("doc <> f.doc or s <> f.s")
     spans = whole.unionByName(inside).unionByName(crossed.select("doc", "s", "e"))

@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from strataview.llm import boosting, byte_cnn, class_model, components, decontaminate, jaccard_join, labelled, license_scan, packing, quality_rules, suffix_dedup, token_counts, tokens, toxicity
+from strataview.llm import boosting, byte_cnn, class_model, common, components, decontaminate, jaccard_join, labelled, license_scan, packing, quality_rules, suffix_dedup, token_counts, tokens, toxicity
 from strataview.llm.components import connected
 
 SCHEMA = "doc_id long, text string, lang string, spans string, block long, toks string, n int, gram string"
@@ -416,9 +416,21 @@ def jaccard_truth(rows, k, pct):
     return out
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("hot", [1, 3, 100])
+def test_joins_of_counted_keys(spark, how, hot):
+    rows = [(k, i) for k in range(8) for i in range(k)] + [(None, 1)]
+    left = spark.createDataFrame(rows, "k long, i long")
+    keys = spark.createDataFrame([(k, k, f"v{k}") for k in range(6)], "k long, c long, v string")
+    want = Counter((k, i, k if k is not None and k < 6 else None, f"v{k}" if k is not None and k < 6 else None) for k, i in rows if how == "left" or (k is not None and k < 6))
+    got = common.join_counted(left, keys, ["k"], "c", how, hot)
+    assert got.columns == ["k", "i", "c", "v"] and Counter(map(tuple, got.collect())) == want
+
+
 @pytest.mark.parametrize(("k", "pct"), [(4, 85), (5, 80)])
 def test_jaccard_join_against_brute_force(spark, docs, k, pct, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 8)  # several blocks a cluster
+    monkeypatch.setattr(common, "HOT_ROWS", 20 * (k - 4) + 3)  # some keys are hot
     rng = random.Random(k)
     base = prose(rng, 90).split()
     more = []
@@ -654,6 +666,7 @@ def repeats_truth(rows, length, keep_first):
 @pytest.mark.parametrize("keep_first", [False, True])
 @pytest.mark.parametrize("chunk_rows", [2500, 3])
 def test_repeats_against_brute_force(spark, unique, keep_first, chunk_rows, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 4 if chunk_rows == 3 else 500_000)
     monkeypatch.setattr(suffix_dedup, "PORTION", 40)
     rng = random.Random(11)
     stem = prose(rng, 60)
