@@ -172,8 +172,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Only the text is an input; null and empty texts are scored as one chunk of
-    padding. Without labels of both kinds every score is 1. Repeated rows give
-    a row each; other columns are ignored.
+    padding; chunks cover all bytes of very long ones. Without labels of both
+    kinds every score is 1. Repeated rows give a row each; ids keep their type;
+    other columns are ignored; an empty table gives no rows.
     """
     model = train(docs, labels, "quality", parts, held_out, id_col=id_col, text_col=text_col, **more)
     s = docs.select(F.col(id_col).alias("doc_id"), (fold(F.col(id_col), parts) == held_out).alias("held_out"), quality_score(F.col(text_col), model).alias("score"))

@@ -160,9 +160,12 @@ def score_texts(docs: DataFrame, parts: int = 10, held_out: int = 0, classes: in
     """One row per input row: ``doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, perplexity``.
 
-    Null or empty text: the end token alone. With no training text all counts
-    are zero and every token is unknown. Repeated rows count and are scored
-    each; other columns are ignored. ``head`` and ``classes`` are sizes of the
+    Null or empty text: the end token alone. Very long texts are read whole (a
+    document is never parted between blocks). With no training text all counts
+    are zero and every token is unknown; an empty table gives no rows. Repeated
+    rows count and are scored each; ids are cast to long (what is no number is
+    null); other columns are ignored; of equal counts the smaller word comes first.
+    Nothing depends on how rows are partitioned. ``head`` and ``classes`` are sizes of the
     model; counts, classes and transitions come from all training texts.
     """
     spark = docs.sparkSession

@@ -193,9 +193,10 @@ def link_documents(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "do
     Two texts link if ``100 * |intersection| >= pct * |union|`` of their
     shingle sets. ``component_id`` is the smallest id reachable by links. Null
     texts and texts without words have no shingles and link with nothing (their
-    component is their own id). Repeated rows are copies. Rows without an id
-    take part; their component is the smallest id of those they are linked
-    with, or null.
+    component is their own id). Very long texts are read whole. Repeated rows
+    are copies. Rows without an id take part; their component is the smallest
+    id of those they are linked with, or null. Ids are cast to long (what is no
+    number is null). Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

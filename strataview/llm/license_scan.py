@@ -88,8 +88,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: the id, ``n_words``, ``n_base``, ``first_word``,
     ``last_word``, ``base_labels``, ``labels``, ``score``, ``n_detections``.
 
-    Null or empty text: no words, no labels, score 0. Repeated rows and null
-    ids give a row each; other columns are ignored.
+    Null or empty text: no words, no labels, score 0. Very long texts are read
+    whole. Repeated rows and null ids give a row each; ids keep their type;
+    other columns are ignored; an empty table gives no rows. Of equal
+    detections the smaller label stays.
     """
     table = rules()
     keywords = sorted({k for _, _, k, _ in table})

@@ -212,8 +212,10 @@ def solve(counts: np.ndarray, capacity: int, width: int = 48, branches: int = 24
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Null or empty text: one piece of the end id alone. Repeated rows and rows
-    without an id are packed like any other. An empty table gives no rows.
+    Null or empty text: one piece of the end id alone. Very long texts are
+    encoded whole and cut. Repeated rows and rows without an id are packed like
+    any other; ids are cast to long (what is no number is null); other columns
+    are ignored. An empty table gives no rows.
     """
     vocabulary = vocabulary or default_vocabulary()
     pieces, _ = written(cut_into_pieces(docs, capacity, end_id, vocabulary, id_col, text_col).withColumn("spread", F.xxhash64("row_key", "piece")), "pieces")

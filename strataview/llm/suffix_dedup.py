@@ -378,7 +378,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep_first: bool = True,
     elsewhere (``keep_first`` false), or at an earlier place in order of id
     and position (``keep_first`` true). Strings never cross documents and are
     judged on the input. Null or empty text: nothing is removed and ``kept``
-    is empty. Repeated rows count as documents of their own.
+    is empty. Very long texts are read whole. Repeated rows count as documents
+    of their own; rows without an id come last; ids keep their type. Other
+    columns are ignored; an empty table gives no rows.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _with_kept(_with_spans(d, length, keep_first, "doc_id", "text", more).withColumnRenamed("__sv_spans", "spans"))

@@ -180,8 +180,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 3, held_out:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Only the text is an input of the score; null and empty texts are scored
-    like any other. Without labels of both kinds the score is 0. Repeated rows
-    give a row each; other columns are ignored.
+    like any other; very long texts, and tokens, are read whole, in time linear
+    in their length. Without labels of both kinds the score is 0. Repeated rows
+    give a row each; ids keep their type; other columns are ignored; an empty
+    table gives no rows.
     """
     model = fit(docs, labels, "toxic", parts, held_out, id_col=id_col, text_col=text_col, **more)
 
