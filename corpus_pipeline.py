@@ -6,7 +6,11 @@ return the columns of ``docs``.
 
 Stages 2 and 4 decide by row, whatever its id; rows without an id come last.
 Repeated rows of one id and text are one document, of which stage 2 keeps one.
-An empty table passes through as an empty table.
+Null and empty texts are scored by stage 1 like any other; what it keeps of
+them links with nothing, holds no passage and no benchmark item, and is packed
+as an end token. Very long texts are read whole by every stage. Extra columns
+are carried along, whatever their names. An empty table passes through as an
+empty table.
 """
 
 from __future__ import annotations
