@@ -884,15 +884,29 @@ def placement_xxh3(spark, sf_dir):
     return j.groupBy("key", "chunk").agg(F.max_by("node_id", F.struct(score.alias("s"), "node_id")).alias("node_id"))
 
 
-@query(None)
+FORMAT = "CASE doc_id % 4 WHEN 0 THEN 'parquet' WHEN 1 THEN 'orc' WHEN 2 THEN 'safetensors' END"
+
+
+@query(
+    with_views("objects", "")
+    + f""", f AS (SELECT key, {FORMAT} AS format, size, size // 4 AS footer, 13 AS tail FROM objects),
+s AS (SELECT key, format, size, CASE format WHEN 'parquet' THEN size - 8 - footer WHEN 'orc' THEN size - 1 - tail - footer - 5 WHEN 'safetensors' THEN 8 END AS first, CASE format WHEN 'parquet' THEN size - 8 WHEN 'orc' THEN size - 1 - tail WHEN 'safetensors' THEN 8 + footer END AS stop FROM f)
+SELECT key, format, CASE WHEN ok THEN first END AS start, CASE WHEN ok THEN stop END AS "end" FROM (SELECT *, first >= CASE format WHEN 'parquet' THEN 4 WHEN 'orc' THEN 3 ELSE 8 END AND first < stop AND stop <= size AS ok FROM s)"""
+)
 def format_spans(spark, sf_dir):
-    """Metadata spans from made-up trailers of each object's format."""
+    """Metadata spans from the trailers of each object's format (made here, byte by byte)."""
     from ..sources.formats import detect, spans
 
     o = trace.objects(spark, sf_dir, etags=False).withColumn("format", detect(F.col("key")))
-    le = lambda n, width: F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(n, 8 * i).bitwiseAND(255)), 2, "0")) for i in range(width)])
+    byte = lambda n: F.unhex(F.lpad(F.hex(n.bitwiseAND(255)), 2, "0"))
+    le = lambda n, width: F.concat(*[byte(F.shiftright(n, 8 * i)) for i in range(width)])
+    varint = lambda n: F.concat(byte(n.bitwiseAND(127).bitwiseOR(128)), byte(F.shiftright(n, 7).bitwiseAND(127).bitwiseOR(128)), byte(F.shiftright(n, 14)))
+    raw_bytes = lambda h: F.unhex(F.lit(h))
     footer = F.floor(F.col("size") / 4).cast("long")
-    raw = F.when(F.col("format") == "parquet", F.concat(le(footer, 4), F.lit("PAR1").cast("binary"))).when(F.col("format") == "safetensors", le(footer, 8))
+    # an ORC postscript: footer length (field 1), metadata length 5 (field 5), the magic (field 8000), then its own length
+    postscript = F.concat(raw_bytes("08"), varint(footer), raw_bytes("280582F403034F5243"))
+    orc = F.concat(postscript, byte(F.octet_length(postscript)))
+    raw = F.when(F.col("format") == "parquet", F.concat(le(footer, 4), F.lit("PAR1").cast("binary"))).when(F.col("format") == "safetensors", le(footer, 8)).when(F.col("format") == "orc", orc)
     return o.select("key", "format", spans(F.col("format"), F.col("size"), raw).alias("s")).select("key", "format", "s.start", "s.end")
 
 

@@ -177,12 +177,12 @@ def revalidation(spark, sf_dir):
     return a.select("req_id", out.alias("outcome"))
 
 
-@query(with_views("objects", "") + " SELECT p_partkey AS index, 'set/' || p_partkey AS key, p_size::BIGINT * 64 AS size FROM part p WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.doc_id = p.p_partkey AND o.size >= p.p_size * 64)")
+@query(with_views("objects", "") + " SELECT p_partkey AS index, 'set/' || p_partkey AS key, p_size::BIGINT * 64 AS size FROM part p WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.doc_id = p.p_partkey AND o.size = p.p_size * 64)")
 def seed_resume(spark, sf_dir):
-    """Objects still to be put: those there already are left out."""
+    """Objects still to be put: those there already with the same size are left out."""
     p = trace.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("index"), F.concat(F.lit("set/"), "p_partkey").alias("key"), (F.col("p_size").cast("long") * 64).alias("size")).alias("p")
     o = trace.objects(spark, sf_dir, etags=False).alias("o")
-    return p.join(o, (F.col("o.doc_id") == F.col("p.index")) & (F.col("o.size") >= F.col("p.size")), "left_anti")
+    return p.join(o, (F.col("o.doc_id") == F.col("p.index")) & (F.col("o.size") == F.col("p.size")), "left_anti")
 
 
 @query("SELECT s_suppkey AS host, (1000003 // 7 + (s_suppkey < 1000003 % 7)::INT)::BIGINT AS requests FROM supplier WHERE s_suppkey < 7")

@@ -456,6 +456,53 @@ def consistency_checks(spark, sf_dir):
     return a.unionByName(b).unionByName(tell("restored record not sound", r.filter("not valid")))
 
 
+@query("SELECT p_partkey AS index, 'set/' || p_partkey AS key, p_size::BIGINT * 64 AS size FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0")
+def seed_again(spark, sf_dir):
+    """A dataset is put into a folder, interrupted, and taken up again: only what is missing or has another size is put."""
+    plan = trace.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("index"), F.concat(F.lit("set/"), "p_partkey").alias("key"), (F.col("p_size").cast("long") * 64).alias("size"))
+    path = folder(spark, "seed")
+    there = plan.filter("index % 3 > 0").withColumn("size", F.col("size") + (F.col("index") % 5 == 0).cast("long"))
+    there.write.parquet(f"{path}/run=1")
+    missing = plan.join(spark.read.parquet(f"{path}/run=1").select("key", "size"), ["key", "size"], "left_anti")
+    missing.write.parquet(f"{path}/run=2")
+    return spark.read.parquet(f"{path}/run=2").select("index", "key", "size")
+
+
+@query(with_views("requests", "") + " SELECT event_type AS class, client % 3 AS place, count(*) AS n FROM requests GROUP BY ALL")
+def loop_merge(spark, sf_dir):
+    """Counts that loops keep in arrays, added place by place."""
+    r = trace.requests(spark, sf_dir)
+    place = lambda k: F.count_if(F.col("client") % 3 == k)
+    loops = r.groupBy("event_type", (F.col("req_id") % 4).alias("loop")).agg(F.array(*map(place, range(3))).alias("counts"))
+    e = loops.select(F.col("event_type").alias("class"), F.posexplode("counts").alias("place", "n"))
+    return e.groupBy("class", F.col("place").cast("long").alias("place")).agg(F.sum("n").alias("n")).filter("n > 0")
+
+
+@query(with_views("requests", "") + " SELECT doc_id, count(*) AS times FROM (SELECT doc_id, client % 5 AS hash FROM requests WHERE method = 'GET' EXCEPT ALL SELECT doc_id, client % 5 FROM requests WHERE method = 'PUT') GROUP BY doc_id")
+def ghost_multiset(spark, sf_dir):
+    """Hashes remembered with their counts: each leaving takes one occurrence, and one is there while any is left."""
+    r = trace.requests(spark, sf_dir).select("doc_id", (F.col("client") % 5).alias("hash"), "method")
+    left = r.filter("method = 'GET'").drop("method").exceptAll(r.filter("method = 'PUT'").drop("method"))
+    return left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+@query(
+    with_views("objects", "")
+    + """, s AS (SELECT key, doc_id // 4 % 3 AS node, size - 8 - size // 4 AS first, size - 8 AS stop FROM objects WHERE doc_id % 4 = 0 AND size - 8 - size // 4 >= 4 AND size // 4 > 0),
+b AS (SELECT key, node, i, 256 AS len FROM (SELECT key, node, unnest(range(first // 256, (stop - 1) // 256 + 1)) AS i FROM s)), r AS (SELECT key, node, min(i) AS lo, count(*) AS blocks, sum(len)::BIGINT AS bytes FROM b GROUP BY ALL)
+SELECT key, node, lo, blocks, sum(bytes) OVER (PARTITION BY node ORDER BY key) <= 16384 AS planned FROM r"""
+)
+def prefetch_plan(spark, sf_dir):
+    """Metadata blocks of Parquet objects to fetch ahead: one run each, in order of keys while the budget of their node lasts."""
+    o = trace.objects(spark, sf_dir, etags=False).filter("doc_id % 4 = 0")
+    footer = F.floor(F.col("size") / 4)
+    s = o.withColumn("first", F.col("size") - 8 - footer).withColumn("stop", F.col("size") - 8).filter((F.col("first") >= 4) & (footer > 0))
+    b = s.select("key", (F.floor(F.col("doc_id") / 4) % 3).alias("node"), F.explode(LAYOUT.blocks(F.col("first"), F.col("stop") - 1)).alias("block_index"), F.lit(None).cast("long").alias("chunk"))
+    r = readpath.fill_runs(b, ["key", "node"], 1 << 20).select("key", "node", "lo", "blocks")
+    total = F.sum(F.col("blocks") * LAYOUT.block).over(Window.partitionBy("node").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    return r.select("key", "node", "lo", "blocks", (total <= 16384).alias("planned"))
+
+
 #: Earlier names of queries that had a part of their tables under the plain name.
 for _name, _is in {"event_parse_all": "event_parse", "history_violations_all": "history_violations", "versions_scan_all": "versions_scan", "answered_by_all": "answered_by", "verify_blocks_on_hit": "verify_on_hit"}.items():
     QUERIES[_name], ORACLES[_name] = QUERIES[_is], ORACLES[_is]
