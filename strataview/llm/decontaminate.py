@@ -45,27 +45,52 @@ def tokens(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8", "surrogatepass").lower().translate(PUNCTUATION).split())
 
 
+def bit_sums(h: np.ndarray) -> np.ndarray:
+    """Running sums of the BITS bits that stand for each shingle, one row more
+    than shingles (16 bits wide: at most 65,535 shingles)."""
+    lanes = (h[:, None] ^ ODD[:LANES]) * np.roll(ODD[:LANES], -3)
+    lanes = (lanes ^ (lanes >> np.uint64(32))) * np.roll(ODD[:LANES], -5)
+    lanes ^= lanes >> np.uint64(29)
+    bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
+    sums = np.zeros((len(h) + 1, BITS), np.uint16)
+    np.cumsum(bits, axis=0, out=sums[1:], dtype=np.uint16)
+    return sums
+
+
+def majorities(sums: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """SimHash (LANES numbers of 64 bits) of ``n`` shingles from each place."""
+    up = (sums[at + n] - sums[at]) > n // 2
+    return np.packbits(up, axis=1, bitorder="little").view(np.uint64)
+
+
+#: Starts of windows, and lengths, that share running sums; longer windows are summed in parts.
+SEGMENT = 4096
+
+
 def fingerprints(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash (LANES numbers of 64 bits) of the ``n`` shingles from each of
-    ``starts`` (ascending); repeated shingles weigh as often as they occur.
-    Bits are summed once along the text, and a window is a difference of sums."""
+    """SimHash of the ``n`` shingles from each of ``starts``; repeated shingles
+    weigh as often as they occur. A window is a difference of running sums."""
     out = np.zeros((len(starts), LANES), np.uint64)
-    lo = 0
-    while lo < len(starts):
-        hi = int(np.searchsorted(starts, starts[lo] + max(n, 512), "left"))
-        first = int(starts[lo])
-        some = h[first : int(starts[hi - 1]) + n]
-        for lane in range(LANES):
-            x = (some ^ ODD[lane]) * ODD[(lane + 3) % LANES]
-            x = (x ^ (x >> np.uint64(32))) * ODD[(lane + 5) % LANES]
-            x ^= x >> np.uint64(29)
-            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = np.zeros((len(some) + 1, 64), np.int32)
-            np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
-            at = starts[lo:hi] - first
-            up = (sums[at + n] - sums[at]) * 2 > n
-            out[lo:hi, lane] = np.packbits(up, axis=1, bitorder="little").view(np.uint64)[:, 0]
-        lo = hi
+    if n <= SEGMENT:
+        lo = 0
+        while lo < len(starts):
+            hi = int(np.searchsorted(starts, starts[lo] + SEGMENT, "left"))
+            first = int(starts[lo])
+            out[lo:hi] = majorities(bit_sums(h[first : int(starts[hi - 1]) + n]), starts[lo:hi] - first, n)
+            lo = hi
+        return out
+    # a long window: the sum of its segments, then what neighbours lose and gain
+    count, before = np.zeros(BITS, np.int64), None
+    ones = lambda part: bit_sums(part)[-1].astype(np.int64)
+    for i, s in enumerate(starts.tolist()):
+        if before is not None and s - before <= n // 2:
+            for lo in range(0, s - before, SEGMENT):
+                step = min(SEGMENT, s - before - lo)
+                count = count - ones(h[before + lo : before + lo + step]) + ones(h[before + n + lo : before + n + lo + step])
+        else:
+            count = sum(ones(h[lo : min(lo + SEGMENT, s + n)]) for lo in range(s, s + n, SEGMENT))
+        out[i] = np.packbits(count > n // 2, bitorder="little").view(np.uint64)
+        before = s
     return out
 
 
@@ -90,17 +115,28 @@ class MultiIndex:
         self.ids = (order // BLOCKS).astype(np.int32)
         self.ends = np.searchsorted(keys.ravel()[order], np.arange((BLOCKS << BLOCK_BITS) + 1)).astype(np.int64)
 
-    def candidates(self, block_values: np.ndarray) -> np.ndarray:
-        """Places that agree on enough blocks: all within the radius, and few others."""
-        at = block_values.astype(np.int64) + np.arange(BLOCKS) * (1 << BLOCK_BITS)
-        lists = [self.ids[a:b] for a, b in zip(self.ends[at].tolist(), self.ends[at + 1].tolist(), strict=True) if a < b]
-        return np.flatnonzero(np.bincount(np.concatenate(lists)) >= self.least) if lists else np.zeros(0, np.int64)
-
-    def near(self, print_: np.ndarray, block_values: np.ndarray) -> list[tuple[int, int]]:
-        """(place, distance) of all within the radius."""
-        c = self.candidates(block_values)
-        d = np.bitwise_count(self.prints[c] ^ print_).sum(axis=1)
-        return [(int(i), int(x)) for i, x in zip(c, d, strict=True) if x <= self.radius]
+    def candidates(self, values: np.ndarray) -> np.ndarray:
+        """(row, place) of all items that agree with a row of block values on
+        enough blocks: all within the radius, and few others."""
+        n = len(self.prints)
+        rows = max(1, (1 << 20) // n)
+        found = []
+        for lo in range(0, len(values), rows):
+            at = values[lo : lo + rows].astype(np.int64) + np.arange(BLOCKS) * (1 << BLOCK_BITS)
+            first, lens = self.ends[at].ravel(), (self.ends[at + 1] - self.ends[at]).ravel()
+            total = int(lens.sum())
+            idx = np.repeat(first - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(total)
+            row = np.repeat(np.repeat(np.arange(len(at)), BLOCKS), lens)
+            agree = np.bincount(row * n + self.ids[idx], minlength=len(at) * n)
+            hit = np.flatnonzero(agree >= self.least)
+            found.append(np.stack([hit // n + lo, hit % n], axis=1))
+        return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+    def near(self, prints: np.ndarray) -> np.ndarray:
+        """(row, place, distance) of all items within the radius of each row of prints."""
+        c = self.candidates(blocks_of(prints))
+        d = np.bitwise_count(self.prints[c[:, 1]] ^ prints[c[:, 0]]).sum(axis=1).astype(np.int64)
+        return np.column_stack([c, d])[d <= self.radius]
 
 
 def _least(size: int, n: int, t: float) -> float:
@@ -138,23 +174,33 @@ class BenchmarkIndex:
             return []
         sums = np.concatenate([[0], np.cumsum(hits)])
         best: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        for size, index in self.index.items():
-            n = min(size, len(h))
+
+        def measure(size: int, n: int, starts: np.ndarray, prints: np.ndarray) -> None:
+            now, c = -1, None
+            for row, i, d in self.index[size].near(prints).tolist():
+                s = int(starts[row])
+                if row != now:
+                    now, c = row, Counter(h[s : s + n].tolist())
+                sim = weighted_jaccard(c, self.items[size][i][1])
+                if sim >= self.threshold - 1e-12 and ((size, i) not in best or (-sim, s) < (-best[size, i][0], best[size, i][1])):
+                    best[size, i] = (sim, s, n, d)
+
+        short: list[tuple[int, int, np.ndarray]] = []
+        for size in self.index:
             starts = _starts(sums, size, self.threshold)
-            if not len(starts):
-                continue
-            prints = fingerprints(h, starts, n)
-            seen: dict[bytes, list[tuple[int, int]]] = {}  # repeated words give equal prints again and again
-            for s, p, values in zip(starts.tolist(), prints, blocks_of(prints), strict=True):
-                c, name = None, p.tobytes()
-                if name not in seen:
-                    seen[name] = index.near(p, values)
-                for i, d in seen[name]:
-                    c = c or Counter(h[s : s + n].tolist())
-                    sim = weighted_jaccard(c, self.items[size][i][1])
-                    at = (size, i)
-                    if sim >= self.threshold - 1e-12 and (at not in best or (-sim, s) < (-best[at][0], best[at][1])):
-                        best[at] = (sim, s, n, d)
+            n = min(size, len(h))
+            if len(starts) and n <= SEGMENT:
+                short.append((size, n, starts))
+            elif len(starts):
+                measure(size, n, starts, fingerprints(h, starts, n))
+        # windows of all sizes in a stretch of the text share its running sums
+        for lo in range(0, len(h), SEGMENT):
+            some = [(size, n, x) for size, n, starts in short if len(x := starts[np.searchsorted(starts, lo) : np.searchsorted(starts, lo + SEGMENT)])]
+            if some:
+                first, last = min(int(x[0]) for _, _, x in some), max(int(x[-1]) + n for _, n, x in some)
+                running = bit_sums(h[first:last])
+                for size, n, x in some:
+                    measure(size, n, x, majorities(running, x - first, n))
         return [(self.items[size][i][0], *found) for (size, i), found in sorted(best.items())]
 
 

@@ -361,7 +361,7 @@ def test_multi_index_misses_nothing_within_the_radius():
         bits = np.unpackbits(prints[i].view(np.uint8))
         bits[rng.permutation(decontaminate.BITS)[: decontaminate.RADIUS]] ^= 1  # at the very edge
         moved = np.packbits(bits).view(np.uint64)[None, :]
-        assert (i, decontaminate.RADIUS) in ix.near(moved[0], decontaminate.blocks_of(moved)[0])
+        assert [0, i, decontaminate.RADIUS] in ix.near(moved).tolist()
 
 
 def test_fingerprints_of_windows():
@@ -370,6 +370,14 @@ def test_fingerprints_of_windows():
     starts = np.array([0, 1, 5, 700, 701, 2960])
     alone = np.concatenate([decontaminate.fingerprints(h[s : s + 40], np.zeros(1, np.int64), 40) for s in starts])
     assert (decontaminate.fingerprints(h, starts, 40) == alone).all()
+    kept = decontaminate.SEGMENT
+    try:
+        some = np.array([0, 1, 30, 900, 905, 1700, 1990])
+        want = decontaminate.fingerprints(h, some, 1001)
+        decontaminate.SEGMENT = 64  # the way of long windows
+        assert (decontaminate.fingerprints(h, some, 1001) == want).all()
+    finally:
+        decontaminate.SEGMENT = kept
 
 
 @pytest.mark.parametrize("n", [9, 18, 40, 200])
@@ -382,8 +390,8 @@ def test_recall_and_selectivity_of_the_index(n):
     prints, moved = (decontaminate.fingerprints(x.ravel(), np.arange(500) * n, n) for x in (items, near))
     ix = decontaminate.MultiIndex(prints, decontaminate.RADIUS)
     values = decontaminate.blocks_of(moved)
-    found = sum(any(i == j for j, _ in ix.near(p, v)) for i, (p, v) in enumerate(zip(moved, values, strict=True)))
-    met = sum(len(set(ix.candidates(v)) - {i}) for i, v in enumerate(values))
+    found = sum(row == i for row, i, _ in ix.near(moved).tolist())
+    met = sum(row != i for row, i in ix.candidates(values).tolist())
     assert found >= 0.99 * 500 and met <= 0.002 * 500 * 500
 
 
