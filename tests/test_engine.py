@@ -3,6 +3,7 @@
 import os
 import struct
 from collections import Counter
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
@@ -585,10 +586,11 @@ def test_a_cluster_must_name_its_folder(spark, monkeypatch):
     kept = spark.conf.get("spark.checkpoint.dir")
     assert shared.folder(spark, "x").startswith(kept)
 
-    class Cluster:
+    class Cluster:  # a session without the setting
         conf = type("C", (), {"get": staticmethod(lambda k, d=None: None)})
-        sparkContext = type("S", (), {"master": "spark://host:7077"})
+        sparkContext = mock.MagicMock(master="spark://host:7077")
 
+    Cluster.sparkContext._jsc.sc().getCheckpointDir().isDefined.return_value = False
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.folder(Cluster, "x")
 
