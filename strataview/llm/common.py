@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import folder
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII white space, the separator of the word contracts.
 SPACE = "\\x20\\x09-\\x0D"
@@ -24,22 +23,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only a session
-    that runs on this machine alone may do without: it gets a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        old = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if old.isDefined():
-            found = old.get()
-        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        else:
-            found = f"file://{tempfile.mkdtemp(prefix='strataview-')}"
-            spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -61,7 +44,7 @@ def written(df: DataFrame, name: str, batch_rows: int = 1000, batch_bytes: int =
     """Write ``df`` once as Parquet in the shared folder and read it back: the
     lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strataview/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     schema = df.schema
     with batches(spark, batch_rows, batch_bytes):
         df.write.option("compression", "zstd").parquet(path)
