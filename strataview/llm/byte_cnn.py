@@ -131,7 +131,7 @@ class ByteCnn:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, sample_rows: int = 8_000, row_bytes: int = 1 << 12, sample_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 4, held_out: int = 2, sample_rows: int = 8_000, row_bytes: int = 1 << 12, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> ByteCnn | None:
     """Fit on every chunk of at most ``sample_rows`` labelled texts, of at most
     ``row_bytes`` bytes each and ``sample_bytes`` in all (bounds on which rows
     are in the sample, none on what is read of a row; scoring has no bound).
