@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, join_counted, release, written
+from .shingles import shingle_hashes, word_hashes
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -292,37 +293,79 @@ def repeated_spans(docs: DataFrame, length: int, keep_first: bool, gram: int | N
 
 def _short_runs(docs: DataFrame, words: int, length: int, keep_first: bool, broadcast_rows: int) -> tuple[DataFrame, list[str]]:
     """``doc, s, e`` of repeated runs of ``words`` words (between ASCII white
-    space) under ``length`` bytes, which no string of that length can find."""
+    space) under ``length`` bytes, which no string of that length can find.
 
-    def run(batches: Iterator) -> Iterator:
+    As with bytes: the anchor of a run is the gram of half its words with the
+    least hash; runs that share an anchor are one candidate; candidates whose
+    gram is nowhere else are done, those with equal bytes are one, and only
+    the runs of the rest are compared one by one."""
+    gram = (words + 1) // 2
+
+    def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer(raw, np.uint8)
+        turns = np.diff(np.concatenate([[0], ((c != 32) & ((c < 9) | (c > 13))).view(np.int8), [0]]))
+        return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+    def anchors(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            docs, first, last, digests = [], [], [], []
+            cols: list[list] = [[], [], [], []]
+            digests: list[bytes] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                c = np.frombuffer(raw, np.uint8)
-                turns = np.diff(np.concatenate([[0], ((c != 32) & ((c < 9) | (c > 13))).view(np.int8), [0]]))
-                s, e = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
-                if len(s) < words:
+                s, e = word_spans(raw)
+                n = len(s) - words + 1
+                if n < 1 or not (short := e[words - 1 :] - s[:n] < length).any():
                     continue
-                s, e = s[: len(s) - words + 1], e[words - 1 :]
-                for i in np.flatnonzero(e - s < length).tolist():
-                    docs.append(doc)
-                    first.append(int(s[i]))
-                    last.append(int(e[i]))
-                    digests.append(hashlib.blake2b(raw[s[i] : e[i]], digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(digests, pa.binary())], names=["doc", "s", "e", "digest"])
+                h = shingle_hashes(word_hashes(raw.split()), gram)
+                anchor = sliding_argmin(h, words - gram + 1)
+                first = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
+                some = np.logical_or.reduceat(short, first)
+                last = np.append(first[1:] - 1, n - 1)[some]
+                first = first[some]
+                lo, hi = s[first], e[last + words - 1]
+                for c, v in zip(cols, (h[anchor[first]].view(np.int64), np.full(len(first), doc), lo, hi), strict=True):
+                    c.append(v)
+                digests += [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+            if digests:
+                kinds = [np.int64, np.int64, np.int32, np.int32]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)), pa.array(digests, pa.binary())], names=["gram", "doc", "s", "e", "same"])
         release()
 
-    spark = docs.sparkSession
-    runs, p_runs = written(docs.select("doc", "text").mapInArrow(run, "doc long, s int, e int, digest binary"), "runs")
-    more, p_more = written(runs.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "s")).alias("f")).filter("k > 1").select("digest", "f"), "more")
-    found = runs.join(F.broadcast(more) if more.count() <= broadcast_rows else more, "digest")
+    def runs_of(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, w in zip(text, spans, strict=True):
+            raw, rows = t.encode("utf-8", "surrogatepass"), []
+            for x in w:
+                s, e = word_spans(raw[x["s"] : x["e"]])
+                for i, j in zip(s[: len(s) - words + 1].tolist(), e[words - 1 :].tolist(), strict=True):
+                    if j - i < length:
+                        at = x["s"] + i
+                        rows.append({"s": at, "e": x["s"] + j, "digest": hashlib.blake2b(raw[at : x["s"] + j], digest_size=16).digest()})
+            out.append(rows)
+        return pd.Series(out)
+
+    found, p_found = written(docs.select("doc", "text").mapInArrow(anchors, "gram long, doc long, s int, e int, same binary"), "run-anchors")
+    often, p_often = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "run-grams")
+    again, p_again = written(join_counted(found, often, ["gram"], "c").drop("c"), "runs")
+    merged, p_merged = written(again.groupBy("gram", "same").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "s", "e")).alias("rep")), "run-kinds")
+    twice = merged.filter("n > 1").select("gram", "same", "n", F.col("rep.doc").alias("r_doc"), F.col("rep.s").alias("r_s"))
+    whole = join_counted(again, twice, ["gram", "same"], "n")
+    if keep_first:
+        whole = whole.filter("doc <> r_doc or s <> r_s")
+    several, p_several = written(merged.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "run-several")
+    wanted, p_wanted = written(join_counted(merged, several, ["gram"], "kinds").select("rep.doc", "rep.s", "rep.e"), "run-wanted")
+    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("w"))
+    texts = docs.select("doc", "text").join(F.broadcast(per_doc) if wanted.count() <= broadcast_rows else per_doc, "doc")
+    each = texts.select("doc", F.explode(F.pandas_udf(runs_of, "array<struct<s:int,e:int,digest:binary>>")("text", "w")).alias("r")).select("doc", "r.*")
+    each, p_each = written(each.distinct(), "run-each")
+    shared, p_shared = written(each.groupBy("digest").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc", "s")).alias("f")).filter("k > 1"), "run-shared")
+    crossed = join_counted(each, shared, ["digest"], "k")
     if keep_first:
-        found = found.filter("doc <> f.doc or s <> f.s")
-    short, p_short = written(found.select("doc", "s", "e"), "short")
-    drop(spark, p_runs, p_more)
+        crossed = crossed.filter("doc <> f.doc or s <> f.s")
+    short, p_short = written(whole.select("doc", "s", "e").unionByName(crossed.select("doc", "s", "e")), "short")
+    drop(docs.sparkSession, p_found, p_often, p_again, p_merged, p_several, p_wanted, p_each, p_shared)
     return short, [p_short]
 
 
