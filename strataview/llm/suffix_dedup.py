@@ -295,11 +295,11 @@ def _short_runs(docs: DataFrame, words: int, length: int, keep_first: bool, broa
     """``doc, s, e`` of repeated runs of ``words`` words (between ASCII white
     space) under ``length`` bytes, which no string of that length can find.
 
-    As with bytes: the anchor of a run is the gram of half its words with the
+    As with bytes: the anchor of a run is the gram of a quarter of its words with the
     least hash; runs that share an anchor are one candidate; candidates whose
     gram is nowhere else are done, those with equal bytes are one, and only
     the runs of the rest are compared one by one."""
-    gram = (words + 1) // 2
+    gram = max(1, words // 4)  # short grams anchor longer candidates, so that there are fewer
 
     def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         c = np.frombuffer(raw, np.uint8)
