@@ -32,6 +32,24 @@ class Layout:
         home = (index < self.chunk_blocks) | ((index + 1) * self.block > F.greatest(size - self.chunk, F.lit(0)))
         return F.when(~home, F.floor(index / self.chunk_blocks))
 
+    def chunks(self, lo: Column, hi: Column, size: Column) -> Column:
+        """Array of the chunks that place blocks lo..hi, for :meth:`in_chunk`;
+        the number before the first stands for the object's home."""
+        a, b = self._inner(lo, hi, size)
+        first = F.floor(a / self.chunk_blocks)
+        return F.sequence(first - 1, F.when(a <= b, F.floor(b / self.chunk_blocks)).otherwise(first - 1))
+
+    def in_chunk(self, c: Column, lo: Column, hi: Column, size: Column) -> tuple[Column, Column]:
+        """The chunk (null = home) that ``c`` of :meth:`chunks` stands for, and how many of lo..hi it places (home: maybe none)."""
+        a, b = self._inner(lo, hi, size)
+        home = c < F.floor(a / self.chunk_blocks)
+        here = F.least(b, (c + 1) * self.chunk_blocks - 1) - F.greatest(a, c * self.chunk_blocks) + 1
+        return F.when(~home, c), F.when(home, hi - lo + 1 - F.greatest(b - a + 1, F.lit(0))).otherwise(here)
+
+    def _inner(self, lo: Column, hi: Column, size: Column) -> tuple[Column, Column]:
+        """First and last of the blocks lo..hi that are not at home (none if first > last)."""
+        return F.greatest(lo, F.lit(self.chunk_blocks)), F.least(hi, F.floor(F.greatest(size - self.chunk, F.lit(0)) / self.block) - 1)
+
     def span(self, index: Column, size: Column) -> Column:
         return F.struct((index * self.block).alias("start"), F.least((index + 1) * self.block, size).alias("end"))
 

@@ -825,10 +825,15 @@ def class_usage_slots(spark, sf_dir):
     "o AS (SELECT order_key, c, n, max_by(k, (h, k)) AS node FROM (SELECT order_key, c, n, k, ('0x' || substr(md5(order_key || '#' || c || '@' || k), 1, 13))::BIGINT AS h FROM d CROSS JOIN (SELECT unnest(range(1, 6)) AS k)) GROUP BY ALL) SELECT node, count(*) AS placements, sum(n)::BIGINT AS blocks FROM o GROUP BY node"
 )
 def bulk_node_load(spark, sf_dir):
-    """Load of five equal nodes under the benchmark trace; placements are ranked once each."""
-    t = trace.bulk_reads(spark, sf_dir)
-    b = t.select("order_key", "size", F.explode(F.sequence(F.floor(F.col("first") / 256), F.floor(F.greatest(F.col("stop") - 1, F.col("first")) / 256))).alias("i"))
-    d = b.groupBy("order_key", F.coalesce(LAYOUT.chunk_of(F.col("i"), F.col("size")), F.lit(-1)).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    """Load of five equal nodes under the benchmark trace; placements are ranked
+    once each. Blocks are counted a chunk at a time, so no row a block is made."""
+    t = trace.bulk_reads(spark, sf_dir).filter("first is not null")
+    t = t.select("order_key", "size", F.floor(F.col("first") / 256).alias("lo"), F.floor(F.greatest(F.col("stop") - 1, F.col("first")) / 256).alias("hi"))
+    span = [F.col(c) for c in ("lo", "hi", "size")]
+    b = t.select("*", F.explode(LAYOUT.chunks(*span)).alias("at"))
+    chunk, n = LAYOUT.in_chunk(F.col("at"), *span)
+    b = b.select("order_key", F.coalesce(chunk, F.lit(-1)).alias("c"), n.alias("n")).filter("n > 0")
+    d = b.groupBy("order_key", "c").agg(F.sum("n").alias("n"))
     text = lambda k: F.concat(F.col("order_key"), F.lit("#"), F.col("c"), F.lit("@"), F.lit(k))
     best = F.array_max(F.array(*[F.struct(portable(text(k)).alias("h"), F.lit(k).alias("k")) for k in range(1, 6)]))
     return d.withColumn("node", best["k"].cast("long")).groupBy("node").agg(F.count(F.lit(1)).alias("placements"), F.sum("n").alias("blocks"))

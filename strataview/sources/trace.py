@@ -12,6 +12,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task sorts or groups, whatever the table's size.
+TASK_ROWS = 250_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions of at most about TASK_ROWS rows each, and those of any shuffle at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def millis(c: str) -> Column:
     """Milliseconds since 1970 of a timestamp without time zone."""
     return F.expr(f"timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
@@ -56,10 +65,14 @@ def gets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bulk_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark trace: line items as range reads of their orders."""
+    """The benchmark trace: line items as range reads of their orders, dealt by
+    order to as many tasks as the counted rows need."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", F.greatest(F.lit(1), F.floor("o_totalprice")).cast("long").alias("size"))
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_shipdate")
     first = (F.floor("l_extendedprice") % F.col("size")).cast("long")
+    if (rows := l.count()) > TASK_ROWS:
+        n = parts(spark, rows)
+        l, o = l.repartition(n, "l_orderkey"), o.repartition(n, "o_orderkey").hint("merge")
     return l.join(o, l["l_orderkey"] == o["o_orderkey"]).select(
         F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").alias("line"), millis("l_shipdate").alias("ts_ms"), "size", first.alias("first"), F.least(first + (F.col("l_quantity") * 64).cast("long"), F.col("size")).cast("long").alias("stop")
     )

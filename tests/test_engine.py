@@ -146,6 +146,26 @@ def test_disowned_blocks_go_first():
     assert s.log[-1] != 4
 
 
+def test_chunks_count_blocks_without_a_row_each(spark):
+    lay = catalogue.LAYOUT
+    ranges = [(lo, hi, size) for lo in range(-2, 14, 3) for hi in range(lo, lo + 12) for size in (1, 1024, 1500, 2600, 3072, 4096, 9000)]
+    d = spark.createDataFrame(ranges, "lo long, hi long, size long")
+    span = [F.col(c) for c in ("lo", "hi", "size")]
+    chunk, n = lay.in_chunk(F.col("at"), *span)
+    got = d.select("*", F.explode(lay.chunks(*span)).alias("at")).select(*span, chunk.alias("c"), n.alias("n")).filter("n > 0")
+    blocks = d.select(*span, F.explode(F.sequence("lo", "hi")).alias("i"))
+    want = blocks.groupBy(*span, lay.chunk_of(F.col("i"), F.col("size")).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_bulk_reads_grow_in_tasks_not_in_rows_a_task(spark):
+    from strataview.sources import trace
+
+    with mock.patch.object(trace, "TASK_ROWS", 500):
+        rows = trace.bulk_reads(spark, SF)
+        assert rows.rdd.getNumPartitions() >= trace.read(spark, SF, "lineitem").count() // 500 > 4
+
+
 def test_admission_outcomes():
     sim = cache_sim.NodeSim(cache_sim.Store(64, 1, 16, 64), cache_sim.Doorkeeper(100), budget=100)
     assert sim.read(1, 64, owned=False) == "none" and sim.read(1, 64, unwritten=True) == "none" and not sim.counts.get("miss_new")
