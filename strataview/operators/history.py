@@ -20,6 +20,26 @@ def as_of(probes: DataFrame, states: DataFrame, key: str, at: str, since: str, v
     return line.select("__row.*", F.col("__last.since").alias("state_since"), F.col("__last.v").alias("state_value"))
 
 
+def held_during(probes: DataFrame, states: DataFrame, key: str, at: str, span: int, since: str, until: str, value: str) -> DataFrame:
+    """``probes`` with ``states``, how many states held at some time of
+    [at, at + span], and ``live``, how many of those have a value. ``until`` is
+    null or not before ``since``, so these are the states begun by the end of
+    the interval less those over by its start: two running sums in one sort per
+    key, and no pairs are formed. Probes without key or time are left out."""
+    live = F.col(value).isNotNull().cast("int")
+    none = F.lit(0)
+    known = states.filter(F.col(since).isNotNull())
+    mark = lambda t, begun, over, some: some.select(key, F.col(t).alias("__t"), begun.alias("__begun"), (begun * live).alias("__begun_live"), over.alias("__over"), (over * live).alias("__over_live"))
+    line = mark(since, F.lit(1), none, known).unionByName(mark(until, none, F.lit(1), known.filter(F.col(until).isNotNull())))
+    line = line.withColumn("__row", F.lit(None).cast(probes.select(F.struct(*probes.columns).alias("r")).schema["r"].dataType))
+    p = probes.filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    p = p.select(key, F.col(at).alias("__t"), *[none.alias(c) for c in line.columns[2:-1]], F.struct(*probes.columns).alias("__row"))
+    w = Window.partitionBy(key).orderBy("__t")
+    ahead, by_now = w.rangeBetween(Window.unboundedPreceding, span), w.rangeBetween(Window.unboundedPreceding, 0)
+    held = lambda kind: F.sum(f"__begun{kind}").over(ahead) - F.sum(f"__over{kind}").over(by_now)
+    return line.unionByName(p).select("__row", held("").alias("states"), held("_live").alias("live")).filter("__row is not null").select("__row.*", "states", "live")
+
+
 def latest(log: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """The last entry of each key in a change log, by a partial aggregate."""
     return log.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__e")).select(*keys, "__e.*")

@@ -422,9 +422,8 @@ def state_asof(spark, sf_dir):
 def states_during(spark, sf_dir):
     """States that held at some time of [read, read + 1 day]."""
     r = trace.requests(spark, sf_dir).filter("method <> 'PUT'").select("req_id", "doc_id", "ts_ms")
-    s = trace.object_states(spark, sf_dir).select("doc_id", "valid_from", "valid_to", "etag")
-    ok = (F.col("valid_from") <= F.col("ts_ms") + 86400000) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("ts_ms")))
-    return r.join(s, "doc_id").filter(ok).groupBy("req_id").agg(F.count(F.lit(1)).alias("states"), F.count("etag").alias("live"))
+    got = history.held_during(r, trace.object_states(spark, sf_dir), "doc_id", "ts_ms", 86400000, "valid_from", "valid_to", "etag")
+    return got.filter("states > 0").groupBy("req_id").agg(F.sum("states").alias("states"), F.sum("live").alias("live"))
 
 
 @query(

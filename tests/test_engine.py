@@ -166,6 +166,26 @@ def test_bulk_reads_grow_in_tasks_not_in_rows_a_task(spark):
         assert rows.rdd.getNumPartitions() >= trace.read(spark, SF, "lineitem").count() // 500 > 4
 
 
+def test_states_held_during_an_interval(spark):
+    import random
+
+    rng = random.Random(5)
+    puts = [(k, rng.choice([*range(0, 60, 5), None]), n, rng.choice(["x", None])) for n, k in enumerate(rng.choices([0, 1, 2, None], k=60))]
+    w = catalogue.Window.partitionBy("k").orderBy("t", "n")
+    states = spark.createDataFrame(puts, "k long, t long, n long, v string").withColumn("until", F.lead("t").over(w)).withColumnRenamed("t", "since")
+    probes = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate((k, t) for k in (0, 1, 2, 9, None) for t in (None, *range(-20, 80, 3)))], "id long, k long, at long")
+    got = history.held_during(probes, states, "k", "at", 10, "since", "until", "v").filter("states > 0").select("id", "states", "live").collect()
+    held = [tuple(r) for r in states.select("k", "since", "until", "v").collect()]
+    want = {}
+    for p in probes.collect():
+        hit = [v for k, a, b, v in held if None not in (k, a, p["k"], p["at"]) and k == p["k"] and a <= p["at"] + 10 and (b is None or b > p["at"])]
+        if hit:
+            want[p["id"]] = (len(hit), sum(v is not None for v in hit))
+    assert {r["id"]: (r["states"], r["live"]) for r in got} == want and len(want) > 60
+    plan = catalogue.QUERIES["states_during"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_admission_outcomes():
     sim = cache_sim.NodeSim(cache_sim.Store(64, 1, 16, 64), cache_sim.Doorkeeper(100), budget=100)
     assert sim.read(1, 64, owned=False) == "none" and sim.read(1, 64, unwritten=True) == "none" and not sim.counts.get("miss_new")
