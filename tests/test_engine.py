@@ -186,6 +186,28 @@ def test_states_held_during_an_interval(spark):
     assert "Join" not in plan
 
 
+def test_slot_batches_equal_records(tmp_path):
+    import pyarrow as pa
+
+    rows = [(i, (-1) ** i * (i << 40), bytes((i + k) % 256 for k in range(16)).hex() if i % 7 else "", i, 100 + i, -i, i, i << 12, i % 3 > 0) for i in range(1, 300)]
+    names = [c.split()[0] for c in slot_table.SCHEMA.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+    raw = slot_table.encode_batch(batch)
+    want = [slot_table.encode(r[1] & slot_table.MASK, bytes.fromhex(r[2]), r[3], r[4], r[5] & slot_table.MASK, r[6], r[7]) for r in rows]
+    assert raw == b"".join(w if r[8] else w[:-1] + bytes([w[-1] ^ 1]) for w, r in zip(want, rows))
+    raw = raw[:640] + bytes(64) + raw[640:]
+    parts = [raw[i : i + 64] for i in range(0, len(raw), 64)]
+    assert [tuple(r.values()) for r in slot_table.decode_batch(raw, 5).to_pylist()] == [(5 + i, *got) for i, p in enumerate(parts) if (got := slot_table.decode(p))]
+    with pytest.raises(ValueError):
+        slot_table.encode_batch(batch.set_column(7, "offset", pa.array([1 << 44] * len(rows))))
+    part = slot_table.Part(str(tmp_path / "f"), 2, len(parts))
+    (tmp_path / "f").write_bytes(bytes(slot_table.HEADER) + raw)
+    with mock.patch.object(slot_table, "BATCH", 100):
+        batches = list(slot_table.SlotTableReader({"path": part.path}).read(part))
+    assert [b.num_rows for b in batches] == [99, 100, 98]
+
+
 def test_admission_outcomes():
     sim = cache_sim.NodeSim(cache_sim.Store(64, 1, 16, 64), cache_sim.Doorkeeper(100), budget=100)
     assert sim.read(1, 64, owned=False) == "none" and sim.read(1, 64, unwritten=True) == "none" and not sim.counts.get("miss_new")
