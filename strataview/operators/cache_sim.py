@@ -1,9 +1,10 @@
 """Cache policy simulation per node: admission, S3-FIFO eviction, ghosts, size classes.
 
 The policy is sequential within a node; nodes never share state and run in
-parallel. Reads are shuffled by node, sorted within partitions, and streamed
-through the simulation in Arrow batches: a task holds one batch and the state
-of one node, which the cache's capacity bounds, whatever the trace's length.
+parallel. Reads are sorted in stretches of time by many tasks, packed, brought
+together by node, and streamed through the simulation in Arrow batches: a task
+sorts parcels of a few bytes a read, and holds one batch and the state of one
+node, which the cache's capacity bounds, whatever the trace's length.
 """
 
 from __future__ import annotations
@@ -290,10 +291,57 @@ def by_runs(batches: Iterator, key: list[str]) -> Iterator[tuple[tuple, list[dic
             at = end
 
 
-def streamed(rows: DataFrame, key: list[str], order: list[str], columns: list[str], schema: str, start: Callable, step: Callable, finish: Callable) -> DataFrame:
+#: Milliseconds whose rows are sorted together, and rows of a parcel: Python gets up to 10,000 parcels at once.
+STRETCH, PARCEL_ROWS = 3_600_000, 512
+
+
+def parcels(rows: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """``rows`` in parcels: ``key``, ``__at`` and ``__seq``, by which parcels of
+    a key are in the order of ``order``, and ``__rows``, up to PARCEL_ROWS rows
+    of ``columns`` as a compressed Arrow batch.
+
+    Rows of a key and a stretch of time (``order[0]``, in milliseconds) are
+    sorted apart from all others, so a key of any length is sorted by many
+    tasks; what follows sorts parcels, a few bytes a row."""
+    at = rows.withColumn("__at", F.floor(F.col(order[0]) / STRETCH))
+    names = [*key, "__at"]
+
+    def pack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def parcel(some) -> bytes:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, some.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(some)
+            return sink.getvalue().to_pybytes()
+
+        seq = 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = pa.array([False] * (b.num_rows - 1), pa.bool_())
+            for c in (b.column(n) for n in names):
+                x, y = c.slice(1), c.slice(0, b.num_rows - 1)
+                new = pc.or_(new, pc.coalesce(pc.not_equal(x, y), pc.not_equal(pc.is_null(x), pc.is_null(y))))
+            starts = [0, *(pc.indices_nonzero(new).to_numpy() + 1).tolist(), b.num_rows]
+            cuts = [(i, min(i + PARCEL_ROWS, end)) for first, end in zip(starts, starts[1:], strict=False) for i in range(first, end, PARCEL_ROWS)]
+            kept = b.select(columns)
+            blobs = [parcel(kept.slice(i, end - i)) for i, end in cuts]
+            heads = b.select(names).take(pa.array([i for i, _ in cuts], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*heads.columns, pa.array(range(seq, seq + len(cuts)), pa.int64()), pa.array(blobs, pa.binary())], names=[*names, "__seq", "__rows"])
+            seq += len(cuts)
+
+    schema = ", ".join(f"{n} {kind}" for n, kind in at.select(*names).dtypes) + ", __seq long, __rows binary"
+    return at.repartition(*names).sortWithinPartitions(*names, *order).mapInArrow(pack, schema)
+
+
+def streamed(rows: DataFrame, key: list[str], order: list[str], columns: list[str], schema: str, start: Callable, step: Callable, finish: Callable, few: bool = False) -> DataFrame:
     """A fold over each key's rows in order. ``start(key)`` makes a state,
     ``step(state, row)`` returns rows to give at once (or None), ``finish(state)``
-    the last ones. A task holds one batch and one state."""
+    the last ones. A task holds one batch and one state. ``few`` keys of many
+    rows each (nodes) go in :func:`parcels`; ``step`` sees ``columns`` and the
+    first of ``order``, a time in milliseconds."""
     names = [f.strip().split()[0] for f in schema.split(",")]
 
     def run(batches: Iterator) -> Iterator:
@@ -302,7 +350,7 @@ def streamed(rows: DataFrame, key: list[str], order: list[str], columns: list[st
         kinds = schema_of(schema)
         batch = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
         now, state = None, None
-        for k, some in by_runs(batches, key):
+        for k, some in unpacked(batches) if few else by_runs(batches, key):
             out = []
             if k != now:
                 if now is not None:
@@ -315,7 +363,19 @@ def streamed(rows: DataFrame, key: list[str], order: list[str], columns: list[st
         if now is not None and (out := finish(state)):
             yield batch(out)
 
+    def unpacked(batches: Iterator) -> Iterator[tuple[tuple, list[dict]]]:
+        import pyarrow as pa
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in key), strict=True))
+            for k, raw in zip(keys, b.column("__rows"), strict=True):
+                yield k, pa.ipc.open_stream(raw.as_buffer()).read_all().to_pylist()
+
     wanted = rows.select(*dict.fromkeys([*key, *order, *columns]))
+    if few:
+        packed = parcels(wanted, key, order, list(dict.fromkeys([order[0], *columns])))
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, or small parcels of all keys would be put in one task
+        return packed.repartition(n, *key).sortWithinPartitions(*key, "__at", "__seq").mapInArrow(run, schema)
     return wanted.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
 
 
@@ -356,7 +416,7 @@ def simulate(reads: DataFrame, node: str, order: list[str], key: str, length: st
             sim.store.blocks[r[key] & MASK].stays = r[stays]
 
     columns = [c for c in (key, length, owned, unwritten, passes, stays) if c]
-    return streamed(reads, [node], order, columns, "node long, name string, value long", start, step, lambda s: summary(s["node"], s["sim"]))
+    return streamed(reads, [node], order, columns, "node long, name string, value long", start, step, lambda s: summary(s["node"], s["sim"]), few=True)
 
 
 def leases(reads: DataFrame, keys: list[str], ts_ms: str, order: list[str], window_ms: int, threshold: int, lease_ms: int) -> DataFrame:
@@ -464,7 +524,7 @@ def recency(reads: DataFrame, node: str, order: list[str], key: str, capacity: i
             out = held.popitem(last=False)[0]
         return [(*(r[c] for c in emit), hit, out)]
 
-    return streamed(reads, [node], order, [key, *emit], schema, lambda _: OrderedDict(), step, lambda _: [])
+    return streamed(reads, [node], order, [key, *emit], schema, lambda _: OrderedDict(), step, lambda _: [], few=True)
 
 
 def looked_up(requests: DataFrame, values: DataFrame, key: str, order: list[str], ts: str, value: str, ttl: int, emit: list[str]) -> DataFrame:

@@ -186,6 +186,20 @@ def test_states_held_during_an_interval(spark):
     assert "Join" not in plan
 
 
+def test_long_keys_are_sorted_in_stretches(spark):
+    rows = [(n, t * 1_000_000 - 3_000_000 if t % 9 else None, i) for n in (0, 1, None) for t in range(40) for i in range(5)]
+    d = spark.createDataFrame(rows, "node long, t long, i long").repartition(5)
+    see = lambda s, r: [(s, r["t"], r["i"])]
+    for size in (1, 7, 512):
+        with mock.patch.object(cache_sim, "PARCEL_ROWS", size):
+            packed = cache_sim.parcels(d, ["node"], ["t", "i"], ["t", "i"])
+            got = cache_sim.streamed(d, ["node"], ["t", "i"], ["t", "i"], "node long, t long, i long", lambda k: k[0], see, lambda s: [], few=True).collect()
+            for n in (0, 1, None):
+                want = sorted(((t, i) for m, t, i in rows if m == n), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+                assert [(r["t"], r["i"]) for r in got if r["node"] == n] == want
+            assert len(got) == len(rows) and packed.count() >= 3 * 9
+
+
 def test_slot_batches_equal_records(tmp_path):
     import pyarrow as pa
 
