@@ -35,9 +35,13 @@ def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects."""
+    """Drop documents that the quality classifier rejects. They are scored as
+    the rejected keys are written, where Python's batches of texts are bounded;
+    whoever reads the result starts no Python."""
     model = byte_cnn.train(docs, table(spark, sf_dir, "labels"))
-    return docs.filter(byte_cnn.quality_score(F.col("text"), model) >= 0.5)
+    keyed = suffix_dedup.with_key(docs, "doc_id", "text")
+    rejected, _ = written(keyed.filter(~(byte_cnn.quality_score(F.col("text"), model) >= 0.5)).select(KEY), "rejected", 250, 2 << 20)
+    return _without(keyed, rejected).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

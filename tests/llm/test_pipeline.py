@@ -48,6 +48,11 @@ def test_stages(spark, tables):
     assert not [t for _, t in rows_of(good) if t and "###" in t]
     assert len([1 for _, t in rows_of(good) if t and len(t) > 100 and "###" not in t]) >= 64
 
+    assert "EvalPython" not in good._jdf.queryExecution().executedPlan().toString()  # texts go to Python in bounded batches only, before this is read
+    model = corpus_pipeline.byte_cnn.train(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+    scores = [(i, t) for i, t in rows_of(docs) if model.score([(t or "").encode("utf-8", "replace")])[0] >= 0.5]
+    assert Counter(rows_of(good)) == Counter(scores)
+
     one = stage["near_duplicates"](spark, docs, tables)
     truth = jaccard_truth(rows_of(docs), 5, 80)
     heads = {(c if n else i) for i, n, c in truth if i is not None}
